@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, written
+from tidemark.llm.common import connected_components, tasks_for, written
 from tidemark.llm.shingles import exact_shingles, hashed_shingles, in_pieces, mix
 
 BUCKET_BITS = 7
@@ -37,7 +37,12 @@ BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
 #: Estimates below ``similarity`` by more than this (over four standard errors) are dropped.
 ESTIMATE_SLACK = 0.17
-BLOCK = 64
+#: Members of a bucket that meet in one task of the exhaustive comparison, from each side.
+BLOCK = 96
+#: Smallest shingle hashes kept for that comparison: whole sets up to this size.
+LOW_HASHES = 512
+#: Their estimate has a standard error under 0.02; whole sets need room for chance equalities only.
+LOW_SLACK = 0.09
 _DONOR_TRIES = 40
 
 
@@ -172,29 +177,77 @@ def _exact(similarity: float):
     return run
 
 
-def _block_pairs(cut: float):
-    def run(pdf):
-        import pandas as pd
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for lo, hi in in_pieces(texts):
+            rows, hashes = hashed_shingles(texts[lo:hi])
+            bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
+            low = [(hashes[a:b][:LOW_HASHES] >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            reg = registers_of(rows, hashes, hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array(low, pa.binary())], names=["rep", "n", "registers", "low"])
+
+
+def _low_jaccard(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, bool]:
+    """Jaccard over the hashes known of both sets, and whether those are whole sets."""
+    whole = n_a <= LOW_HASHES and n_b <= LOW_HASHES
+    if not whole:
+        top = min(x[-1] for x, n in ((a, n_a), (b, n_b)) if n > LOW_HASHES)
+        a, b = a[a <= top], b[b <= top]
+    common = len(np.intersect1d(a, b))
+    return common / max(len(a) + len(b) - common, 1), whole
+
+
+def _cell_pairs(cell: np.ndarray, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y), x < y, of rows that share a cell; ``cell`` is sorted."""
+    end = np.searchsorted(cell, cell, side="right")
+    after = end - np.arange(len(cell)) - 1
+    edges = np.searchsorted(np.cumsum(after), np.arange(at_once, after.sum() + at_once, at_once)) + 1
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)]):
+        n = after[lo:hi]
+        x = np.repeat(np.arange(lo, min(hi, len(cell))), n)
+        if len(x):
+            yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _block_pairs(similarity: float):
+    """Pairs to confirm, from rows sorted by cell; a cell may span two batches."""
+    cut, percent = similarity - ESTIMATE_SLACK, round(similarity * 100)
+
+    def likely(table: pa.Table) -> pa.RecordBatch:
+        cell, band, part, rep, comp, n = (table.column(c).to_numpy() for c in ("cell", "band", "part", "rep", "comp", "n"))
+        crossed = table.column("crossed").to_numpy()
+        reg, low = _matrix(table.column("registers").combine_chunks()), table.column("low").to_pylist()
+        keys = band_keys(reg)
+        found = []
+        for x, y in _cell_pairs(cell):
+            fits = (comp[x] != comp[y]) & (crossed[x] == (part[x] != part[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[fits], y[fits]
+            same = keys[x] == keys[y]  # a pair belongs to the first band that it shares
+            first = keys[x, same.argmax(axis=1)] == band[x]
+            x, y = x[first], y[first]
+            close = estimate(reg[x], reg[y], n[x], n[y]) >= cut
+            for i, j in zip(x[close].tolist(), y[close].tolist()):
+                likeness, whole = _low_jaccard(np.frombuffer(low[i], np.uint32), np.frombuffer(low[j], np.uint32), n[i], n[j])
+                if likeness >= similarity - (0.01 if whole else LOW_SLACK):
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        reg = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
-        rep, comp, n, part = (pdf[c].to_numpy() for c in ("rep", "comp", "n", "part"))
-        one, two = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        keys, band = band_keys(reg), pdf["band"].iloc[0]
-        left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
-        found_a, found_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((one != two) | (rep[right] > rep[x]))]
-            if not len(y):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            y = y[estimate(reg[x], reg[y], n[x], n[y]) >= cut]
-            if len(y):  # a pair belongs to the first band that it shares
-                same = keys[y] == keys[x]
-                y = y[keys[x][same.argmax(axis=1)] == band]
-                found_a.append(np.minimum(rep[x], rep[y]))
-                found_b.append(np.maximum(rep[x], rep[y]))
-        if not found_a:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            cell = table.column("cell").to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1]))
+            held = table.slice(whole)
+            if whole:
+                yield likely(table.slice(0, whole))
+        if held is not None:
+            yield likely(held)
 
     return run
 
@@ -218,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = bands.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(members, "id", "left_semi"), "texts")
-    traits = written(reps.join(members.withColumnRenamed("id", "rep"), "rep", "left_semi").select("rep", "n", "registers"), "traits")
+    traits = written(texts.mapInArrow(_traits, "rep long, n long, registers binary, low binary"), "traits")
 
     def confirmed(pairs: DataFrame, estimated: bool) -> DataFrame:
         if not estimated:
@@ -253,8 +306,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             near = placed.join(ends.select("band", parts.alias("parts")), "band").join(traits, "rep")
             near = near.withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")))
             near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            near = near.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n", "registers")
-            pairs = near.groupBy("band", "i", "j").applyInPandas(_block_pairs(cut), "a long, b long").distinct()
+            cell = F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other"))
+            near = near.select(cell.alias("cell"), (F.col("part") != F.col("other")).alias("crossed"), "band", "part", "rep", "comp", "n", "registers", "low")
+            near = near.repartition(tasks_for(docs.sparkSession), "cell").sortWithinPartitions("cell")
+            pairs = near.mapInArrow(_block_pairs(similarity), "a long, b long").distinct()
             found = confirmed(pairs, estimated=True)
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
