@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup, toxicity
+from tidemark.llm import bpe, near_dedup, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -23,9 +23,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(docs).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe.read_spec(vocabulary_path())
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = bpe.decoded(bpe.encoded(docs, spec), spec)
+    digest = F.sha2(F.array_join("ids", ","), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {}

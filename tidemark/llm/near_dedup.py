@@ -38,7 +38,7 @@ BANDS = REGISTERS // BAND_ROWS
 #: Estimates below ``similarity`` by more than this (over four standard errors) are dropped.
 ESTIMATE_SLACK = 0.17
 #: Members of a bucket that meet in one task of the exhaustive comparison, from each side.
-BLOCK = 96
+BLOCK = 256
 #: Smallest shingle hashes kept for that comparison: whole sets up to this size.
 LOW_HASHES = 512
 #: Their estimate has a standard error under 0.02; whole sets need room for chance equalities only.
