@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, near_dedup, toxicity
+from tidemark.llm import bpe, language, mixing, near_dedup, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -37,10 +37,23 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.learn(read_table(spark, sf_dir, "documents").select("text", "lang"))
+    found = language.identify_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    return found.withColumnRenamed("id", "page_id")
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs, mixing.tempered_weights(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_language_id": op7_language_id,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
