@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -26,10 +27,30 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.pretoken import PATTERN, byte_alphabet, chunks
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
+CACHED_WORDS = 300_000
 CACHED_PAIRS = 600_000
 
 
+class Recent(dict):
+    """A cache in two generations: when the young one is full it becomes the old one, whose
+    entries come back on use.  At most twice ``most`` entries; what it drops is recomputed."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PrefixBpe:
     """A byte-level BPE vocabulary read from a tokenizers JSON file's text."""
 
@@ -64,8 +85,9 @@ class PrefixBpe:
                 self.automaton.add_word(token, (i, len(token)))
                 self.names[i] = token
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words = Recent(CACHED_WORDS, self.word)
+        self.chunks = Recent(CACHED_CHUNKS, self._chunk)
 
     def merged(self, chars: str) -> list[str]:
         """Plain BPE of a short string: the lowest-ranked adjacent pair merges first."""
@@ -85,9 +107,6 @@ class PrefixBpe:
         right one, as BPE merges from the left).  If the two tokens at the seam had a merge
         of their own that came before the one just undone, BPE would have taken it.
         """
-        ok = self.pairs.get((left, right))
-        if ok is not None:
-            return ok
         a, b, made, halves, joined = left, right, self.made, self.halves, self.joined
         undone, by_right, ok = 1 << 60, False, True
         while True:
@@ -103,47 +122,49 @@ class PrefixBpe:
                 undone, by_right, a = made[a], False, halves[a][1]
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        self.pairs[(left, right)] = ok
+        self.pairs[left << 32 | right] = ok
         return ok
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token: last token of every prefix, then the back-pointers."""
         chars = "".join(map(self.alphabet.__getitem__, word.encode("utf-8", "replace")))
         whole = self.ids.get(chars)
         if whole is not None and whole in self.names:
-            return [whole]
-        last: list[int] = [-1] * (len(chars) + 1)
-        size: list[int] = [0] * (len(chars) + 1)
+            return (whole,)
+        last, size = [-1] * (len(chars) + 1), [0] * (len(chars) + 1)
+        pairs, found = self.pairs, 0
         for at, (token, length) in self.automaton.iter(chars):
-            end, start = at + 1, at + 1 - length
-            if size[end]:
-                continue
-            if start == 0 or (size[start] and self.compatible(last[start], token)):
-                last[end], size[end] = token, length
+            end = at + 1
+            if end == found:
+                continue  # a prefix has one last token only
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                ok = pairs.get(before << 32 | token)
+                if ok is None:
+                    ok = self.compatible(before, token)
+                if not ok:
+                    continue
+            last[end], size[end], found = token, length, end
         out, end = [], len(chars)
         while end:
             out.append(last[end])
             end -= size[end]
-        out.reverse()
-        return out
+        return tuple(reversed(out))
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        parts = PATTERN.findall(chunk)
+        if len(parts) == 1:
+            return self.words[parts[0]]
+        return tuple(i for part in parts for i in self.words[part])
 
     def plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
         cut = chunks(text)
-        for chunk in [text] if cut is None else cut:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = []
-                for word in PATTERN.findall(chunk):
-                    ids += self.word(word)
-                ids = tuple(ids)
-                if cut is not None:
-                    if len(known) >= CACHED_CHUNKS:
-                        known.clear()
-                    known[chunk] = ids
-            out += ids
-        return out
+        if cut is None:
+            return [i for part in PATTERN.findall(text) for i in self.words[part]]
+        return list(chain.from_iterable(map(self.chunks.__getitem__, cut)))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
