@@ -33,11 +33,12 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import scratch_root, tasks_for, written
 from tidemark.llm.pretoken import chunks
+from tidemark.llm.shingles import in_pieces
 
 MAGIC = b"TMBP0001"
 HEADER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 1 << 15
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 400_000
 END_ID = 0
 NULL_ID = -(1 << 63)
 
@@ -69,7 +70,11 @@ def unpack(data: bytes | memoryview, width: int, n: int, first: int = 0) -> np.n
 
 
 class Encoder:
-    """The tokenizers library over chunks that it treats alone, with a cache of their ids."""
+    """The tokenizers library over chunks that it treats alone, with a cache of their ids.
+
+    New chunks of many texts go to the library as one text, joined by newlines: a lone
+    newline is a token of its own, so its id tells the chunks' ids apart again.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -78,23 +83,51 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        cut = None if any(t in text for t in self.added) else chunks(text)
-        if cut is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        known = self.known
-        new = list({c for c in cut if c not in known})
+        self.newline = self._library("\n")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.young) + len(new) > CACHED_CHUNKS:
+            self.old, self.young = self.young, {}
+        ids = self._library("\n".join(new))
+        cuts = np.flatnonzero(ids == self.newline[0])
+        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+        if len(starts) != len(new):
+            raise ValueError("the vocabulary does not keep newlines apart")
+        data = ids.tobytes()
+        self.young.update((chunk, data[lo:hi]) for chunk, lo, hi in zip(new, starts, ends))
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [chunks(t) if t and not any(x in t for x in self.added) else None for t in texts]
+        needed = set().union(*[c for c in cut if c])
+        needed.discard("\n")
+        young, old = self.young, self.old
+        new = []
+        for chunk in needed:
+            if chunk not in young:
+                if chunk in old:
+                    young[chunk] = old[chunk]
+                else:
+                    new.append(chunk)
         if new:
-            if len(known) + len(new) > CACHED_CHUNKS:
-                known.clear()
-                new = list(set(cut))
-            for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, cut)), np.uint32)
+            self._learn(new)
+        if self.young is not young:  # a new generation began: fetch what this call needs
+            self.young.update((c, young[c]) for c in needed if c in young)
+        known = self.young
+        known["\n"] = self.newline.tobytes()
+        out = []
+        for text, parts in zip(texts, cut):
+            if not text:
+                out.append(np.empty(0, np.uint32))
+            elif parts is None:
+                out.append(self._library(text))
+            else:
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32))
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -159,11 +192,13 @@ def _write(spec_ref, root: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, least = _encoder(spec_ref.value), None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc_id = NULL_ID if doc_id is None else doc_id
-                if writer is None:
-                    writer, least = _Writer(root, width), doc_id
-                writer.add(doc_id, np.append(encoder.ids(text.as_py()), np.uint32(END_ID)))
+            for lo, hi in in_pieces(batch.column(1).to_pylist()):
+                part = batch.slice(lo, hi - lo)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
+                    doc_id = NULL_ID if doc_id is None else doc_id
+                    if writer is None:
+                        writer, least = _Writer(root, width), doc_id
+                    writer.add(doc_id, np.append(ids, np.uint32(END_ID)))
         if writer is not None:
             path, docs, ids = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([least]), pa.array([writer.doc_ids[-1]]), pa.array([docs]), pa.array([ids])], names=["path", "first_doc", "last_doc", "docs", "ids"])
