@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, embeddings, language, mixing, near_dedup, packing, sharding, toxicity
+from tidemark.llm import bpe, chat, embeddings, fingerprints, language, mixing, near_dedup, packing, sharding, toxicity
 from tidemark.llm.common import read_table, scratch_root
 
 
@@ -59,6 +59,13 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.document_fingerprints(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    doc_id = F.when(F.col("id") != fingerprints.NULL_ID, F.col("id"))
+    # an exact digest is alike or not
+    return found.select(doc_id.alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packed_ids": op3_packed_ids,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_fingerprints": op5_fingerprints,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
