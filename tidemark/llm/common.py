@@ -118,5 +118,22 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     return labels.select("id", F.col("to").alias("component"))
 
 
+#: Bits of the bitmap that preselects rows: a broadcast of two megabytes at most.
+BITMAP_BITS = 1 << 23
+
+
+def probably_in(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``wanted``, and a few others, without a shuffle.
+
+    ``wanted`` becomes a bitmap of fixed size, which is broadcast; with more keys it lets
+    more other rows pass, so an exact join must follow.  It keeps that join's shuffle small.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit("bit")), F.lit(BITMAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = wanted.groupBy(F.floor(place / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    hit = df.join(F.broadcast(words), F.floor(place / 64) == F.col("__word"))
+    return hit.where(F.col("__bits").bitwiseAND(bit) != 0).select(*df.columns)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tasks_for, written
+from tidemark.llm.common import probably_in, tasks_for, written
 
-BITMAP_BITS = 1 << 23
 NULL_ID = -(1 << 63)
 
 
@@ -119,19 +118,6 @@ def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(data, pa.binary()), pa.array([hashlib.sha256(x).hexdigest()[:16] for x in data])], names=["g", "id", "changed", "bytes", "suffix"])
 
 
-def selected(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (id, text) whose id may be in ``wanted`` (id), by a bitmap of
-    ``BITMAP_BITS`` bits, so its broadcast is two megabytes at most; few others pass."""
-    def place(column: str) -> Column:
-        return F.pmod(F.xxhash64(column, F.lit("bit")), F.lit(BITMAP_BITS))
-
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place("id") % 64).cast("int"))
-    words = wanted.groupBy(F.floor(place("id") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (place("id") % 64).cast("int"))
-    hit = docs.join(F.broadcast(words), F.floor(place("id") / 64) == F.col("word"))
-    return hit.where(F.col("bits").bitwiseAND(mask) != 0).select("id", "text")
-
-
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_id, next_fingerprint)."""
     rows = written(with_next(docs, id_col, text_col).mapInArrow(_digests(bits), "id long, n_chars long, edited_sha256 string, d string, e string, next_id long, next_d string"), "digests")
@@ -141,7 +127,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     checks = written(uses.join(again, "g"), "repeated")
     wanted = checks.select("id").unionByName(checks.where("next_id is not null").select(F.col("next_id").alias("id")))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    texts = written(selected(base, wanted.distinct()), "repeated-texts")
+    texts = written(probably_in(base, wanted, "id").select("id", "text"), "repeated-texts")
     changed = checks.where("next_id is not null").join(texts, "id").join(texts.select(F.col("id").alias("next_id"), F.col("text").alias("following")), "next_id")
     plain = checks.where("next_id is null").join(texts, "id")
     every = plain.select("g", "id", "text", F.lit(None).cast("string").alias("following"), F.lit(False).alias("changed")).unionByName(changed.select("g", "id", "text", "following", F.lit(True).alias("changed")))
