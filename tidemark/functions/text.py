@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Common words per language.
 STOPWORDS = {
@@ -33,7 +34,7 @@ def normalise_composed(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition: the one step without a built-in."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -139,7 +140,7 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit SimHash of a token list: each token's hash votes on each bit."""
     import numpy as np
