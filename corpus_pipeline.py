@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that the toxicity models score ``TOXIC_FROM`` or more."""
     scorer = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), held_out=None)
-    return scorer.scored_rows(docs).where(F.col("score") < TOXIC_FROM).drop("score")
+    return scorer.scored_rows(docs, out="__risk").where(F.col("__risk") < TOXIC_FROM).drop("__risk")
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,8 @@ def learn(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> T
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
     dense = np.zeros((BUCKETS, len(languages)))
-    dense[table.column("bucket").to_numpy(), np.searchsorted(languages, names) if names else []] = table.column("n").to_numpy()
+    if names:
+        dense[table.column("bucket").to_numpy(), np.searchsorted(languages, names)] = table.column("n").to_numpy()
     logs = np.log((dense + SMOOTHING) / (dense.sum(axis=0) + SMOOTHING * BUCKETS))
     logs = np.column_stack([logs, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
     return TextModel(languages, texts.sparkSession.sparkContext.broadcast(logs))
