@@ -188,7 +188,9 @@ def test_bpe_of_odd_rows(odd, none, tokenizer):
     assert len(rows) == odd.count()
     for r in rows:
         assert r["decoded"] == want[r["doc_id"]] and r["ids"] == tokenizer.encode(want[r["doc_id"]], add_special_tokens=False).ids
-    assert bpe.encoded(none, SPEC).count() == 0
+    once = bpe.round_trip(odd, SPEC, keep=("doc_id", "id", "lang")).collect()
+    assert sorted(map(str, once)) == sorted(map(str, rows))
+    assert bpe.encoded(none, SPEC).count() == 0 and bpe.round_trip(none, SPEC).count() == 0
 
 
 @settings(max_examples=60, deadline=None)

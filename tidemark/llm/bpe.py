@@ -25,11 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
 from tidemark.llm.pretoken import PATTERN, byte_alphabet, chunks
 
-CACHED_CHUNKS = 300_000
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 600_000
+CACHED_CHUNKS = 150_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 400_000
 
 
 class Recent(dict):
@@ -219,16 +220,40 @@ def _decode(spec_ref):
     return run
 
 
+def _round_trip(spec_ref):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(spec_ref.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _ROWS_OUT):
+                part = batch.slice(lo, _ROWS_OUT)
+                ids = [bpe.encode(t.as_py()) for t in part.column(part.num_columns - 1)]
+                texts = pa.array(map(bpe.decode, ids), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), texts], names=[*part.schema.names[:-1], "ids", "decoded"])
+
+    return run
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def encoded(docs: DataFrame, spec: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``ids``: exact token ids of every whole text."""
-    ref = docs.sparkSession.sparkContext.broadcast(spec)
+def _texts(docs: DataFrame, spec: str, text_col: str, keep: tuple[str, ...]):
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows, shape, docs.sparkSession.sparkContext.broadcast(spec)
+
+
+def round_trip(docs: DataFrame, spec: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ``ids`` and ``decoded`` in one pass: one vocabulary per core, not two."""
+    rows, shape, ref = _texts(docs, spec, text_col, keep)
+    return rows.mapInArrow(_round_trip(ref), f"{shape}, ids array<int>, decoded string")
+
+
+def encoded(docs: DataFrame, spec: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``ids``: exact token ids of every whole text."""
+    rows, shape, ref = _texts(docs, spec, text_col, keep)
     return rows.mapInArrow(_encode(ref), f"{shape}, ids array<int>")
 
 

@@ -54,7 +54,7 @@ def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.read_spec(vocabulary_path())
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = bpe.decoded(bpe.encoded(docs, spec), spec)
+    back = bpe.round_trip(docs, spec)
     digest = F.sha2(F.array_join("ids", ","), 256)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

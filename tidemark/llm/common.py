@@ -14,7 +14,17 @@ from pyspark.sql.window import Window
 _scratch_roots: dict[str, str] = {}
 
 
+#: Bytes of rows handed to Python at once; a batch of long texts is held several times over.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes too: by rows alone, long texts make them huge."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +56,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
