@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spec = bpe.read_spec(public_tokenizers.path(VOCABULARY))
     keep = ("doc_id", "lang", "source", "n_chars", "text_sha256")
     marked = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    back = bpe.decoded(bpe.encoded(marked, spec, keep=keep), spec, keep=keep)
+    back = bpe.round_trip(marked, spec, keep=keep)
     same = F.sha2("decoded", 256) == F.col("text_sha256")
     return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
