@@ -41,26 +41,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _mix(docs: DataFrame) -> DataFrame:
+    return mixing.positions(docs, mixing.tempered_weights(docs, power=SOURCE_POWER))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of the Pfair mix while every source can meet its target weight.
+    """Lays all rows out in the order of the Pfair mix; drops none.
 
     Targets are the sources' sizes to the power ``SOURCE_POWER``, so a source that holds a
-    third of all rows does not hold a third of the mix.
+    third of all rows does not hold a third of the mix while the others last.  A source
+    without rows left drops out and the others go on.
     """
-    weights = mixing.tempered_weights(docs, power=SOURCE_POWER)
-    plan = mixing.mixed(docs, weights)
-    surplus = plan.where(~F.col("in_mix") & F.col("id").isNotNull()).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    ordered = mixing.placed(docs, _mix(docs), slot="__slot", place="__place")
+    return ordered.orderBy(F.asc_nulls_last("__slot"), "__place", "doc_id").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds exact BPE ids, and whether decoding them gives the text back."""
+    """Adds exact BPE ids, whether decoding them gives the text back, and the row's ``slot``
+    and ``place`` in the mix, because tables that are read again come in no order."""
     spec = bpe.read_spec(public_tokenizers.path(VOCABULARY))
     keep = ("doc_id", "lang", "source", "n_chars", "text_sha256")
     marked = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     back = bpe.round_trip(marked, spec, keep=keep)
     same = F.sha2("decoded", 256) == F.col("text_sha256")
-    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    out = back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return mixing.placed(out, _mix(docs))
 
 
 STAGES = [

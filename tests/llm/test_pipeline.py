@@ -45,6 +45,17 @@ def test_stages_keep_columns_and_odd_rows(spark, small):
     assert last.count() == docs.count() and last.where("not round_trip").count() == 0
 
 
+def test_mixing_loses_no_document(spark, small):
+    sources = ["one"] + ["five"] * 5 + ["third"] * 300 + [f"s{i % 7}" for i in range(594)] + [None] * 3
+    docs = spark.createDataFrame([(i, f"text {i}", "en", s, 6, 1, 0.1, 2) for i, s in enumerate(sources)], DOC)
+    out = corpus_pipeline.mix_sources(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(len(sources)))
+    assert all(r["source"] == sources[r["doc_id"]] for r in out)
+    plan = corpus_pipeline.tokens(spark, docs, small).orderBy("slot", "place").collect()
+    assert len({(r["slot"], r["place"]) for r in plan}) == len(sources)
+    assert [r["doc_id"] for r in plan] == [r["doc_id"] for r in out]
+
+
 def test_clean_documents_pass_the_language_stage(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert corpus_pipeline.drop_undetermined(spark, docs, small).count() >= 0.98 * docs.count()

@@ -14,7 +14,9 @@ large, is gathered in one task.
 Defined edge results: a null source is a source of its own; weights of unknown sources are
 ignored and sources without weight are left out of the mix (``in_mix`` false, no slot);
 an empty table gives an empty result; repeated rows are numbered one by one; text and
-other columns play no part.
+other columns play no part.  A source that has no block left drops out and the others go
+on, so every row of a weighted source has a slot; ``in_mix`` only says how far the target
+weights can be met.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from math import ceil, floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gapless_number
+from tidemark.llm.common import gapless_number, written
 
 PERIOD = 4096
 BLOCK_ROWS = 8
@@ -117,6 +119,22 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float], id_col: str = "d
     return at.select("id", "source", "block", "place", slot.cast("long").alias("slot"), F.coalesce(slot < end, F.lit(False)).alias("in_mix"))
 
 
+def positions(docs: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(mix_id, mix_source, slot, place), written: where each id of a source lies in the mix.
+
+    Rows that repeat an id within a source share its first position.
+    """
+    at = mixed(docs, weights, id_col, source_col).groupBy("id", "source").agg(F.min(F.struct("slot", "place")).alias("at"))
+    return written(at.select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), "at.slot", "at.place"), "mix")
+
+
+def placed(rows: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", slot: str = "slot", place: str = "place") -> DataFrame:
+    """Every row of ``rows`` with its position in ``plan`` as ``slot`` and ``place``."""
+    at = plan.select("mix_id", "mix_source", F.col("slot").alias(slot), F.col("place").alias(place))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("mix_source"))
+    return rows.join(at, same, "left").select(*rows.columns, slot, place)
+
+
 def _turns(period: list[str | None]):
     seen: dict[str | None, int] = {}
     for s in period:
