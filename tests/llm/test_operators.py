@@ -147,6 +147,34 @@ def test_toxicity_held_out_accuracy(spark):
     assert right / len(got) > 0.97
 
 
+def test_toxicity_reads_runs_without_spaces_whole(spark):
+    rng = random.Random(9)
+    clean = ["".join(c for c in w if c.isalpha()) + rng.choice("abcdefgh") for w in base(rng, 400)]
+    rude = ["gromblat", "snarfig", "pukzomb"]
+    rows = []
+    for i in range(800):
+        words = [rng.choice(clean) for _ in range(90)]
+        if i % 4 == 0:
+            for r in rude:
+                words[rng.randrange(60, 90)] = r
+        rows.append((i, "".join(words) if i % 16 < 8 else " ".join(words), int(i % 4 == 0)))
+    assert min(t.find(r) for _, t, toxic in rows if toxic for r in rude if r in t) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), held_out=2)
+    got = scorer.score(docs).join(docs.select(F.col("doc_id").alias("id"), "text", "toxic"), "id").where(toxicity.remainder(F.col("id")) == 2).collect()
+    for spaced in (False, True):
+        mine = [(r["score"] >= 0.3) == bool(r["toxic"]) for r in got if (" " in r["text"]) == spaced]
+        assert len(mine) > 50 and sum(mine) / len(mine) > 0.95
+
+
+def test_pieces_of_a_run_hold_each_gram_once():
+    for n in (65, 68, 69, 124, 128, 129, 1000):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        padded = toxicity._PAD + word + toxicity._END
+        pieces = [p[1:] for p in toxicity.counted_pieces([word])]
+        assert [p[i : i + 5] for p in pieces for i in range(len(p) - 4)] == [padded[i : i + 5] for i in range(len(padded) - 4)]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, None if i == 3 else i % 2) for i in range(9)], "doc_id long, quality int, toxic int")
     scorer = toxicity.fit(odd, labels, held_out=None)

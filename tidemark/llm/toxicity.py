@@ -7,6 +7,11 @@ class backs off to the same shared estimate and says little.  A word's evidence
 difference of both log-likelihoods divided by its length; a text's evidence is the mean
 over its words and its strongest words, turned into a probability by a logistic fit.
 
+A word is an unbroken run of letters and is counted and scored whole.  One of more than
+``LONG_RUN`` letters may be a text without spaces: it gives the mean its evidence over all
+letters, and the strongest words its strongest stretches of ``STRETCH`` letters, which do
+not overlap.
+
 Counting is grouped aggregation over all labelled training rows: words, then 5-grams,
 then continuation counts.  The finished statistics are folded into arrays of fixed width
 (``GRAM_BITS``, ``CONTEXT_BITS``), which bounds what is broadcast at any corpus size.
@@ -27,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +50,11 @@ ALPHABET = 4096.0
 CALIBRATION_ROWS = 20_000
 CACHED_WORDS = 100_000
 COUNTED_WORDS = 100_000
-LONGEST_WORD = 64
+LONG_RUN = 64
+STRETCH = 12
+#: Letters of a long run that are scored at once.
+RUN_LETTERS = 1 << 16
+_PIECE = "\u0001"
 _PAD = "\u0002" * (ORDER - 1)
 _END = "\u0003"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -89,10 +99,32 @@ class KneserNey:
         return np.concatenate([self._evidence(words[i : i + at_once]) for i in range(0, len(words), at_once)])
 
     def _evidence(self, words: list[str]) -> np.ndarray:
-        padded = [_PAD + w[:LONGEST_WORD] + _END for w in words]
+        padded = [_PAD + w + _END for w in words]
         codes = _codes(padded)
         lengths = np.fromiter((len(p) for p in padded), np.int64, len(padded))
         starts = np.cumsum(lengths) - lengths
+        real = np.arange(len(codes)) - np.repeat(starts, lengths) >= ORDER - 1
+        sums = np.add.reduceat(self._ratios(codes) * real, starts)
+        return sums / (lengths - (ORDER - 1))
+
+    def run_evidence(self, run: str, strongest: int = 3) -> tuple[float, list[float]]:
+        """A long run's evidence over all its letters, and that of its strongest stretches."""
+        codes = _codes([_PAD + run + _END])
+        first = range(ORDER - 1, len(codes), RUN_LETTERS)
+        ratio = np.concatenate([self._ratios(codes[i - (ORDER - 1) : i + RUN_LETTERS])[ORDER - 1 :] for i in first])
+        sums = np.concatenate([[0.0], np.cumsum(ratio)])
+        stretches = (sums[STRETCH:] - sums[:-STRETCH]) / STRETCH
+        best = []
+        while len(best) < strongest:
+            at = int(stretches.argmax())
+            if stretches[at] == -np.inf:
+                break
+            best.append(float(stretches[at]))
+            stretches[max(at - STRETCH + 1, 0) : at + STRETCH] = -np.inf
+        return float(ratio.mean()), best
+
+    def _ratios(self, codes: np.ndarray) -> np.ndarray:
+        """log p(code | toxic) - log p(code | ordinary) after the four codes before it."""
         p = np.full(len(codes), 1 / ALPHABET)
         hashes = {k: _gram_hash(codes, k) for k in range(1, ORDER + 1)}
         before = {k: np.concatenate([[np.uint64(0)], hashes[k][:-1]]) for k in range(1, ORDER)}
@@ -107,10 +139,7 @@ class KneserNey:
             total, types = self.total[y][context], self.types[y][context]
             own = np.maximum(self.gram[y][gram] - DISCOUNT, 0)
             logs.append(np.log(np.where(total > 0, (own + DISCOUNT * types * p) / np.maximum(total, 1), p)))
-        ratio = logs[0] - logs[1]
-        real = np.arange(len(codes)) - np.repeat(starts, lengths) >= ORDER - 1
-        sums = np.add.reduceat(ratio * real, starts)
-        return sums / (lengths - (ORDER - 1))
+        return logs[0] - logs[1]
 
 
 def remainder(id_col: Column, parts: int = 4) -> Column:
@@ -118,6 +147,23 @@ def remainder(id_col: Column, parts: int = 4) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
+def counted_pieces(words: list[str]) -> list[str]:
+    """The words, long runs as marked pieces of their padded form.
+
+    Pieces overlap by ``ORDER`` - 1 letters, so each 5-gram of a run lies in one of them.
+    """
+    if not words or max(map(len, words)) <= LONG_RUN:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONG_RUN:
+            out.append(w)
+        else:
+            padded = _PAD + w + _END
+            out += [_PIECE + padded[i : i + LONG_RUN + ORDER - 1] for i in range(0, len(padded) - ORDER + 1, LONG_RUN)]
+    return out
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, every = (Counter(), Counter()), (Counter(), Counter())
 
@@ -130,7 +176,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic, later in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = text_words(text.as_py())
+            words = counted_pieces(text_words(text.as_py()))
             every[toxic].update(words)
             if not later:
                 first[toxic].update(words)
@@ -140,8 +186,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", later_col: str = "later") -> DataFrame:
-    """(word, first0, first1, all0, all1): uses of each word in ordinary (0) and toxic (1)
-    texts, over the rows that are not ``later`` and over all."""
+    """(word, first0, first1, all0, all1): uses of each word, or piece of a long run, in
+    ordinary (0) and toxic (1) texts, over the rows that are not ``later`` and over all."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(text_col, F.col(label_col).cast("int"), later_col)
     names = ["first0", "first1", "all0", "all1"]
     counted = rows.mapInArrow(_count_words, "word string, " + ", ".join(f"{n} long" for n in names))
@@ -168,7 +214,8 @@ def _fold(kind: int, order: int, bits: int):
 def gram_counts(words: DataFrame) -> DataFrame:
     """(g, first0, first1, all0, all1): padded character 5-grams of all words."""
     names = ["first0", "first1", "all0", "all1"]
-    padded = F.concat(F.lit(_PAD), F.substring("word", 1, LONGEST_WORD), F.lit(_END))
+    whole = F.concat(F.lit(_PAD), F.col("word"), F.lit(_END))
+    padded = F.when(F.col("word").startswith(_PIECE), F.col("word").substr(2, LONG_RUN + ORDER - 1)).otherwise(whole)
     places = F.sequence(F.lit(1), F.char_length(padded) - (ORDER - 1))
     grams = words.select(*names, F.explode(F.transform(places, lambda i: padded.substr(i, F.lit(ORDER)))).alias("g"))
     return grams.groupBy("g").agg(*[F.sum(n).alias(n) for n in names])
@@ -228,11 +275,20 @@ def _evidence_rows(model: KneserNey, texts: list[str | None], known: dict[str, f
             continue
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list({w for w in words if w not in known})
-        if new:
+        distinct = set(words)
+        new = [w for w in distinct if w not in known]
+        runs = {w: model.run_evidence(w) for w in new if len(w) > LONG_RUN}
+        if len(runs) < len(new):
+            new = [w for w in new if w not in runs]
             known.update(zip(new, model.evidence(new).tolist()))
-        out[i, 0] = np.fromiter((known[w] for w in words), np.float64, len(words)).mean()
-        best = sorted({w: known[w] for w in words}.values(), reverse=True)[:3]
+        known.update((w, whole) for w, (whole, _) in runs.items())
+        out[i, 0] = np.fromiter(map(known.__getitem__, words), np.float64, len(words)).mean()
+        for w in runs:
+            del known[w]
+        best = list(map(known.__getitem__, distinct - runs.keys() if runs else distinct))
+        for _, stretches in runs.values():
+            best += stretches
+        best = nlargest(3, best)
         out[i, 1 : 1 + len(best)] = best
         out[i, 4] = np.log1p(len(words))
     return out
