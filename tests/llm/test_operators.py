@@ -175,6 +175,47 @@ def test_pieces_of_a_run_hold_each_gram_once():
         assert [p[i : i + 5] for p in pieces for i in range(len(p) - 4)] == [padded[i : i + 5] for i in range(len(padded) - 4)]
 
 
+def test_many_grams_keep_their_own_counts(spark):
+    rng = random.Random(10)
+    fresh = lambda: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(8))
+    words = [(fresh(), rng.randrange(1, 5), rng.randrange(3)) for _ in range(60_000)]
+    counts = spark.createDataFrame([(w, a, b, a, b) for w, a, b in words], "word string, first0 long, first1 long, all0 long, all1 long")
+    model = toxicity.collected(toxicity.statistics(toxicity.gram_counts(counts), "all"))
+
+    top = (Counter(), Counter())
+    for w, *by in words:
+        padded = toxicity._PAD + w + toxicity._END
+        for i in range(len(padded) - 4):
+            for y in (0, 1):
+                top[y][padded[i : i + 5]] += by[y]
+    low, total, types = {5: top[0] + top[1]}, {}, {}
+    for k in (4, 3, 2, 1):
+        low[k] = Counter(g[1:] for g in low[k + 1])
+        total[k], types[k] = Counter(), Counter(g[:-1] for g in low[k])
+        for g, n in low[k].items():
+            total[k][g[:-1]] += n
+    above, kinds = (Counter(), Counter()), tuple(Counter(g[:-1] for g, n in t.items() if n) for t in top)
+    for y in (0, 1):
+        for g, n in top[y].items():
+            above[y][g[:-1]] += n
+
+    def step(own, total, types, p):
+        return (max(own - 0.9, 0) + 0.9 * types * p) / total if total else p
+
+    def evidence(w):
+        padded, out = toxicity._PAD + w + toxicity._END, 0.0
+        for i in range(len(padded) - 4):
+            g, p = padded[i : i + 5], 1 / 4096
+            for k in (1, 2, 3, 4):
+                p = step(low[k][g[-k:]], total[k][g[-k:-1]], types[k][g[-k:-1]], p)
+            q = [step(top[y][g], above[y][g[:-1]], kinds[y][g[:-1]], p) for y in (0, 1)]
+            out += np.log(q[1]) - np.log(q[0])
+        return out / (len(padded) - 4)
+
+    some = [w for w, _, _ in words[:300]] + [w[:5] + fresh()[:3] for w, _, _ in words[:300]] + [fresh() for _ in range(300)]
+    assert np.allclose(model.evidence(some), [evidence(w) for w in some], atol=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, None if i == 3 else i % 2) for i in range(9)], "doc_id long, quality int, toxic int")
     scorer = toxicity.fit(odd, labels, held_out=None)

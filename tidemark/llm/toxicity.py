@@ -13,9 +13,10 @@ letters, and the strongest words its strongest stretches of ``STRETCH`` letters,
 not overlap.
 
 Counting is grouped aggregation over all labelled training rows: words, then 5-grams,
-then continuation counts.  The finished statistics are folded into arrays of fixed width
-(``GRAM_BITS``, ``CONTEXT_BITS``), which bounds what is broadcast at any corpus size.
-Texts are never shuffled for scoring.
+then continuation counts.  The finished statistics are hash tables of every gram and context
+under its own 64-bit key, so grams never share a count (n keys collide with probability
+n**2 / 2**65).  They are broadcast and grow with the distinct grams of the labelled texts,
+by 17 to 33 bytes a gram.  Texts are never shuffled for scoring.
 
 The logistic is fitted on one part of the labelled rows, scored by models of the other
 parts, and sees at most ``CALIBRATION_ROWS`` rows, the only bound on what is learnt from;
@@ -40,11 +41,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import probably_in, written
-from tidemark.llm.shingles import mix
+from tidemark.llm.shingles import in_pieces, mix
 
 ORDER = 5
-GRAM_BITS = 21
-CONTEXT_BITS = 19
 DISCOUNT = 0.9
 ALPHABET = 4096.0
 CALIBRATION_ROWS = 20_000
@@ -55,6 +54,8 @@ STRETCH = 12
 #: Letters of a long run that are scored at once.
 RUN_LETTERS = 1 << 16
 _PIECE = "\u0001"
+#: Key of the empty context.
+_ROOT = np.uint64(1)
 _PAD = "\u0002" * (ORDER - 1)
 _END = "\u0003"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,20 +80,45 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
 
-def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+class Cells:
+    """Pairs of counts by 64-bit key: open addressing, laid out in one pass."""
+
+    def __init__(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray):
+        order = np.argsort(keys)
+        keys = np.maximum(keys[order], 1)  # 0 marks an empty cell
+        self.shift = np.uint64(64 - max(int(len(keys) / 0.7).bit_length(), 1))
+        i = np.arange(len(keys))
+        at = np.maximum.accumulate((keys >> self.shift).astype(np.int64) - i) + i
+        size = max(1 << (64 - int(self.shift)), int(at[-1]) + 1 if len(at) else 0) + 1  # the last cell is empty
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros((2, size), np.float32)
+        self.keys[at], self.values[:, at] = keys, (a[order], b[order])
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """The cell of each key, or an empty one."""
+        h = np.maximum(h, np.uint64(1))
+        cell = (h >> self.shift).astype(np.int64)
+        key = self.keys[cell]
+        other = np.flatnonzero((key != h) & (key != 0))
+        while len(other):
+            cell[other] += 1
+            key = self.keys[cell[other]]
+            other = other[(key != h[other]) & (key != 0)]
+        return cell
+
+
+def _no_cells() -> Cells:
+    return Cells(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
 
 
 @dataclass
 class KneserNey:
-    """Folded statistics: per-class top order, shared lower orders."""
+    """Per-class top order, shared lower orders; ``context`` k stands before a k-gram."""
 
-    gram: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << GRAM_BITS), np.float32))
-    total: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << CONTEXT_BITS), np.float32))
-    types: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << CONTEXT_BITS), np.float32))
-    low_gram: np.ndarray = field(default_factory=lambda: np.zeros((ORDER, 1 << CONTEXT_BITS), np.float32))
-    low_total: np.ndarray = field(default_factory=lambda: np.zeros((ORDER, 1 << CONTEXT_BITS), np.float32))
-    low_types: np.ndarray = field(default_factory=lambda: np.zeros((ORDER, 1 << CONTEXT_BITS), np.float32))
+    gram: Cells = field(default_factory=_no_cells)
+    total: Cells = field(default_factory=_no_cells)
+    types: Cells = field(default_factory=_no_cells)  # has the keys of total, so its cells too
+    low_gram: dict[int, Cells] = field(default_factory=lambda: {k: _no_cells() for k in range(1, ORDER)})
+    low_context: dict[int, Cells] = field(default_factory=lambda: {k: _no_cells() for k in range(1, ORDER)})
 
     def evidence(self, words: list[str], at_once: int = 4096) -> np.ndarray:
         """(log p(word | toxic) - log p(word | ordinary)) / length, for each word."""
@@ -129,15 +155,15 @@ class KneserNey:
         hashes = {k: _gram_hash(codes, k) for k in range(1, ORDER + 1)}
         before = {k: np.concatenate([[np.uint64(0)], hashes[k][:-1]]) for k in range(1, ORDER)}
         for k in range(1, ORDER):
-            context = _bucket(before[k - 1], CONTEXT_BITS) if k > 1 else np.zeros(len(codes), np.int64)
-            total, types = self.low_total[k][context], self.low_types[k][context]
-            own = np.maximum(self.low_gram[k][_bucket(hashes[k], CONTEXT_BITS)] - DISCOUNT, 0)
+            context = self.low_context[k].at(before[k - 1] if k > 1 else np.full(len(codes), _ROOT))
+            total, types = self.low_context[k].values[:, context]
+            own = np.maximum(self.low_gram[k].values[0, self.low_gram[k].at(hashes[k])] - DISCOUNT, 0)
             p = np.where(total > 0, (own + DISCOUNT * types * p) / np.maximum(total, 1), p)
-        context, gram = _bucket(before[ORDER - 1], CONTEXT_BITS), _bucket(hashes[ORDER], GRAM_BITS)
+        context, gram = self.total.at(before[ORDER - 1]), self.gram.at(hashes[ORDER])
         logs = []
         for y in (1, 0):
-            total, types = self.total[y][context], self.types[y][context]
-            own = np.maximum(self.gram[y][gram] - DISCOUNT, 0)
+            total, types = self.total.values[y, context], self.types.values[y, context]
+            own = np.maximum(self.gram.values[y, gram] - DISCOUNT, 0)
             logs.append(np.log(np.where(total > 0, (own + DISCOUNT * types * p) / np.maximum(total, 1), p)))
         return logs[0] - logs[1]
 
@@ -194,19 +220,15 @@ def word_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "t
     return counted.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _fold(kind: int, order: int, bits: int):
+def _keyed(kind: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros(1 << bits), np.zeros(1 << bits)
         for batch in batches:
             grams = batch.column(0).to_pylist()
             if grams and order:
-                at = _bucket(_gram_hash(_codes(grams), order)[order - 1 :: order], bits)
+                key = _gram_hash(_codes(grams), order)[order - 1 :: order]
             else:
-                at = np.zeros(len(grams), np.int64)
-            np.add.at(a, at, batch.column(1).to_numpy().astype(np.float64))
-            np.add.at(b, at, batch.column(2).to_numpy().astype(np.float64))
-        at = np.flatnonzero((a > 0) | (b > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(a[at]), pa.array(b[at])], names=["kind", "bucket", "a", "b"])
+                key = np.full(len(grams), _ROOT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), kind, np.int32)), pa.array(key.view(np.int64)), batch.column(1).cast(pa.float64()), batch.column(2).cast(pa.float64())], names=["kind", "key", "a", "b"])
 
     return run
 
@@ -222,7 +244,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def statistics(grams: DataFrame, which: str) -> DataFrame:
-    """(kind, bucket, a, b): every Kneser-Ney statistic, folded; kinds are table numbers.
+    """(kind, key, a, b): every Kneser-Ney statistic, one row a gram; kinds are table numbers.
 
     0: 5-gram counts by class; 1: context totals by class; 2: context types by class;
     10 + k: continuation counts of k-grams; 20 + k: their contexts' totals and types.
@@ -230,38 +252,36 @@ def statistics(grams: DataFrame, which: str) -> DataFrame:
     top = grams.select("g", F.col(f"{which}0").alias("a"), F.col(f"{which}1").alias("b")).where("a + b > 0")
     seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     context = top.groupBy(F.substring("g", 1, ORDER - 1).alias("c"))
-    shape = "kind int, bucket long, a double, b double"
+    shape = "kind int, key long, a double, b double"
     parts = [
-        top.select("g", "a", "b").mapInArrow(_fold(0, ORDER, GRAM_BITS), shape),
-        context.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).mapInArrow(_fold(1, ORDER - 1, CONTEXT_BITS), shape),
-        context.agg(seen("a").alias("a"), seen("b").alias("b")).mapInArrow(_fold(2, ORDER - 1, CONTEXT_BITS), shape),
+        top.select("g", "a", "b").mapInArrow(_keyed(0, ORDER), shape),
+        context.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).mapInArrow(_keyed(1, ORDER - 1), shape),
+        context.agg(seen("a").alias("a"), seen("b").alias("b")).mapInArrow(_keyed(2, ORDER - 1), shape),
     ]
     higher = top.select("g")
     for k in range(ORDER - 1, 0, -1):
         level = written(higher.groupBy(F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).alias("n")), "continuations")
-        parts.append(level.select("g", "n", F.lit(0).alias("z")).mapInArrow(_fold(10 + k, k, CONTEXT_BITS), shape))
+        parts.append(level.select("g", "n", F.lit(0).alias("z")).mapInArrow(_keyed(10 + k, k), shape))
         contexts = level.groupBy(F.substring("g", 1, k - 1).alias("c")).agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("b"))
-        parts.append(contexts.mapInArrow(_fold(20 + k, k - 1, CONTEXT_BITS), shape))
+        parts.append(contexts.mapInArrow(_keyed(20 + k, k - 1), shape))
         higher = level.select("g")
-    folded = parts[0]
+    keyed = parts[0]
     for part in parts[1:]:
-        folded = folded.unionByName(part)
-    return folded.groupBy("kind", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        keyed = keyed.unionByName(part)
+    return keyed
 
 
 def collected(stats: DataFrame) -> KneserNey:
-    """The folded arrays on the driver: a fixed number of rows at most, whatever the corpus."""
-    model = KneserNey()
-    table = stats.select("kind", F.col("bucket").cast("int").alias("bucket"), F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b")).toArrow()
-    kind, at, a, b = (table.column(c).to_numpy() for c in ("kind", "bucket", "a", "b"))
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {0: tuple(model.gram), 1: tuple(model.total), 2: tuple(model.types)}
-    for k in range(1, ORDER):
-        tables[10 + k] = (model.low_gram[k], np.zeros(1 << CONTEXT_BITS, np.float32))
-        tables[20 + k] = (model.low_total[k], model.low_types[k])
-    for which, (x, y) in tables.items():
-        mine = kind == which
-        x[at[mine]], y[at[mine]] = a[mine], b[mine]
-    return model
+    """The tables on the driver: a row for each distinct gram and context."""
+    table = stats.select("kind", "key", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b")).toArrow()
+    kind, key, a, b = (table.column(c).to_numpy() for c in ("kind", "key", "a", "b"))
+
+    def cells(which: int) -> Cells:
+        mine = np.flatnonzero(kind == which)
+        return Cells(key[mine].view(np.uint64), a[mine], b[mine])
+
+    orders = range(1, ORDER)
+    return KneserNey(cells(0), cells(1), cells(2), {k: cells(10 + k) for k in orders}, {k: cells(20 + k) for k in orders})
 
 
 FEATURES = ("mean", "first", "second", "third", "length")
@@ -269,28 +289,29 @@ FEATURES = ("mean", "first", "second", "third", "length")
 
 def _evidence_rows(model: KneserNey, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
-    for i, text in enumerate(texts):
-        words = text_words(text)
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    every = [text_words(t) for t in texts]
+    new = [w for w in set().union(*every) if w not in known]
+    runs = {w: model.run_evidence(w) for w in new if len(w) > LONG_RUN}
+    new = [w for w in new if w not in runs] if runs else new
+    if new:
+        known.update(zip(new, model.evidence(new).tolist()))
+    known.update((w, whole) for w, (whole, _) in runs.items())
+    for i, words in enumerate(every):
         if not words:
             continue
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        distinct = set(words)
-        new = [w for w in distinct if w not in known]
-        runs = {w: model.run_evidence(w) for w in new if len(w) > LONG_RUN}
-        if len(runs) < len(new):
-            new = [w for w in new if w not in runs]
-            known.update(zip(new, model.evidence(new).tolist()))
-        known.update((w, whole) for w, (whole, _) in runs.items())
         out[i, 0] = np.fromiter(map(known.__getitem__, words), np.float64, len(words)).mean()
-        for w in runs:
-            del known[w]
-        best = list(map(known.__getitem__, distinct - runs.keys() if runs else distinct))
-        for _, stretches in runs.values():
-            best += stretches
+        distinct = set(words)
+        here = runs.keys() & distinct if runs else ()
+        best = list(map(known.__getitem__, distinct.difference(here)))
+        for w in here:
+            best += runs[w][1]
         best = nlargest(3, best)
         out[i, 1 : 1 + len(best)] = best
         out[i, 4] = np.log1p(len(words))
+    for w in runs:
+        del known[w]
     return out
 
 
@@ -300,10 +321,10 @@ def _features(model_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for lo in range(0, batch.num_rows, 100):
-                part = batch.slice(lo, 100)
-                values = _evidence_rows(model_ref.value, texts.slice(lo, 100).to_pylist(), known)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for lo, hi in in_pieces(texts, 1 << 18):
+                part = batch.slice(lo, hi - lo)
+                values = _evidence_rows(model_ref.value, texts[lo:hi], known)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c) for c in values.T]], names=[*part.schema.names[:-1], *[f"__{f}" for f in FEATURES]])
 
     return run
