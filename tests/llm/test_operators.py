@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -239,16 +240,37 @@ def test_bpe_equals_the_library(tokenizer, text):
 
 
 def test_compatible_is_plain_bpe():
-    rng = random.Random(2)
-    tokens = rng.sample(sorted(_BPE.names), 1500)
-    for a, b in zip(tokens, tokens[1:]):
-        assert _BPE.compatible(a, b) == (_BPE.merged(_BPE.names[a] + _BPE.names[b]) == [_BPE.names[a], _BPE.names[b]])
+    import json
+
+    model = json.loads(SPEC)["model"]
+    ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
+    tokens = random.Random(2).sample(sorted(t for t in model["vocab"] if bpe._merged(t, ranks) == [t]), 1500)
+    ids = np.array([model["vocab"][t] for t in tokens])
+    want = [bpe._merged(a + b, ranks) == [a, b] for a, b in zip(tokens, tokens[1:])]
+    for _ in range(2):  # tested, then from the table of pairs
+        assert _BPE.compatible(ids[:-1], ids[1:]).tolist() == want
 
 
 def test_chunks_join_to_the_text():
-    for text in ("a b\nc", "x", "", "a, b\nc d."):
-        assert "".join(pretoken.chunks(text)) == text
-    assert pretoken.chunks("a  b") is None and pretoken.chunks(" a") is None and pretoken.chunks("a\n\nb") is None
+    texts = ["a b\nc", "x", "", None, "a, b\nc d.", "a  b", " a", "a\n\nb", "it's 3.14, no?", "a\u3000b"]
+    got = pretoken.chunk_lists(pa.array(texts), lambda t: [t[:1], t[1:]]).to_pylist()
+    assert ["".join(x) for x in got] == [t or "" for t in texts]
+    assert got[5] == ["a", "  b"] and got[8] == ["it's", " 3", ".14", ",", " no", "?"]
+
+
+def test_long_words_and_texts(tokenizer):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (191, 192, 193, 5000)] + ["é" * 3000, "a b " * 30_000 + "end"]
+    got = _BPE.encode_texts(pa.array(texts))
+    assert got.to_pylist() == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert _BPE.decode_lists(got).to_pylist() == texts
+
+
+def test_ids_that_are_no_text_are_replaced(tokenizer):
+    rng = random.Random(6)
+    for _ in range(200):
+        ids = [rng.randrange(50_000) for _ in range(12)]
+        assert _BPE.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_of_odd_rows(odd, none, tokenizer):
@@ -290,7 +312,8 @@ def test_narrow_fields_read_at_random(tmp_path):
     ids = np.random.default_rng(1).integers(0, 2**17, 100_000).astype(np.uint32)
     w = packing._Writer(f"file://{tmp_path}", 17)
     for lo in range(0, len(ids), 999):
-        w.add(lo, ids[lo : lo + 999])
+        part = ids[lo : lo + 999]
+        w.add([lo], np.array([len(part)]), part)
     f = packing.IdFile(w.close()[0], f"file://{tmp_path}")
     for lo, hi in ((0, 5), (32767, 32770), (99_990, 100_000), (1234, 70_001)):
         assert f.ids(lo, hi).tolist() == ids[lo:hi].tolist()

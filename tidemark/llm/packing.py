@@ -15,7 +15,7 @@ range; the driver sees one row per file.
 
 Defined edge results: null and empty texts are the end id alone; an empty table gives no
 file; a null doc_id sorts first; repeated doc_ids are separate documents, ordered by text;
-other columns are ignored.
+a very long text is encoded whole and fills several blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import scratch_root, tasks_for, written
-from tidemark.llm.pretoken import chunks
-from tidemark.llm.shingles import in_pieces
+from tidemark.llm.pretoken import ChunkIds, chunk_lists
 
 MAGIC = b"TMBP0001"
 HEADER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 1 << 15
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
+#: Chunks that the library reads as one text: its own result takes some 100 bytes a token.
+LEARNT_AT_ONCE = 20_000
+#: Ids that are read from a file at once, more only for one document that holds more.
+READ_IDS = 1 << 19
 END_ID = 0
 NULL_ID = -(1 << 63)
+ROWS_AT_ONCE = 1024
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -72,8 +76,9 @@ def unpack(data: bytes | memoryview, width: int, n: int, first: int = 0) -> np.n
 class Encoder:
     """The tokenizers library over chunks that it treats alone, with a cache of their ids.
 
-    New chunks of many texts go to the library as one text, joined by newlines: a lone
-    newline is a token of its own, so its id tells the chunks' ids apart again.
+    New chunks of a batch go to the library as one text, joined by newlines: a lone newline
+    is a token of its own, so its id tells the chunks' ids apart again.  Texts that are not
+    cut into chunks go to it whole, marked by a leading zero character.
     """
 
     def __init__(self, spec: str):
@@ -84,50 +89,27 @@ class Encoder:
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._library("\n")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks = ChunkIds(self._learn, CACHED_CHUNKS)
 
     def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.young) + len(new) > CACHED_CHUNKS:
-            self.old, self.young = self.young, {}
-        ids = self._library("\n".join(new))
-        cuts = np.flatnonzero(ids == self.newline[0])
-        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-        if len(starts) != len(new):
-            raise ValueError("the vocabulary does not keep newlines apart")
-        data = ids.tobytes()
-        self.young.update((chunk, data[lo:hi]) for chunk, lo, hi in zip(new, starts, ends))
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [chunks(t) if t and not any(x in t for x in self.added) else None for t in texts]
-        needed = set().union(*[c for c in cut if c])
-        needed.discard("\n")
-        young, old = self.young, self.old
-        new = []
-        for chunk in needed:
-            if chunk not in young:
-                if chunk in old:
-                    young[chunk] = old[chunk]
-                else:
-                    new.append(chunk)
-        if new:
-            self._learn(new)
-        if self.young is not young:  # a new generation began: fetch what this call needs
-            self.young.update((c, young[c]) for c in needed if c in young)
-        known = self.young
-        known["\n"] = self.newline.tobytes()
-        out = []
-        for text, parts in zip(texts, cut):
-            if not text:
-                out.append(np.empty(0, np.uint32))
-            elif parts is None:
-                out.append(self._library(text))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32))
-        return out
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        known = {c: self._library(c[1:]).tobytes() for c in new if c[:1] == "\0"} | {"\n": self.newline.tobytes(), "": b""}
+        plain = [c for c in new if c not in known]
+        for lo in range(0, len(plain), LEARNT_AT_ONCE):
+            part = plain[lo : lo + LEARNT_AT_ONCE]
+            ids = self._library("\n".join(part))
+            cuts = np.flatnonzero(ids == self.newline[0])
+            starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            if len(starts) != len(part):
+                raise ValueError("the vocabulary does not keep newlines apart")
+            data = ids.tobytes()
+            known.update((chunk, data[lo:hi]) for chunk, lo, hi in zip(part, starts, ends))
+        return [known[c] for c in new]
+
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        return self.chunks.lists(chunk_lists(texts, lambda t: ["\0" + t], self.added))
 
 
 _encoders: dict[int, Encoder] = {}
@@ -155,9 +137,10 @@ class _Writer:
         self.body = self.fs.open_output_stream(self.path + ".body")
         self.size = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.firsts.append(self.n_ids)
+    def add(self, doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Whole documents: their ids one after another."""
+        self.doc_ids += doc_ids
+        self.firsts += (self.n_ids + np.cumsum(lengths) - lengths).tolist()
         self.n_ids += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -165,7 +148,7 @@ class _Writer:
             every = np.concatenate(self.held)
             for lo in range(0, len(every) - BLOCK_IDS + 1, BLOCK_IDS):
                 self._block(every[lo : lo + BLOCK_IDS])
-            rest = every[len(every) // BLOCK_IDS * BLOCK_IDS :]
+            rest = every[len(every) // BLOCK_IDS * BLOCK_IDS :].copy()
             self.held, self.n_held = [rest], len(rest)
 
     def _block(self, ids: np.ndarray) -> None:
@@ -192,13 +175,14 @@ def _write(spec_ref, root: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, least = _encoder(spec_ref.value), None, None
         for batch in batches:
-            for lo, hi in in_pieces(batch.column(1).to_pylist()):
-                part = batch.slice(lo, hi - lo)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
-                    doc_id = NULL_ID if doc_id is None else doc_id
-                    if writer is None:
-                        writer, least = _Writer(root, width), doc_id
-                    writer.add(doc_id, np.append(ids, np.uint32(END_ID)))
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                lists = encoder.lists(part.column(1))
+                doc_ids = [NULL_ID if d is None else d for d in part.column(0).to_pylist()]
+                if writer is None:
+                    writer, least = _Writer(root, width), doc_ids[0]
+                ends = lists.offsets.to_numpy()
+                writer.add(doc_ids, np.diff(ends) + 1, np.insert(lists.values.to_numpy(), ends[1:], END_ID))
         if writer is not None:
             path, docs, ids = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([least]), pa.array([writer.doc_ids[-1]]), pa.array([docs]), pa.array([ids])], names=["path", "first_doc", "last_doc", "docs", "ids"])
@@ -272,14 +256,16 @@ def _read(root: str):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 source = IdFile(path, root)
-                for lo in range(0, source.n_docs, 256):
-                    hi = min(lo + 256, source.n_docs)
+                lo = 0
+                while lo < source.n_docs:
                     base = source.firsts[lo]
+                    hi = max(lo + 1, int(np.searchsorted(source.firsts, base + READ_IDS, side="right")) - 1)
                     every = source.ids(int(base), int(source.firsts[hi])).astype(np.int32)
                     cuts = (source.firsts[lo : hi + 1] - base).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(every))
                     keys = pa.array([None if k == NULL_ID else k for k in source.doc_ids[lo:hi].tolist()], pa.int64())
                     yield pa.RecordBatch.from_arrays([keys, pa.array(source.firsts[lo:hi] + start), ids], names=["doc_id", "start", "ids"])
+                    lo = hi
 
     return run
 
