@@ -30,25 +30,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _crc32_of_ids(batches):
-    import zlib
-
-    import pyarrow as pa
-
-    for batch in batches:
-        ids = batch.column(2)
-        # unsigned 32-bit little-endian: the ids as they lie in the Arrow buffer
-        crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids]
-        counts = pa.array([len(x.values) for x in ids], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.read_spec(vocabulary_path())
     root = f"{scratch_root(spark)}/ids-{uuid.uuid4().hex[:12]}"
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = packing.write_ids(docs, spec, root)
-    return packing.read_ids(spark, manifest, root).mapInArrow(_crc32_of_ids, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return packing.read_checksums(spark, manifest, root)
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ HEADER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 1 << 15
 CACHED_CHUNKS = 250_000
 #: Chunks that the library reads as one text: its own result takes some 100 bytes a token.
-LEARNT_AT_ONCE = 20_000
+LEARNT_AT_ONCE = 5_000
 #: Ids that are read from a file at once, more only for one document that holds more.
 READ_IDS = 1 << 19
 END_ID = 0
@@ -251,21 +252,34 @@ def _unpack_from(raw: np.ndarray, width: int, n: int, skip: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], root: str):
+    """(doc ids, first ids in the whole data set, ids, bounds) of ranges of documents."""
+    for batch in batches:
+        for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            source, lo = IdFile(path, root), 0
+            while lo < source.n_docs:
+                base = source.firsts[lo]
+                hi = max(lo + 1, int(np.searchsorted(source.firsts, base + READ_IDS, side="right")) - 1)
+                keys = pa.array([None if k == NULL_ID else k for k in source.doc_ids[lo:hi].tolist()], pa.int64())
+                yield keys, pa.array(source.firsts[lo:hi] + start), source.ids(int(base), int(source.firsts[hi])), source.firsts[lo : hi + 1] - base
+                lo = hi
+
+
 def _read(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                source = IdFile(path, root)
-                lo = 0
-                while lo < source.n_docs:
-                    base = source.firsts[lo]
-                    hi = max(lo + 1, int(np.searchsorted(source.firsts, base + READ_IDS, side="right")) - 1)
-                    every = source.ids(int(base), int(source.firsts[hi])).astype(np.int32)
-                    cuts = (source.firsts[lo : hi + 1] - base).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(every))
-                    keys = pa.array([None if k == NULL_ID else k for k in source.doc_ids[lo:hi].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(source.firsts[lo:hi] + start), ids], names=["doc_id", "start", "ids"])
-                    lo = hi
+        for keys, starts, every, bounds in _ranges(batches, root):
+            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(every.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([keys, starts, ids], names=["doc_id", "start", "ids"])
+
+    return run
+
+
+def _sum_up(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, starts, every, bounds in _ranges(batches, root):
+            raw = memoryview(every.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([keys, starts, pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -274,3 +288,12 @@ def read_ids(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """(doc_id, start, ids) of every document, read back from the packed files."""
     files = manifest.select("path", "start").repartition(tasks_for(spark), "path")
     return files.mapInArrow(_read(root), "doc_id long, start long, ids array<int>")
+
+
+def read_checksums(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from its ids read back.
+
+    The checksum is that of the ids as little-endian unsigned 32-bit integers, unsigned.
+    """
+    files = manifest.select("path", "start").repartition(tasks_for(spark), "path")
+    return files.mapInArrow(_sum_up(root), "doc_id long, start long, n_tokens long, ids_crc32 long")
