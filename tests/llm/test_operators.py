@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +95,43 @@ def test_near_duplicates_are_brute_force(spark):
     assert got == brute_classes(texts)
 
 
-def test_estimate_is_close(spark):
-    rng = random.Random(1)
-    a = base(rng, 900)
-    b = a[:800] + base(rng, 100)
-    rows, hashes = shingles.hashed_shingles([" ".join(a), " ".join(b)])
-    reg = near_dedup.registers_of(rows, hashes, 2)
-    x, y = shingles.exact_shingles(" ".join(a)), shingles.exact_shingles(" ".join(b))
-    assert abs(near_dedup.estimate(reg[0], reg[1], len(x), len(y)) - len(x & y) / len(x | y)) < 0.15
+def test_short_sets_lose_no_link(spark):
+    """Sizes 1 to 40, pairs at 0.75 exactly, just above and just below: no link is lost."""
+    rng, texts = random.Random(12), {}
+    for size in range(1, 41):
+        for drop in range(0, size // 3 + 1):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(size + 4)]
+            texts[len(texts)] = " ".join(words)
+            texts[len(texts)] = " ".join(words[: len(words) - drop])
+    for _ in range(200):  # 8 words and their first 7: 3 of 4 shingles
+        words = [f"w{rng.randrange(10**9)}" for _ in range(8)]
+        texts[len(texts)], texts[len(texts)] = " ".join(words), " ".join(words[:7])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_classes(texts)
+
+
+@pytest.mark.parametrize("a, b, common", [(3, 4, 3), (6, 8, 6), (30, 40, 30), (108, 144, 108), (192, 256, 192), (195, 260, 195), (280, 280, 240), (700, 700, 600)])
+def test_bands_recall_sets_of_every_size(a, b, common):
+    rng, pairs = np.random.default_rng(a), 400
+    every = [rng.integers(0, 2**64, a + b - common, dtype=np.uint64) for _ in range(pairs)]
+    hashes = [np.sort(x) for h in every for x in (h[:a], h[a - common :])]
+    raw = near_dedup.registers_of(np.repeat(np.arange(2 * pairs), [a, b] * pairs), np.concatenate(hashes), 2 * pairs)
+    small = max(a, b) <= near_dedup.SMALL_TO
+    reg = near_dedup._matrix(raw, small)
+    keys = near_dedup.band_keys(reg, small)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+    near = near_dedup.estimate(reg[::2], reg[1::2], np.full(pairs, a), np.full(pairs, b), small)
+    assert near.min() >= 0.5 and abs(near.mean() - common / (a + b - common)) < 0.01
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    t, u, v, w = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuvw")
+    rows = [(3, t), (5, t), (5, u), (7, u), (None, t), (9, v), (9, w), (11, w), (9, v), (12, None), (12, v), (13, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r["id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (5, 3, False), (7, 3, False), (None, None, True), (9, 9, True), (11, 9, False), (12, 9, False), (13, 13, True)}
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
@@ -353,6 +383,21 @@ def test_fingerprints_are_brute_force(spark, bits):
     assert all((seen[a] == seen[b]) == (by[a] == by[b]) for a in by for b in by)
 
 
+@pytest.mark.parametrize("bits", [128, 4])
+def test_equal_texts_of_repeated_ids_have_equal_fingerprints(spark, bits):
+    texts = ["alpha beta", "gamma delta", "alpha  BETA", None, "x", "gamma delta!", ""]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (2, texts[2]), (3, texts[1]), (3, texts[4]), (3, texts[3]), (None, texts[5]), (5, texts[6])]
+    got = fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
+    prints = {}
+    for r in got:
+        prints.setdefault((r["id"], r["n_chars"]), set()).add(r["fingerprint"])
+    assert len(got) == len(rows)
+    everyone = [fingerprints.canonical(t) for _, t in rows]
+    assert len({r["fingerprint"] for r in got}) == len(set(everyone))
+    assert prints[(1, 10)] == prints[(2, 10)] == prints[(2, 11)]
+    assert prints[(3, 11)] == prints[(1, 11)] and prints[(3, 0)] == prints[(5, 0)]
+
+
 def test_fingerprints_of_odd_rows(spark, odd, none):
     got = fingerprints.document_fingerprints(odd)
     assert got.count() == odd.count()
@@ -449,16 +494,62 @@ def test_shards_of_odd_rows(odd, none):
     assert sharding.sharded(none).count() == 0
 
 
+def brute_edf(weights, slots):
+    """Earliest deadline first, slot by slot, over exact fractions of the weights."""
+    total = sum(map(Fraction, weights.values()))
+    w = {s: Fraction(x) / total for s, x in weights.items()}
+    done, out = Counter(), []
+    for t in range(slots):
+        released = [s for s in w if done[s] // w[s] <= t]
+        out.append(min(released, key=lambda s: (-(-(done[s] + 1) // w[s]), s is None, s or "")))
+        done[out[-1]] += 1
+        assert all(abs(done[s] - w[s] * (t + 1)) < 1 for s in w)
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.text("abc", max_size=3), st.integers(1, 40), min_size=1, max_size=9))
+def test_pfair_is_edf_over_twenty_periods(weights):
+    shares = mixing.whole_shares(weights)
+    period = mixing.pfair_period(shares)
+    assert len(period) == sum(shares.values()) and all(shares[s] * sum(weights.values()) == weights[s] * len(period) for s in weights)
+    assert period * 20 == brute_edf(weights, 20 * len(period))
+
+
+def test_decimal_weights_are_exact():
+    assert mixing.whole_shares({"a": 0.9, "b": 0.1}) == {"a": 9, "b": 1}
+    assert mixing.whole_shares({"a": 1, "b": 0}) == {"a": 1} and mixing.whole_shares({"a": 0.0}) == {}
+    many = mixing.whole_shares({f"s{i}": i + 0.37 for i in range(5000)})
+    assert len(many) == 5000 and min(many.values()) >= 1
+    with pytest.raises(ValueError):
+        mixing.whole_shares({"a": -1})
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.text("abc", max_size=3), st.floats(0.01, 100), min_size=1, max_size=9))
-def test_pfair_stays_within_one_block(weights):
-    shares = mixing.whole_shares(weights, 200)
-    slots = mixing.pfair_period(shares)
-    seen = Counter()
-    for t, s in enumerate(slots, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] * 200 - shares[x] * t) < 200 for x in shares)
-    assert seen == shares
+@given(st.dictionaries(st.text("ab", max_size=2), st.tuples(st.integers(1, 9), st.integers(0, 60)), min_size=1, max_size=5))
+def test_phases_place_every_block_once(sources):
+    shares, blocks = {s: w for s, (w, _) in sources.items()}, {s: n for s, (_, n) in sources.items()}
+    order, left = {}, dict(blocks)
+    for phase in mixing.phases(shares, blocks):
+        mine = {s: shares[s] for s in phase.turns}
+        assert all(left[s] > 0 for s in mine) and set(mine) == {s for s in left if left[s] > 0}
+        length = sum(phase.end[s] - phase.first[s] for s in mine)
+        want = brute_edf(mine, length)
+        for s, turns in phase.turns.items():
+            for k in range(phase.end[s] - phase.first[s]):
+                at = k // len(turns) * phase.period + turns[k % len(turns)]
+                assert want[at] == s
+                order[phase.start + at] = s
+            left[s] -= phase.end[s] - phase.first[s]
+    assert not any(left.values()) and sorted(order) == list(range(sum(blocks.values())))
+
+
+def test_mix_keeps_all_rows_of_uneven_sources(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4995, "large").otherwise("small").alias("source"))
+    got = mixing.mixed(rows, mixing.tempered_weights(rows)).collect()
+    assert len(got) == 5000 and len({(r["slot"], r["place"]) for r in got}) == 5000
+    slots = sorted({r["slot"] for r in got})
+    assert slots == list(range(len(slots))) and len(slots) == 626
 
 
 def test_mix_meets_its_weights(spark):
@@ -466,11 +557,9 @@ def test_mix_meets_its_weights(spark):
     weights = {"hot": 2.0, "mid": 1.0, None: 1.0}
     got = mixing.mixed(rows, weights, block_rows=8).collect()
     assert len(got) == 6000 and len({(r["slot"], r["place"]) for r in got}) == 6000
-    mix = [r for r in got if r["in_mix"]]
-    counts, n = Counter(r["source"] for r in mix), len(mix)
-    for s, w in weights.items():
-        assert abs(counts[s] - n * w / 4) <= 16
-    assert n >= 3900
+    by_slot = {r["slot"]: r["source"] for r in got if r["in_mix"]}
+    assert len(by_slot) >= 495 and [by_slot[t] for t in range(len(by_slot))] == brute_edf(weights, len(by_slot))
+    assert sorted({r["slot"] for r in got}) == list(range(750))
 
 
 def test_mix_of_odd_rows(odd, none):

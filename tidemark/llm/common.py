@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _scratch_roots: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 #: Bytes of rows handed to Python at once; a batch of long texts is held several times over.
@@ -38,6 +40,8 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _scratch_roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(_remove, spark, base)
         _scratch_roots[app] = f"{base.rstrip('/')}/tidemark/{app}"
@@ -59,7 +63,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        if table is not None and table in _paths:
+            _remove(table.sparkSession, _paths.pop(table))
 
 
 def tasks_for(spark: SparkSession) -> int:
@@ -115,15 +128,19 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         at_a = jumped.select(F.col("id").alias("a"), F.col("to").alias("ra"))
         at_b = jumped.select(F.col("id").alias("b"), F.col("to").alias("rb"))
         moved = rest.join(at_a, "a").join(at_b, "b").where("ra <> rb")
-        rest = written(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-edges")
+        left_over = written(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-edges")
+        discard(rest, hook)
+        rest = left_over
         if labels is None:
             labels = jumped
         else:
             step = jumped.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            labels = labels.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-            labels = written(labels, "cc-labels")
+            moved = written(labels.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "cc-labels")
+            discard(labels, jumped)
+            labels = moved
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    discard(rest)
     if labels is None:
         return spark.createDataFrame([], "id bigint, component bigint")
     return labels.select("id", F.col("to").alias("component"))
@@ -148,3 +165,10 @@ def probably_in(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name in columns:
+        name = "_" + name
+    return name

@@ -3,19 +3,28 @@
 Every text becomes 128 registers, one per hash bucket, each holding the leading-zero
 count and ten mantissa bits of the bucket's smallest hash.  Bands of four registers
 propose pairs; the Jaccard estimate, corrected for chance register collisions, drops
-the clearly different; full shingle sets decide the rest.
+the clearly different; full shingle sets (64-bit hashes of all shingles) decide the rest.
+
+Sets too small to fill the buckets (``SMALL_TO`` shingles at most) would have registers
+that depend on each other, so each of theirs takes the smallest of all the set's hashes
+under a salt of its own.  Sets of more than ``SMALL_FROM`` have both kinds up to that size,
+so that any two sets of 0.75 similarity meet in one kind, the one of the larger set.
 
 Large groups never become all pairs.  Identical sets collapse to one representative
 first.  Then, per band bucket, members are compared with two centres only, linked ones
 are contracted, and this repeats with other centres; what is still in different
-components of one bucket is compared exhaustively in small register blocks, so no link
-that a band proposes is lost.
+components of one bucket is compared exhaustively in small register blocks.
 
-Two sets at Jaccard 0.75 share no band with probability (1 - 0.75**4)**32, about 5e-6.
+What may be missed: two sets at Jaccard 0.75 exactly share no band with probability
+(1 - 0.75**4)**32, about 5e-6, at every set size, less above 0.75.  The estimates are cut six
+standard errors below ``similarity`` (some 1e-9); sets of ``LOW_HASHES`` at most are
+compared whole instead of estimated in the exhaustive comparison.
 
 Defined edge results: null, empty and white-space texts have no shingles and link with
-nothing; a null id gets no component; repeated rows of one id count as one document
-(any of its texts may link it); other columns are ignored.
+nothing; a null id gets no component and is kept, and its text links nothing; rows of one
+id are one document, whichever of its texts links it, and have one component; equal texts
+share one component; texts of any length are hashed whole, segment by segment; ties at
+``similarity`` link; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,168 +33,211 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, tasks_for, written
-from tidemark.llm.shingles import exact_shingles, hashed_shingles, in_pieces, mix
+from tidemark.llm.common import connected_components, discard, tasks_for, written
+from tidemark.llm.shingles import hashed_shingles, in_pieces, mix
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
-#: Estimates below ``similarity`` by more than this (over four standard errors) are dropped.
-ESTIMATE_SLACK = 0.17
+#: Sets of up to SMALL_TO shingles have salted registers, those of more than SMALL_FROM bucket
+#: registers; SMALL_FROM is under 0.75 * SMALL_TO.
+SMALL_FROM, SMALL_TO = 144, 256
+#: Estimates below ``similarity`` by more than this (over six standard errors) are dropped.
+ESTIMATE_SLACK = 0.25
 #: Members of a bucket that meet in one task of the exhaustive comparison, from each side.
 BLOCK = 256
 #: Smallest shingle hashes kept for that comparison: whole sets up to this size.
 LOW_HASHES = 512
 #: Their estimate has a standard error under 0.02; whole sets need room for chance equalities only.
-LOW_SLACK = 0.09
-_DONOR_TRIES = 40
+LOW_SLACK = 0.13
+_BYTES = 2 * REGISTERS
+
+
+def _cells_of(hashes: np.ndarray) -> np.ndarray:
+    """Register values: leading zeros of the hashes and the bits that follow, from 1 on."""
+    fraction, exponent = np.frexp(hashes.astype(np.float64))
+    zeros = np.minimum(64 - exponent, 62).astype(np.int64)
+    steps = np.clip((fraction * 2 - 1) * (1 << MANTISSA_BITS), 0, (1 << MANTISSA_BITS) - 1)
+    return (1 + zeros * (1 << MANTISSA_BITS) + steps.astype(np.int64)).astype(np.uint16)
 
 
-def registers_of(rows: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarray:
-    """(text, bucket) registers of sorted distinct hashes; empty buckets borrow from donors.
+def bucket_registers(rows: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarray:
+    """(text, bucket) registers of sorted distinct hashes; empty buckets borrow from filled ones.
 
-    A borrowed register is the same in two sets whenever its donor bucket's minimum is,
-    so short texts keep the collision probability of their Jaccard similarity.
+    Which one is lent follows from an order of the buckets that every place has for itself,
+    so borrowed registers depend on each other no more than their donors' number forces.
     """
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     cell = rows * REGISTERS + bucket
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]
-    fraction, exponent = np.frexp((hashes[first] << np.uint64(BUCKET_BITS)).astype(np.float64))
-    zeros = np.minimum(64 - exponent, 62)
-    steps = np.clip((fraction * 2 - 1) * (1 << MANTISSA_BITS), 0, (1 << MANTISSA_BITS) - 1)
     own = np.zeros(n_texts * REGISTERS, np.uint16)
-    own[cell[first]] = 1 + zeros.astype(np.int64) * (1 << MANTISSA_BITS) + steps.astype(np.int64)
+    own[cell[first]] = _cells_of(hashes[first] << np.uint64(BUCKET_BITS))
     own = own.reshape(n_texts, REGISTERS)
-    sparse = np.flatnonzero((own == 0).any(axis=1) & (own != 0).any(axis=1))
-    if len(sparse):
-        mine, out = own[sparse], own[sparse].copy()
-        places = np.arange(REGISTERS, dtype=np.uint64)
-        for turn in range(1, _DONOR_TRIES + 1):
-            donor = (mix(places * np.uint64(0x632BE59BD9B4E019) + np.uint64(turn)) % np.uint64(REGISTERS)).astype(np.int64)
-            out = np.where(out == 0, mine[:, donor], out)
-        order = np.argsort(mix(places + np.uint64(0x51ED270B)))
-        last = mine[np.arange(len(mine)), order[(mine[:, order] != 0).argmax(axis=1)]]
-        own[sparse] = np.where(out == 0, last[:, None], out)
+    for text in np.flatnonzero((own == 0).any(axis=1) & (own != 0).any(axis=1)):
+        mine = own[text]
+        empty, filled = np.flatnonzero(mine == 0), np.flatnonzero(mine)
+        turn = mix((empty[:, None] * REGISTERS + filled).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        mine[empty] = mine[filled[turn.argmin(axis=1)]]
     return own
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """(text, band) keys: four registers side by side, mixed with the band's number."""
+_SALTS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x51ED270B51ED270B))
+
+
+def salted_registers(hashes: np.ndarray) -> np.ndarray:
+    """Registers of one small set: each the smallest of all hashes under its own salt."""
+    return _cells_of(mix(hashes[:, None] ^ _SALTS).min(axis=0))
+
+
+def registers_of(rows: np.ndarray, hashes: np.ndarray, n_texts: int) -> list[bytes]:
+    """Bucket registers, salted registers or both, by set size; empty for empty sets."""
+    bounds = np.searchsorted(rows, np.arange(n_texts + 1))
+    sizes = np.diff(bounds)
+    large = np.flatnonzero(sizes > SMALL_FROM)
+    at = np.full(n_texts, -1)
+    at[large] = np.arange(len(large))
+    mine = np.flatnonzero(at[rows] >= 0)
+    buckets = bucket_registers(at[rows[mine]], hashes[mine], len(large))
+    out = []
+    for text, (lo, n) in enumerate(zip(bounds[:-1].tolist(), sizes.tolist())):
+        raw = buckets[at[text]].tobytes() if n > SMALL_FROM else b""
+        out.append(raw + salted_registers(hashes[lo : lo + n]).tobytes() if 0 < n <= SMALL_TO else raw)
+    return out
+
+
+def _matrix(raw: list[bytes], small: bool) -> np.ndarray:
+    """The salted registers of texts that have them, or the bucket registers."""
+    return np.frombuffer(b"".join(r[-_BYTES:] if small else r[:_BYTES] for r in raw), np.uint16).reshape(-1, REGISTERS)
+
+
+def band_keys(registers: np.ndarray, small: bool) -> np.ndarray:
+    """(text, band) keys: four registers side by side, mixed with the band's number and kind."""
     packed = np.ascontiguousarray(registers).view(np.uint64)
-    return mix(packed + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    number = np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * small)
+    return mix(packed + number * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def chance_collision(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def chance_collision(load_a: np.ndarray, load_b: np.ndarray) -> np.ndarray:
     """Probability that two different minima fall into one register cell.
 
-    A bucket's minimum is exponential with the bucket's load as rate.  Inside octave z all
-    cells have one width, so the product of both densities integrates in closed form.
+    A minimum is exponential with the register's load, the number of hashes that it is the
+    least of, as rate.  Inside octave z all cells have one width, so the product of both
+    densities integrates in closed form.
     """
-    a, b = np.broadcast_arrays(np.maximum(n_a, 1) / REGISTERS, np.maximum(n_b, 1) / REGISTERS)
+    a, b = np.broadcast_arrays(np.maximum(load_a, 1 / REGISTERS), np.maximum(load_b, 1 / REGISTERS))
     top = 2.0 ** -np.arange(32)
     both = (a + b)[..., None]
     octaves = top / 2 / (1 << MANTISSA_BITS) * (np.exp(-both * top / 2) - np.exp(-both * top))
     return np.clip(octaves.sum(axis=-1) * a * b / (a + b), 0, 0.5)
 
 
-def estimate(reg_a: np.ndarray, reg_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def estimate(reg_a: np.ndarray, reg_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, small: bool) -> np.ndarray:
     """Jaccard estimate: the share of equal registers, less the share that chance explains."""
     same = (reg_a == reg_b).mean(axis=-1)
-    chance = chance_collision(np.asarray(n_a, np.float64), np.asarray(n_b, np.float64))
+    per = 1 if small else REGISTERS
+    chance = chance_collision(np.asarray(n_a, np.float64) / per, np.asarray(n_b, np.float64) / per)
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
-def _batches(batch: pa.RecordBatch, names: list[str], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=names)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for lo, hi in in_pieces(texts):
             rows, hashes = hashed_shingles(texts[lo:hi])
-            n = np.bincount(rows, minlength=hi - lo)
-            signs = [np.zeros(hi - lo, np.uint64) for _ in range(2)]
-            for sign, salt in zip(signs, (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
-                np.add.at(sign, rows, mix(hashes ^ np.uint64(salt)))
-            reg = registers_of(rows, hashes, hi - lo)
+            n, sign_a, sign_b = _signs(rows, hashes, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array([r.tobytes() for r in reg], pa.binary())],
+                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sign_a), pa.array(sign_b), pa.array(registers_of(rows, hashes, hi - lo), pa.binary())],
                 names=["id", "n", "sign_a", "sign_b", "registers"],
             )
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, sign_a, sign_b, registers): set size, 128-bit set signature, register bytes."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "id long, n long, sign_a long, sign_b long, registers binary")
+def _signs(rows: np.ndarray, hashes: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes and two 64-bit sums that tell sets apart."""
+    signs = [np.zeros(n_texts, np.uint64) for _ in range(2)]
+    for sign, salt in zip(signs, (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
+        np.add.at(sign, rows, mix(hashes ^ np.uint64(salt)))
+    return np.bincount(rows, minlength=n_texts), signs[0].view(np.int64), signs[1].view(np.int64)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, sign_a, sign_b, registers): set size, 128-bit set signature, register bytes."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketch, "id long, n long, sign_a long, sign_b long, registers binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys = band_keys(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "rep"])
+        n, raw = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for small in (False, True):
+            at = np.flatnonzero((n <= SMALL_TO) if small else (n > SMALL_FROM))
+            if len(at):
+                keys = band_keys(_matrix([raw[i] for i in at], small), small)
+                node = np.repeat(batch.column(0).to_numpy()[at], BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.full(len(node), small)), pa.array(node)], names=["band", "small", "node"])
 
 
-def _likely(cut: float):
+def _likely(similarity: float):
+    percent = round(similarity * 100)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b, n_a, reg_a, n_b, reg_b = batch.columns
-                keep = estimate(_matrix(reg_a), _matrix(reg_b), n_a.to_numpy(), n_b.to_numpy()) >= cut
-                yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            reg_a, reg_b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            sized = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+            for small in (False, True):
+                at = np.flatnonzero(sized & ((np.maximum(n_a, n_b) <= SMALL_TO) == small))
+                if len(at):
+                    likeness = estimate(_matrix([reg_a[i] for i in at], small), _matrix([reg_b[i] for i in at], small), n_a[at], n_b[at], small)
+                    at = at[likeness >= similarity - ESTIMATE_SLACK]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["a", "b"])
 
     return run
 
 
-def _exact(similarity: float):
+def _confirmed(similarity: float):
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set] = {}
-
-        def shingles(key: int, text: str) -> set:
-            if key not in held:
-                if len(held) >= 16:
-                    held.clear()
-                held[key] = exact_shingles(text)
-            return held[key]
-
         for batch in batches:
             a, b, text_a, text_b = batch.columns
+            at = {}
+            for keys, column in ((a.to_pylist(), 2), (b.to_pylist(), 3)):
+                at.update((k, (column, i)) for i, k in enumerate(keys) if k not in at)
+            sets: dict[int, np.ndarray] = {}
+            names = list(at)
+            texts = [batch.column(c)[i].as_py() for c, i in at.values()]
+            for lo, hi in in_pieces(texts):
+                rows, hashes = hashed_shingles(texts[lo:hi])
+                bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
+                sets.update((names[lo + k], hashes[bounds[k] : bounds[k + 1]]) for k in range(hi - lo))
             keep = []
-            for i, j, s, t in zip(a.to_pylist(), b.to_pylist(), text_a, text_b):
-                x, y = shingles(i, s.as_py()), shingles(j, t.as_py())
-                # a quick bound first: the smaller set can't hold more than all of itself
-                ok = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y), 1)
-                if ok:
-                    common = len(x & y)
-                    ok = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            for i, j in zip(a.to_pylist(), b.to_pylist()):
+                x, y = sets[i], sets[j]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return run
 
 
 def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "sign_a", "sign_b", "n", "registers", "low", "text"]
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for lo, hi in in_pieces(texts):
             rows, hashes = hashed_shingles(texts[lo:hi])
             bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
             low = [(hashes[a:b][:LOW_HASHES] >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            reg = registers_of(rows, hashes, hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array(low, pa.binary())], names=["rep", "n", "registers", "low"])
+            n, sign_a, sign_b = _signs(rows, hashes, hi - lo)
+            reg = pa.array(registers_of(rows, hashes, hi - lo), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sign_a), pa.array(sign_b), pa.array(n), reg, pa.array(low, pa.binary()), batch.column(1).slice(lo, hi - lo)], names=names)
 
 
 def _low_jaccard(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, bool]:
@@ -214,26 +266,33 @@ def _block_pairs(similarity: float):
     """Pairs to confirm, from rows sorted by cell; a cell may span two batches."""
     cut, percent = similarity - ESTIMATE_SLACK, round(similarity * 100)
 
-    def likely(table: pa.Table) -> pa.RecordBatch:
-        cell, band, part, rep, comp, n = (table.column(c).to_numpy() for c in ("cell", "band", "part", "rep", "comp", "n"))
+    def likely(table: pa.Table, small: bool) -> pa.RecordBatch:
+        cell, band, part, node, comp, n = (table.column(c).to_numpy() for c in ("cell", "band", "part", "node", "comp", "n"))
         crossed = table.column("crossed").to_numpy()
-        reg, low = _matrix(table.column("registers").combine_chunks()), table.column("low").to_pylist()
-        keys = band_keys(reg)
+        reg, low = _matrix(table.column("registers").to_pylist(), small), table.column("low").to_pylist()
+        keys = band_keys(reg, small)
         found = []
         for x, y in _cell_pairs(cell):
-            fits = (comp[x] != comp[y]) & (crossed[x] == (part[x] != part[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            larger = np.maximum(n[x], n[y])
+            fits = (comp[x] != comp[y]) & (crossed[x] == (part[x] != part[y])) & (100 * np.minimum(n[x], n[y]) >= percent * larger) & ((larger <= SMALL_TO) == small)
             x, y = x[fits], y[fits]
             same = keys[x] == keys[y]  # a pair belongs to the first band that it shares
             first = keys[x, same.argmax(axis=1)] == band[x]
             x, y = x[first], y[first]
-            close = estimate(reg[x], reg[y], n[x], n[y]) >= cut
+            close = estimate(reg[x], reg[y], n[x], n[y], small) >= cut
             for i, j in zip(x[close].tolist(), y[close].tolist()):
                 likeness, whole = _low_jaccard(np.frombuffer(low[i], np.uint32), np.frombuffer(low[j], np.uint32), n[i], n[j])
                 if likeness >= similarity - (0.01 if whole else LOW_SLACK):
-                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def of_kinds(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        small = table.column("small").to_numpy()
+        for kind in (False, True):
+            if (small == kind).any():
+                yield likely(table.filter(pa.array(small == kind)), kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -245,78 +304,111 @@ def _block_pairs(similarity: float):
             whole = int(np.searchsorted(cell, cell[-1]))
             held = table.slice(whole)
             if whole:
-                yield likely(table.slice(0, whole))
+                yield from of_kinds(table.slice(0, whole))
         if held is not None:
-            yield likely(held)
+            yield from of_kinds(held)
 
     return run
 
 
+def _node(first: Column, clash: Column) -> Column:
+    """A set's number: its smallest id, or a negative hash where that id has other sets too."""
+    own = F.xxhash64("sign_a", "sign_b", "n").bitwiseOR(F.lit(-(1 << 63)))
+    return F.when(clash.isNotNull(), own).otherwise(first)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, star_rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept): near-duplicate classes of whole texts.
 
     Links join texts whose distinct five-word shingle sets have Jaccard similarity of
-    ``similarity`` or more; components are their transitive closure, named by the
-    smallest id, whose row is ``kept``.
+    ``similarity`` (whole percents) or more; components are their transitive closure, named
+    by the smallest id, whose row is ``kept``.
     """
-    cut = similarity - ESTIMATE_SLACK
+    spark = docs.sparkSession
     rows = written(sketches(docs, id_col, text_col), "sketches")
-    filled = rows.where("n > 0 and id is not null")
-    sets = filled.groupBy("sign_a", "sign_b", "n").agg(F.min(F.struct("id", "registers")).alias("least"))
-    reps = written(sets.select("sign_a", "sign_b", "n", F.col("least.id").alias("rep"), F.col("least.registers").alias("registers")), "reps")
+    sign = ["sign_a", "sign_b", "n"]
+    twice = written(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "repeated-ids")
+    unique = twice.isEmpty()
 
-    bands = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
+    filled = rows.where("n > 0 and id is not null")
+    sets = filled.groupBy(*sign).agg(F.min(F.struct("id", "registers")).alias("least")).select(*sign, F.col("least.id").alias("first"), F.col("least.registers").alias("registers"))
+    if unique:
+        reps = written(sets.withColumn("node", F.col("first")), "reps")
+        clashes = None
+    else:
+        sets = written(sets, "sets")
+        clashes = written(sets.groupBy("first").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("first").alias("clash")), "clashes")
+        reps = written(sets.join(clashes, F.col("first") == F.col("clash"), "left").select(*sign, "first", "registers", _node(F.col("first"), F.col("clash")).alias("node")), "reps")
+
+    bands = reps.select("node", "n", "registers").mapInArrow(_bands, "band long, small boolean, node long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
     bands = written(bands.join(shared, "band"), "bands")
-    members = bands.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = written(texts.join(members, "id", "left_semi"), "texts")
-    traits = written(texts.mapInArrow(_traits, "rep long, n long, registers binary, low binary"), "traits")
+    members = bands.select("node").distinct()
+    members = members.withColumnRenamed("node", "id") if unique else members.join(reps.select("node", "first"), "node").select(F.col("first").alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(members, "id", "left_semi")
+    if not unique:
+        texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
+    traits = texts.mapInArrow(_traits, "id long, sign_a long, sign_b long, n long, registers binary, low binary, text string")
+    if unique:
+        traits = traits.withColumnRenamed("id", "node")
+    else:
+        traits = traits.join(reps.select(*sign, F.col("first").alias("id"), "node"), [*sign, "id"]).dropDuplicates(["node"])
+    traits = written(traits.select("node", "n", "registers", "low", "text"), "traits")
 
     def confirmed(pairs: DataFrame, estimated: bool) -> DataFrame:
         if not estimated:
-            at_a = traits.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("reg_a"))
-            at_b = traits.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("reg_b"))
+            at_a = traits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("reg_a"))
+            at_b = traits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("reg_b"))
             with_both = pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "n_a", "reg_a", "n_b", "reg_b")
-            pairs = with_both.mapInArrow(_likely(cut), "a long, b long")
-        at_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        at_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+            pairs = with_both.mapInArrow(_likely(similarity), "a long, b long")
+        at_a = traits.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        at_b = traits.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         with_text = pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "text_a", "text_b")
-        return written(with_text.mapInArrow(_exact(similarity), "a long, b long"), "links")
+        return written(with_text.mapInArrow(_confirmed(similarity), "a long, b long"), "links")
 
     links: DataFrame | None = None
-    labels: DataFrame | None = None
+    if not unique:  # the sets of one id are linked by it
+        named = rows.where("n > 0").join(twice, "id").join(reps.select(*sign, "node"), sign).select("id", "node").distinct()
+        least = named.groupBy("id").agg(F.min("node").alias("a"))
+        links = written(named.join(least, "id").where("a <> node").select("a", F.col("node").alias("b")), "id-links")
+    labels = connected_components(links) if links is not None else None
     for turn in range(star_rounds + 1):
         if labels is None:
-            placed = bands.withColumn("comp", F.col("rep"))
+            placed = bands.withColumn("comp", F.col("node"))
         else:
-            placed = bands.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-            placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-        place = F.struct("comp", F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")
+            placed = bands.join(labels.withColumnRenamed("id", "node"), "node", "left")
+            placed = placed.select("band", "small", "node", F.coalesce("component", "node").alias("comp"))
+        place = F.struct("comp", F.xxhash64("node", F.lit(turn)).alias("h"), "node")
         ends = placed.groupBy("band").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("members"))
         ends = ends.where("lo.comp < hi.comp")
         if turn < star_rounds:
             near = placed.join(ends.select("band", "lo", "hi"), "band")
             centres = F.filter(F.array("lo", "hi"), lambda c: c["comp"] != F.col("comp"))
-            pairs = near.select("rep", F.explode(centres).alias("c"))
-            pairs = pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+            pairs = near.select("node", F.explode(centres).alias("c"))
+            pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
             found = confirmed(pairs, estimated=False)
         else:
             parts = F.ceil(F.col("members") / BLOCK).cast("long")
-            near = placed.join(ends.select("band", parts.alias("parts")), "band").join(traits, "rep")
-            near = near.withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")))
+            near = placed.join(ends.select("band", parts.alias("parts")), "band").join(traits.drop("text"), "node")
+            near = near.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
             near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             cell = F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other"))
-            near = near.select(cell.alias("cell"), (F.col("part") != F.col("other")).alias("crossed"), "band", "part", "rep", "comp", "n", "registers", "low")
-            near = near.repartition(tasks_for(docs.sparkSession), "cell").sortWithinPartitions("cell")
+            near = near.select(cell.alias("cell"), (F.col("part") != F.col("other")).alias("crossed"), "band", "small", "part", "node", "comp", "n", "registers", "low")
+            near = near.repartition(tasks_for(spark), "cell").sortWithinPartitions("cell")
             pairs = near.mapInArrow(_block_pairs(similarity), "a long, b long").distinct()
             found = confirmed(pairs, estimated=True)
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
-
-    known = reps.select("sign_a", "sign_b", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("sign_a", "sign_b", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("registers").join(known, ["sign_a", "sign_b", "n"], "left")
-    # rows of one id are one document, so an id takes the smallest component of its rows
-    component = F.when(F.col("n") > 0, F.least("component", "id")).otherwise(F.col("id"))
+    discard(bands, traits)
+
+    known = reps.select(*sign, "first", "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    known = known.select(*sign, "first", F.coalesce("component", "node").alias("component"))
+    if not unique:  # a component's name may be a set's number that is no id
+        known = written(known, "named-sets")
+        known = known.join(known.groupBy("component").agg(F.min("first").alias("least")), "component").select(*sign, F.col("least").alias("component"))
+    out = rows.select("id", *sign).join(known.select(*sign, "component"), sign, "left").select("id", "n", "component")
+    if not unique:
+        one = out.join(twice, "id").groupBy("id").agg(F.min("component").alias("shared"))
+        out = out.join(one, "id", "left").select("id", "n", F.coalesce("shared", "component").alias("component"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -24,17 +24,35 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-_powers_of: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at once, so memory besides the word hashes does not grow with a text.
+SEGMENT = 1 << 18
+_UP = np.multiply.accumulate(np.r_[np.uint64(1), np.full(SEGMENT, _BASE, np.uint64)])
+_DOWN = np.multiply.accumulate(np.r_[np.uint64(1), np.full(SEGMENT, _INVERSE, np.uint64)])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2 ... modulo 2**64; the longest asked for so far is kept."""
-    have = _powers_of.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _powers_of[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+def _segment(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, sum of byte values times powers of the base) of each word of a segment."""
+    edge = np.diff((~_SPACE[data]).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _UP[: len(data)], out=sums[1:])
+    return starts, ends - starts, (sums[ends] - sums[starts]) * _DOWN[starts]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word, segment by segment; words may span segments."""
+    parts: list[list[np.ndarray]] = []
+    for lo in range(0, len(data), SEGMENT):
+        starts, lengths, sums = _segment(data[lo : lo + SEGMENT])
+        if parts and len(starts) and starts[0] == 0 and not _SPACE[data[lo - 1]]:
+            # the segment's first word goes on with the last one so far
+            _, last_lengths, last_sums = next(p for p in reversed(parts) if len(p[0]))
+            last_sums[-1:] += sums[:1] * np.uint64(pow(_BASE, int(last_lengths[-1]), 1 << 64))
+            last_lengths[-1] += lengths[0]
+            starts, lengths, sums = starts[1:], lengths[1:], sums[1:]
+        parts.append([starts + lo, lengths, sums])
+    starts, lengths, sums = (np.concatenate(x) for x in zip(*parts))
+    return starts, mix(sums + lengths.astype(np.uint64))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,17 +79,9 @@ def hashed_shingles(texts: list[str | None], size: int = 5) -> tuple[np.ndarray,
     raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-    space = _SPACE[data]
-    word = ~space
-    edge = np.diff(word.astype(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, h = word_hashes(data)
     if len(starts) == 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    back = _powers(_INVERSE, len(data))[starts]
-    h = mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
     row = np.searchsorted(np.cumsum(lengths), starts, side="right")
     n = np.bincount(row, minlength=len(raw))
     first = np.cumsum(n) - n
@@ -94,7 +104,7 @@ def hashed_shingles(texts: list[str | None], size: int = 5) -> tuple[np.ndarray,
     return rows[fresh], combined[fresh]
 
 
-def in_pieces(texts: list[str | None], characters: int = 1 << 21):
+def in_pieces(texts: list[str | None], characters: int = 1 << 18):
     """(from, to) ranges of ``texts`` of about so many characters, one text at least."""
     lo = size = 0
     for i, t in enumerate(texts):
