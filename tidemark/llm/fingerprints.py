@@ -11,8 +11,10 @@ a task streams its sorted range with one row held.  Byte comparison fetches only
 whose digests repeat: a bitmap of fixed size selects them before anything is shuffled.
 
 Defined edge results: null texts are empty; empty and white-space texts share one
-fingerprint; one document alone is its own next; rows of one id are ordered by text; null
-ids come last; other columns are ignored; an empty table gives an empty result.
+fingerprint; one document alone is its own next; rows of one id are documents of their own,
+ordered by text, and equal texts have equal fingerprints under any ids; null ids come last;
+very long texts are digested whole; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import probably_in, tasks_for, written
 
 NULL_ID = -(1 << 63)
+MOST_RANGES = 8192
 
 
 def canonical(text: str | None) -> bytes:
@@ -59,13 +62,15 @@ def _bucket_of(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """Rows (bucket, carried, id, text) dealt and sorted so that each row's successor by
+    """Rows (bucket, carried, id, text, h) dealt and sorted so that each row's successor by
     falling id is the next row of its bucket; carried rows end a bucket and are no rows
     of their own."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))  # with the id it names a row's text
     ids = rows.select("id")
-    n = ranges or 2 * tasks_for(spark)
+    # several ranges a task even out; their bounds stay a short list
+    n = ranges or min(6 * tasks_for(spark), MOST_RANGES)
     cuts = ids.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     bounds = sorted({int(c) for c in cuts})
     bucket = _bucket_of(F.col("id"), bounds)
@@ -78,70 +83,90 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     at = rows.join(F.broadcast(carried), F.col("id") == F.col("top"), "left")  # a row per range
     own = F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("carried")))
     more = F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("carried")))
-    dealt = at.select("id", "text", F.explode(F.concat(own, more)).alias("p")).select("p.bucket", "p.carried", "id", "text")
+    dealt = at.select("id", "text", "h", F.explode(F.concat(own, more)).alias("p")).select("p.bucket", "p.carried", "id", "text", "h")
     return dealt.repartition(tasks_for(spark), "bucket").sortWithinPartitions(F.col("bucket"), F.col("carried"), F.col("id").desc(), F.col("text"))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, int, str]]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+    """(id, text, h) of each row and of the row after it."""
     held = None
     for batch in batches:
-        for bucket, carried, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            text = text.as_py()
+        for bucket, carried, doc, text, h in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), batch.column(4).to_pylist()):
+            row = (doc, text.as_py(), h)
             if held is not None and held[0] == bucket and not held[1]:
-                yield held[2], held[3], doc, text
-            held = (bucket, carried, doc, text)
+                yield held[2], row
+            held = (bucket, carried, row)
+
+
+_DIGESTS = {"id": "long", "h": "long", "n_chars": "long", "edited_sha256": "string", "d": "string", "e": "string", "next_id": "long", "next_h": "long", "next_d": "string"}
+_ARROW = {"long": pa.int64(), "string": pa.string()}
 
 
 def _digests(bits: int):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows), _DIGESTS.values())], names=list(_DIGESTS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_chars", "edited_sha256", "d", "e", "next_id", "next_d"]
         out, last = [], (None, None)
-        for doc, text, next_doc, following in _pairs(batches):
-            changed = edited(text, following)
-            mine = last[1] if last[0] == (doc, text) else digest(canonical(text), bits)
-            theirs = digest(canonical(following), bits)
-            last = ((next_doc, following), theirs)
-            out.append((doc, len(text or ""), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mine, digest(canonical(changed), bits), next_doc, theirs))
+        for (doc, text, h), following in _pairs(batches):
+            changed = edited(text, following[1])
+            mine = last[1] if last[0] == (doc, h) else digest(canonical(text), bits)
+            theirs = digest(canonical(following[1]), bits)
+            last = ((following[0], following[2]), theirs)
+            out.append((doc, h, len(text), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mine, digest(canonical(changed), bits), following[0], following[2], theirs))
             if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+                yield batch_of(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+            yield batch_of(out)
 
     return run
 
 
+_NAME = ("g", "id", "h", "next_id", "next_h")
+
+
 def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = zip(batch.column(2), batch.column(3), batch.column(4).to_pylist())
-        data = [canonical(edited(a.as_py(), b.as_py()) if use else a.as_py()) for a, b, use in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(data, pa.binary()), pa.array([hashlib.sha256(x).hexdigest()[:16] for x in data])], names=["g", "id", "changed", "bytes", "suffix"])
+        data = [canonical(a.as_py() if b is None else edited(a.as_py(), b)) for a, b in zip(batch.column(5), batch.column(6).to_pylist())]
+        suffix = [hashlib.sha256(x).hexdigest()[:16] for x in data]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(data, pa.binary()), pa.array(suffix, pa.string())], names=[*_NAME, "bytes", "suffix"])
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_id, next_fingerprint)."""
-    rows = written(with_next(docs, id_col, text_col).mapInArrow(_digests(bits), "id long, n_chars long, edited_sha256 string, d string, e string, next_id long, next_d string"), "digests")
+    shape = ", ".join(f"{n} {t}" for n, t in _DIGESTS.items())
+    rows = written(with_next(docs, id_col, text_col).mapInArrow(_digests(bits), shape), "digests")
     none = F.lit(None).cast("long")
-    uses = rows.select(F.col("d").alias("g"), "id", none.alias("next_id")).unionByName(rows.select(F.col("e").alias("g"), "id", "next_id"))
+    plain = rows.select(F.col("d").alias("g"), "id", "h", none.alias("next_id"), none.alias("next_h"))
+    uses = plain.unionByName(rows.select(F.col("e").alias("g"), "id", "h", "next_id", "next_h"))
     again = uses.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    checks = written(uses.join(again, "g"), "repeated")
+    checks = written(uses.join(again, "g").distinct(), "repeated")
     wanted = checks.select("id").unionByName(checks.where("next_id is not null").select(F.col("next_id").alias("id")))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    texts = written(probably_in(base, wanted, "id").select("id", "text"), "repeated-texts")
-    changed = checks.where("next_id is not null").join(texts, "id").join(texts.select(F.col("id").alias("next_id"), F.col("text").alias("following")), "next_id")
-    plain = checks.where("next_id is null").join(texts, "id")
-    every = plain.select("g", "id", "text", F.lit(None).cast("string").alias("following"), F.lit(False).alias("changed")).unionByName(changed.select("g", "id", "text", "following", F.lit(True).alias("changed")))
-    compared = every.mapInArrow(_canonical_rows, "g string, id long, changed boolean, bytes binary, suffix string")
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = probably_in(base, wanted, "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    texts = written(texts, "repeated-texts")
+    following = texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("following"))
+    changed = checks.where("next_id is not null").join(texts, ["id", "h"]).join(following, ["next_id", "next_h"])
+    whole = checks.where("next_id is null").join(texts, ["id", "h"]).withColumn("following", F.lit(None).cast("string"))
+    every = whole.select(*_NAME, "text", "following").unionByName(changed.select(*_NAME, "text", "following"))
+    compared = every.mapInArrow(_canonical_rows, "g string, id long, h long, next_id long, next_h long, bytes binary, suffix string")
     buckets = compared.groupBy("g").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").select("g")
     clashes = written(buckets, "clashes")
     if clashes.isEmpty():
         return rows.select("id", "n_chars", "edited_sha256", F.col("d").alias("fingerprint"), F.col("e").alias("edited_fingerprint"), "next_id", F.col("next_d").alias("next_fingerprint"))
-    suffixes = written(compared.join(clashes, "g").select("id", "changed", "g", "suffix").distinct(), "suffixes")
-
-    def told(frame: DataFrame, key: str, at: str, is_changed: bool, name: str) -> DataFrame:
-        s = suffixes.where(F.col("changed") == is_changed).groupBy(F.col("id").alias("__id"), F.col("g").alias("__g")).agg(F.min("suffix").alias("__s"))
-        joined = frame.join(s, (F.col(at) == F.col("__id")) & (F.col(key) == F.col("__g")), "left")
-        return joined.withColumn(name, F.when(F.col("__s").isNull(), F.col(key)).otherwise(F.concat_ws("-", key, "__s"))).drop("__id", "__g", "__s")
-
-    out = told(told(told(rows, "d", "id", False, "fingerprint"), "e", "id", True, "edited_fingerprint"), "next_d", "next_id", False, "next_fingerprint")
+    suffixes = written(compared.join(clashes, "g").select(*_NAME, "suffix"), "suffixes")
+
+    def told(frame: DataFrame, key: str, own: dict[str, str], is_changed: bool, name: str) -> DataFrame:
+        """``frame`` and the digest ``key`` with the suffix of the text that ``own`` names."""
+        s = suffixes.where(F.col("next_id").isNotNull() == is_changed).select(F.col("suffix").alias("__s"), F.col("g").alias("__g"), *[F.col(c).alias(f"__{c}") for c in own])
+        same = F.col(key) == F.col("__g")
+        for c, at in own.items():
+            same = same & (F.col(at) == F.col(f"__{c}"))
+        joined = frame.join(s, same, "left")
+        return joined.withColumn(name, F.when(F.col("__s").isNull(), F.col(key)).otherwise(F.concat_ws("-", key, "__s"))).drop("__s", "__g", *[f"__{c}" for c in own])
+
+    out = told(rows, "d", {"id": "id", "h": "h"}, False, "fingerprint")
+    out = told(out, "e", {c: c for c in _NAME[1:]}, True, "edited_fingerprint")
+    out = told(out, "next_d", {"id": "next_id", "h": "next_h"}, False, "next_fingerprint")
     return out.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_id", "next_fingerprint")
