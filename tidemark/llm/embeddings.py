@@ -6,17 +6,21 @@ vector's cell.  A vector is also listed under its nearest neighbouring cells, re
 the lattice's minimal vectors.  Two vectors meet where one's own cell is among the other's
 listed cells, and are linked if their cosine in double precision reaches the threshold.
 
-With the default scale, two vectors at cosine 0.95 meet in one table with probability 0.48
-(measured), so ``TABLES`` = 20 tables miss 2e-6 of such pairs, fewer above it.
+More vectors need more blocks, or cells would fill up: blocks are added so that a cell
+holds some ``CELL_MEMBERS`` evenly spread vectors at any size, and tables so that recall stays.  Two
+vectors at cosine 0.95 meet in one table with probability 0.46, 0.28 and 0.18 for 2, 3 and
+4 blocks (measured in a test), so a pair is missed with 5e-6 at most, less above 0.95.
 
 Equal vectors collapse to one with a multiplicity.  Crowded cells are compared in blocks of
 ``PART`` vectors; tasks return counts of links and a spanning forest of each block, never
-all pairs.  A pair counts in the first cell where it meets.
-
-Defined edge results: vectors that are null, empty, zero, of another length, or hold null
-or non-finite components link with nothing; rows of one id count as separate vectors, each
-with the id's row in the result; a null id has no component; labels and other columns are
-ignored; an empty table gives an empty result.
+all pairs.  A pair counts in the first cell where it meets.  Vectors of each length are
+searched among their own.
+
+Defined edge results: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing, and no vector links with one of another length; rows of one
+id are separate vectors with links of their own (to each other too), but share a component;
+a null id has no component and is kept; labels and other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, tasks_for, written
+from tidemark.llm.common import connected_components, discard, tasks_for, written
 from tidemark.llm.near_dedup import _cell_pairs
 from tidemark.llm.shingles import mix
 
-TABLES = 20
-BLOCKS = 2
-LISTED = 4
+#: Tables by number of blocks: (1 - meeting rate) ** tables is 5e-6 at most.
+TABLES = {2: 20, 3: 36, 4: 64}
+#: Cells of one block that matter: the origin and the first shell.
+BLOCK_CELLS = 200
+CELL_MEMBERS = 64
 SCALE = 4.0
 PART = 192
 _SEED = 20260101
@@ -66,13 +73,13 @@ def nearest_e8(y: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    def __init__(self, dim: int, tables: int = TABLES, blocks: int = BLOCKS, listed: int = LISTED, scale: float = SCALE):
-        rng = np.random.default_rng(_SEED)
-        stretch = scale * np.sqrt(dim / 64)  # projections onto 8 of dim axes shrink with dim
+    def __init__(self, dim: int, blocks: int, scale: float = SCALE):
+        rng, tables = np.random.default_rng(_SEED), TABLES[blocks]
+        stretch = scale * np.sqrt(max(dim, 8) / 64)  # projections onto 8 of dim axes shrink with dim
         self.rotations = [[np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim] * stretch for _ in range(blocks)] for _ in range(tables)]
         self.moves = minimal_vectors()
         self.choices = np.array(list(itertools.product((0, 1), repeat=blocks)))
-        self.listed = min(listed, len(self.choices))
+        self.listed = len(self.choices)
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """(table, listed, vector) cell keys; listed 0 is the vector's own cell."""
@@ -97,13 +104,23 @@ class Lattice:
         return out
 
 
-_lattices: dict[int, Lattice] = {}
+def blocks_for(vectors: int) -> int:
+    """Blocks that leave some ``CELL_MEMBERS`` of so many vectors in a cell."""
+    blocks = min(TABLES)
+    while blocks < max(TABLES) and vectors > CELL_MEMBERS * BLOCK_CELLS**blocks:
+        blocks += 1
+    return blocks
+
+
+_lattices: dict[tuple[int, int], Lattice] = {}
 
 
-def _lattice(dim: int) -> Lattice:
-    if dim not in _lattices:
-        _lattices[dim] = Lattice(dim)
-    return _lattices[dim]
+def _lattice(dim: int, blocks: int) -> Lattice:
+    if (dim, blocks) not in _lattices:
+        if len(_lattices) >= 64:
+            _lattices.clear()
+        _lattices[(dim, blocks)] = Lattice(dim, blocks)
+    return _lattices[(dim, blocks)]
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -125,17 +142,22 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            unit = _stack(part.column(1))
-            cells = _lattice(unit.shape[1]).cells(unit)
-            tables, listed, n = cells.shape
-            own = np.zeros((tables, listed, n), bool)
-            own[:, 0] = True
-            rep = np.broadcast_to(part.column(0).to_numpy(), cells.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(rep.ravel()), pa.array(own.ravel())], names=["key", "rep", "own"])
+def _keys(blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_numpy()
+            for size in np.unique(sizes):
+                mine = np.flatnonzero(sizes == size)
+                for lo in range(0, len(mine), 1000):
+                    part = batch.take(pa.array(mine[lo : lo + 1000]))
+                    cells = _lattice(int(size) // 8, blocks).cells(_stack(part.column(1)))
+                    cells = mix(cells.view(np.uint64) ^ np.uint64(size)).view(np.int64)
+                    own = np.zeros(cells.shape, bool)
+                    own[:, 0] = True
+                    rep = np.broadcast_to(part.column(0).to_numpy(), cells.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(rep.ravel()), pa.array(own.ravel())], names=["key", "rep", "own"])
+
+    return run
 
 
 def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -157,9 +179,14 @@ def _forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(threshold: float):
+def _links(threshold: float, blocks: int):
     """Link counts (a, null, n) and forest edges (a, b, 0) of rows sorted by cell."""
 
+    def by_length(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes = pc.binary_length(table.column("unit")).to_numpy()
+        for size in np.unique(sizes):
+            yield found(table.filter(pa.array(sizes == size)))
+
     def found(table: pa.Table) -> pa.RecordBatch:
         cell, key, rep, copies = (table.column(c).to_numpy() for c in ("cell", "key", "rep", "copies"))
         part, crossed, own = (table.column(c).to_numpy() for c in ("part", "crossed", "own"))
@@ -175,7 +202,8 @@ def _links(threshold: float):
             if not len(x):
                 continue
             if cells is None:
-                cells = _lattice(unit.shape[1]).cells(unit)
+                cells = _lattice(unit.shape[1], blocks).cells(unit)
+                cells = mix(cells.view(np.uint64) ^ np.uint64(8 * unit.shape[1])).view(np.int64)
             first = np.zeros(len(x), bool)
             for lo in range(0, len(x), 8192):
                 a, b = x[lo : lo + 8192], y[lo : lo + 8192]
@@ -208,9 +236,9 @@ def _links(threshold: float):
             whole = int(np.searchsorted(cell, cell[-1]))
             held = table.slice(whole)
             if whole:
-                yield found(table.slice(0, whole))
+                yield from by_length(table.slice(0, whole))
         if held is not None:
-            yield found(held)
+            yield from by_length(held)
 
     return run
 
@@ -219,27 +247,47 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(id, n_links, component_id, kept): links at cosine ``threshold`` or more, and classes."""
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(base.mapInArrow(_units, "id long, unit binary"), "units")
-    # vectors of different lengths never meet: the length is part of what is equal
-    reps = rows.where("unit is not null and id is not null").groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = written(reps.withColumn("dim", F.octet_length("unit")), "unit-reps")
-    dims = [r["dim"] for r in reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()]
-    whole = reps.where(F.col("dim") == dims[0]) if dims else reps
-
-    keys = written(whole.select("rep", "unit").mapInArrow(_keys, "key long, rep long, own boolean"), "cells")
+    reps = rows.where("unit is not null and id is not null").groupBy("unit").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = written(reps, "unit-reps")
+    twice = written(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "repeated-ids")
+    unique = twice.isEmpty()
+    if unique:
+        reps = reps.withColumn("rep", F.col("first"))
+    else:  # an id of several vectors names none of them: those get negative hashes
+        clashes = reps.groupBy("first").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("first").alias("clash"))
+        own = F.xxhash64("unit").bitwiseOR(F.lit(-(1 << 63)))
+        reps = reps.join(clashes, F.col("first") == F.col("clash"), "left").withColumn("rep", F.when(F.col("clash").isNull(), F.col("first")).otherwise(own))
+        reps = written(reps.drop("clash"), "unit-numbers")
+    blocks = blocks_for(reps.count())
+
+    keys = written(reps.select("rep", "unit").mapInArrow(_keys(blocks), "key long, rep long, own boolean"), "cells")
     crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("own").alias("used")).where("members > 1 and used")
     near = keys.join(crowds.select("key", F.ceil(F.col("members") / PART).cast("long").alias("parts")), "key")
-    near = near.join(whole.select("rep", "copies", "unit"), "rep")
+    near = near.join(reps.select("rep", "copies", "unit"), "rep")
     near = near.withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cell = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
     near = near.select(cell.alias("cell"), "key", "rep", "own", "copies", "part", (F.col("part") != F.col("other")).alias("crossed"), "unit")
     near = near.repartition(tasks_for(vectors.sparkSession), "cell").sortWithinPartitions("cell")
-    found = written(near.mapInArrow(_links(threshold), "a long, b long, n long"), "vector-links")
-
-    labels = connected_components(found.where("b is not null").select("a", "b"))
+    found = written(near.mapInArrow(_links(threshold, blocks), "a long, b long, n long"), "vector-links")
+    discard(keys)
+
+    links = found.where("b is not null").select("a", "b")
+    if not unique:
+        named = rows.join(twice, "id").join(reps.select("unit", "rep"), "unit").select("id", "rep").distinct()
+        least = named.groupBy("id").agg(F.min("rep").alias("a"))
+        links = links.unionByName(named.join(least, "id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    labels = connected_components(links)
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     known = reps.join(counts, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("unit", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(known, "unit", "left")
-    component = F.least("component", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    known = known.select("unit", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    if not unique:
+        known = written(known, "named-vectors")
+        known = known.join(known.groupBy("component").agg(F.min("first").alias("least")), "component").select("unit", "n_links", F.col("least").alias("component"))
+    out = rows.join(known.select("unit", "n_links", "component"), "unit", "left").select("id", "n_links", "component")
+    if not unique:
+        one = out.join(twice, "id").groupBy("id").agg(F.min("component").alias("shared"))
+        out = out.join(one, "id", "left").select("id", "n_links", F.coalesce("shared", "component").alias("component"))
+    some = F.col("id").isNotNull()
+    n_links, component = F.when(some, F.col("n_links")), F.when(some, F.coalesce("component", "id"))
+    return out.select("id", F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
