@@ -47,34 +47,38 @@ def chunk_lists(texts: pa.Array, hard: Callable[[str], list[str]], added: Iterab
     return pa.concat_arrays([easy, other]).take(pa.array(place))
 
 
-class ChunkIds:
-    """Ids of chunks as int32 bytes.  ``learn`` makes those of new chunks in bulk.
+class Learnt:
+    """Values of words or chunks; ``learn`` makes those of new ones in bulk.
 
     The cache has two generations: when the young one is full it becomes the old one, whose
     entries come back on use.  At most twice ``most`` entries; what it drops is made anew.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
+    def __init__(self, learn: Callable[[list[str]], list], most: int):
         self.learn, self.most = learn, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def of(self, distinct: list[str]) -> list[bytes]:
+    def of(self, distinct: list[str]) -> list:
         out = list(map(self.young.get, distinct))
-        absent = [i for i, ids in enumerate(out) if ids is None]
+        absent = [i for i, value in enumerate(out) if value is None]
         new = []
         for i in absent:
             out[i] = self.old.get(distinct[i])
             if out[i] is None:
                 new.append(i)
         if new:
-            for i, ids in zip(new, self.learn([distinct[i] for i in new])):
-                out[i] = ids
+            for i, value in zip(new, self.learn([distinct[i] for i in new])):
+                out[i] = value
         if len(self.young) + len(absent) > self.most:
             self.old, self.young = self.young, {}
         self.young.update((distinct[i], out[i]) for i in absent[: self.most] if len(distinct[i]) <= LONGEST_CACHED)
         return out
 
+
+class ChunkIds(Learnt):
+    """Ids of chunks as int32 bytes."""
+
     def lists(self, chunks: pa.ListArray) -> pa.ListArray:
         """The ids of every text, from its chunks."""
         named = chunks.flatten().dictionary_encode()

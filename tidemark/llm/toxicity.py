@@ -3,14 +3,14 @@
 Two character 5-gram models, one of toxic and one of ordinary labelled texts, score
 every word.  Their highest order is counted per class; all lower orders are Kneser-Ney
 continuation counts over both classes together, so an expression that is rare in either
-class backs off to the same shared estimate and says little.  A word's evidence is the
-difference of both log-likelihoods divided by its length; a text's evidence is the mean
-over its words and its strongest words, turned into a probability by a logistic fit.
+class backs off to the same shared estimate and says little.  A text's evidence is the
+difference of both log-likelihoods of all its words, divided by their letters, and that of
+its three strongest words, divided by theirs; a logistic fit turns these into a probability.
 
-A word is an unbroken run of letters and is counted and scored whole.  One of more than
-``LONG_RUN`` letters may be a text without spaces: it gives the mean its evidence over all
-letters, and the strongest words its strongest stretches of ``STRETCH`` letters, which do
-not overlap.
+A word is an unbroken run of letters, marks and digits and is counted and scored whole; the
+models do not read across words.  One of more than ``LONG_RUN`` letters may be a text
+without spaces: it counts whole in the text's evidence, and its strongest stretches of
+``STRETCH`` letters, which do not overlap, stand among the strongest words.
 
 Counting is grouped aggregation over all labelled training rows: words, then 5-grams,
 then continuation counts.  The finished statistics are hash tables of every gram and context
@@ -22,33 +22,35 @@ The logistic is fitted on one part of the labelled rows, scored by models of the
 parts, and sees at most ``CALIBRATION_ROWS`` rows, the only bound on what is learnt from;
 the final models then count all parts.
 
-Defined edge results: null and empty texts score the calibrated prior without evidence;
+Defined edge results: null texts, empty ones and texts without a letter or digit score the calibrated prior without evidence;
 labels that are null are ignored; an id labelled twice counts with each label; with no
-label of either class every score is the prior 0.5-smoothed share of toxic labels.
+label of either class every score is the prior 0.5-smoothed share of toxic labels; other
+columns may have any names; very long texts are read whole.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import probably_in, written
-from tidemark.llm.shingles import in_pieces, mix
+from tidemark.llm.common import discard, probably_in, unused, written
+from tidemark.llm.pretoken import Learnt
+from tidemark.llm.shingles import mix
 
 ORDER = 5
 DISCOUNT = 0.9
 ALPHABET = 4096.0
 CALIBRATION_ROWS = 20_000
-CACHED_WORDS = 100_000
-COUNTED_WORDS = 100_000
+CACHED_WORDS = 150_000
+#: Rows whose words are looked up together.
+ROWS_AT_ONCE = 1024
 LONG_RUN = 64
 STRETCH = 12
 #: Letters of a long run that are scored at once.
@@ -58,11 +60,18 @@ _PIECE = "\u0001"
 _ROOT = np.uint64(1)
 _PAD = "\u0002" * (ORDER - 1)
 _END = "\u0003"
-_WORD = re.compile(r"[^\W\d_]+")
 
 
-def text_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def word_lists(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(row, distinct words, code): word i of all texts is ``distinct[code[i]]`` of ``row[i]``."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}\p{N}]+")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    named = lists.flatten().dictionary_encode()
+    distinct, code = named.dictionary.to_numpy(zero_copy_only=False).tolist(), named.indices.to_numpy()
+    if "" in distinct:  # before the first word or after the last one
+        words = code != distinct.index("")
+        row, code = row[words], code[words]
+    return row, distinct, code
 
 
 def _gram_hash(codes: np.ndarray, order: int) -> np.ndarray:
@@ -120,7 +129,7 @@ class KneserNey:
     low_gram: dict[int, Cells] = field(default_factory=lambda: {k: _no_cells() for k in range(1, ORDER)})
     low_context: dict[int, Cells] = field(default_factory=lambda: {k: _no_cells() for k in range(1, ORDER)})
 
-    def evidence(self, words: list[str], at_once: int = 4096) -> np.ndarray:
+    def evidence(self, words: list[str], at_once: int = 8192) -> np.ndarray:
         """(log p(word | toxic) - log p(word | ordinary)) / length, for each word."""
         return np.concatenate([self._evidence(words[i : i + at_once]) for i in range(0, len(words), at_once)])
 
@@ -191,24 +200,17 @@ def counted_pieces(words: list[str]) -> list[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, every = (Counter(), Counter()), (Counter(), Counter())
-
-    def so_far() -> pa.RecordBatch:
-        words = list(every[0].keys() | every[1].keys())
-        counts = [pa.array([c[w] for w in words], pa.int64()) for c in (*first, *every)]
-        for c in (*first, *every):
-            c.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", "first0", "first1", "all0", "all1"])
-
     for batch in batches:
-        for text, toxic, later in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = counted_pieces(text_words(text.as_py()))
-            every[toxic].update(words)
-            if not later:
-                first[toxic].update(words)
-            if len(every[0]) + len(every[1]) >= COUNTED_WORDS:
-                yield so_far()
-    yield so_far()
+        toxic, later = batch.column(1).to_numpy() == 1, batch.column(2).to_numpy(zero_copy_only=False)
+        row, distinct, code = word_lists(batch.column(0))
+        counts = []
+        for of_class, rows in ((~toxic, ~later), (toxic, ~later), (~toxic, ~later | later), (toxic, ~later | later)):
+            counts.append(np.bincount(code, (of_class & rows)[row], len(distinct)).astype(np.int64))
+        long = [i for i, w in enumerate(distinct) if len(w) > LONG_RUN]
+        pieces = [(piece, i) for i in long for piece in counted_pieces([distinct[i]])]
+        at = np.array([*np.setdiff1d(np.flatnonzero(counts[2] + counts[3]), long), *[i for _, i in pieces]], np.int64)
+        words = [distinct[i] for i in at[: len(at) - len(pieces)]] + [p for p, _ in pieces]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array(c[at]) for c in counts]], names=["word", "first0", "first1", "all0", "all1"])
 
 
 def word_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", later_col: str = "later") -> DataFrame:
@@ -287,57 +289,54 @@ def collected(stats: DataFrame) -> KneserNey:
 FEATURES = ("mean", "first", "second", "third", "length")
 
 
-def _evidence_rows(model: KneserNey, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+def _evidence_rows(model: KneserNey, texts: pa.Array, known: Learnt) -> np.ndarray:
+    """The features of each text."""
     out = np.zeros((len(texts), len(FEATURES)))
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    every = [text_words(t) for t in texts]
-    new = [w for w in set().union(*every) if w not in known]
-    runs = {w: model.run_evidence(w) for w in new if len(w) > LONG_RUN}
-    new = [w for w in new if w not in runs] if runs else new
-    if new:
-        known.update(zip(new, model.evidence(new).tolist()))
-    known.update((w, whole) for w, (whole, _) in runs.items())
-    for i, words in enumerate(every):
-        if not words:
-            continue
-        out[i, 0] = np.fromiter(map(known.__getitem__, words), np.float64, len(words)).mean()
-        distinct = set(words)
-        here = runs.keys() & distinct if runs else ()
-        best = list(map(known.__getitem__, distinct.difference(here)))
-        for w in here:
-            best += runs[w][1]
-        best = nlargest(3, best)
-        out[i, 1 : 1 + len(best)] = best
-        out[i, 4] = np.log1p(len(words))
-    for w in runs:
-        del known[w]
+    row, distinct, code = word_lists(texts)
+    if not len(code):
+        return out
+    runs = {i: model.run_evidence(w) for i, w in enumerate(distinct) if len(w) > LONG_RUN}
+    value = np.zeros(len(distinct))
+    short = [i for i, w in enumerate(distinct) if w and i not in runs]
+    value[short] = known.of([distinct[i] for i in short])
+    for i, (whole, _) in runs.items():
+        value[i] = whole
+    letters = np.fromiter(map(len, distinct), np.float64, len(distinct)) + 1  # and the end of the word
+    total = np.bincount(row, letters[code], len(texts))
+    out[:, 0] = np.bincount(row, value[code] * letters[code], len(texts)) / np.maximum(total, 1)
+    out[:, 4] = np.log1p(np.bincount(row, minlength=len(texts)))
+
+    pairs = np.unique(row * len(distinct) + code)
+    row, code = pairs // len(distinct), pairs % len(distinct)
+    order = np.lexsort((-value[code], row))
+    row, code = row[order], code[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best = place < 3
+    out[row[best], 1 + place[best]] = value[code[best]]
+    for text in np.unique(row[np.isin(code, list(runs))]) if runs else ():
+        mine = code[row == text].tolist()
+        stretches = [x for i in mine for x in (runs[i][1] if i in runs else [value[i]])]
+        strongest = nlargest(3, stretches)
+        out[text, 1:4] = 0
+        out[text, 1 : 1 + len(strongest)] = strongest
     return out
 
 
 def _features(model_ref):
-    """Appends the features; the text is the column named ``__text`` and goes unless it is kept."""
+    """The features in place of the text, which is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        model = model_ref.value
+        known = Learnt(lambda words: model.evidence(words).tolist(), CACHED_WORDS)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in in_pieces(texts, 1 << 18):
-                part = batch.slice(lo, hi - lo)
-                values = _evidence_rows(model_ref.value, texts[lo:hi], known)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c) for c in values.T]], names=[*part.schema.names[:-1], *[f"__{f}" for f in FEATURES]])
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                values = _evidence_rows(model, part.columns[-1], known)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c) for c in values.T]], names=[*part.schema.names[:-1], *FEATURES])
 
     return run
 
 
-def _with_features(rows: DataFrame, text_col: str, model_ref) -> DataFrame:
-    """``rows`` and the features; any column names, also clashing ones, come through."""
-    named = rows.withColumn("__text", F.col(text_col))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    features = ", ".join(f"__{f} double" for f in FEATURES)
-    return named.mapInArrow(_features(model_ref), f"{fields}, {features}")
-
-
 @dataclass
 class Scorer:
     model_ref: object
@@ -346,13 +345,24 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
+    def _scores(self, out: str):
+        ref, mean, scale, weights, bias = self.model_ref, self.mean, self.scale, self.weights, self.bias
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _features(ref)(batches):
+                columns, values = part.columns[: -len(FEATURES)], part.columns[-len(FEATURES) :]
+                z = (np.column_stack([v.to_numpy() for v in values]) - mean) / scale @ weights + bias
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=[*part.schema.names[: -len(FEATURES)], out])
+
+        return run
+
     def scored_rows(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
-        """All columns of ``docs`` and the score as ``out``, without moving a row."""
-        z = F.lit(float(self.bias))
-        for f, m, s, w in zip(FEATURES, self.mean, self.scale, self.weights):
-            z = z + (F.col(f"__{f}") - float(m)) / float(s) * float(w)
-        rows = _with_features(docs, text_col, self.model_ref)
-        return rows.select(*docs.columns, (1 / (1 + F.exp(-z))).alias(out))
+        """All columns of ``docs`` and the score as ``out``, a new name, without moving a row."""
+        if out in docs.columns:
+            raise ValueError(f"there is a column {out}")
+        rows = docs.withColumn(unused(docs.columns, "text_"), F.col(text_col).cast("string"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return rows.mapInArrow(self._scores(out), f"{fields}, `{out}` double")
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score): probability that a text is toxic, for every row."""
@@ -394,11 +404,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     few = marks.where(part == calibration).orderBy(F.xxhash64(id_col), id_col, label_col).limit(CALIBRATION_ROWS)
     sample = probably_in(texts.where(part == calibration), few, id_col).join(few, id_col)
-    rows = _with_features(sample.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", model_ref)
+    rows = sample.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(_features(model_ref), "id long, " + ", ".join(f"{f} double" for f in FEATURES))
     rows = rows.join(few.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")), "id")
-    table = rows.select(*[F.col(f"__{f}").alias(f) for f in FEATURES], "y").toPandas()
-    model_ref.unpersist()
+    table = rows.select(*FEATURES, "y").toPandas()
+    model_ref.destroy()
     model_ref = spark.sparkContext.broadcast(collected(statistics(grams, "all")))
+    discard(grams)
     x, y = table[list(FEATURES)].to_numpy(), table["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
