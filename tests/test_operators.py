@@ -138,13 +138,23 @@ def test_scores_are_in_range(spark, views):
 def test_text(spark):
     v = lambda c: value(spark, c)
     assert v(text.normalise(F.lit("كتاب ١٢ https://x.y/z #Tag"))) == "کتاب 12 #tag"
-    assert v(text.content_tokens(text.ascii_tokens(F.lit("The cats, and 12 dogs")))) == ["cats", "dogs"]
-    assert v(text.stem(F.lit("running"))) == "runn" and v(text.stem(F.lit("cat"))) == "cat"
+    assert v(text.content_tokens(text.words_of(F.lit("The cats, and 12 dogs @me ñandú")))) == ["cats", "dogs", "ñandú"]
+    assert v(text.words_of(F.lit("東京都 ab 中"))) == ["東京", "京都", "ab", "中"]
+    stems = {"erupts": "erupt", "eruption": "erupt", "evacuated": "evacuat", "stories": "stori", "story": "stori", "passes": "pass", "class": "class", "proceeding": "proceed", "dies": "die", "cat": "cat", "über": "über"}
+    for word, want in stems.items():
+        assert v(text.stem(F.lit(word))) == want, word
+    assert v(text.mentions(F.lit("@Ann_B @ann_b @x"))) == ["ann_b"]
+    assert v(text.proper_nouns(F.lit("The New York Times saw Paris, Paris"))) == ["The New York Times", "Paris"]
+    assert [v(text.length_band(F.lit(n))) for n in (30, 31, 70, 71, 101)] == ["0-30", "31-50", "51-70", "71-100", "100+"]
+    assert [v(text.word_band(F.lit(n))) for n in (4, 5, 12, 13, 19)] == ["1-4", "5-8", "9-12", "13-18", "19+"]
     assert v(text.hashtags(F.lit("#One #one #x"))) == ["one"]
     assert v(text.domain(F.lit("https://www.Example.org/a?b"))) == "example.org"
     assert v(text.strip_html(F.lit("<p>a &amp; b</p>\n<br>c"))) == "a & b c"
     assert v(text.csv_field(F.lit('=1,"x"'))) == '"\'=1,""x"""'
-    assert v(text.title_features(F.lit("5 cats \U0001F600?"))["emoji"]) and v(text.title_features(F.lit("5 cats?"))["listicle"])
+    has = lambda title, lang: {k for k, c in text.title_features(F.lit(title), F.lit(lang)).items() if v(c)}
+    assert has("5 cats \U0001F600?", "en") == {"question", "number", "emoji", "listicle"}
+    assert has("Why YOU need (3) tips!", "en") == {"exclaim", "number", "bracket", "shout", "you", "listicle"}
+    assert has("Your tips", "de") == set() and has("تو", "fa") == {"you"} and has("a #tag", None) == {"hashtag"}
     assert v(text.ngrams(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 2)) == ["a b", "b c"]
     assert v(text.ngrams(F.array(F.lit("a")), 2)) == []
     assert v(text.jaccard(F.array(F.lit("a")), F.array().cast("array<string>"))) == 0
@@ -169,6 +179,8 @@ def test_parsing(spark):
     v = lambda c: value(spark, c)
     assert v(parsing.compact_count(F.lit("14.7M"))) == 14700000 and v(parsing.compact_count(F.lit("20K+"))) == 20000 and v(parsing.compact_count(F.lit("none"))) is None
     assert tuple(v(parsing.headline(F.lit("A - b - Paper")))) == ("A - b", "Paper")
+    assert tuple(v(parsing.headline(F.lit("A - " + "p" * 57)))) == ("A", "p" * 57)
+    assert tuple(v(parsing.headline(F.lit("A - " + "p" * 58)))) == ("A - " + "p" * 58, None)
     feed = "<rss><item><title><![CDATA[A &amp;amp; B]]></title><link>http://x</link><pubDate>Thu, 01 Jan 2026 12:00:00 GMT</pubDate></item></rss>"
     item = v(parsing.feed_items(F.lit(feed)))[0]
     assert item["title"] == "A & B" and item["link"] == "http://x" and v(parsing.feed_date(F.lit(item["published"]))) == 1767268800
@@ -200,6 +212,52 @@ def test_topics_join_shared_stories(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+def test_topics_span_sources_and_follow_all_three_rules(spark):
+    base = [f"word{i}" for i in range(30)]
+    rows = [(1, "a", " ".join(base)), (2, "b", " ".join(base)), (3, "c", " ".join(base[:-1] + ["other"]))] + [(10 + i, "z", f"lone{i} thing{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, source string, title string")
+    got = {r["id"]: r["component"] for r in clusters.topics(docs).collect()}
+    assert got[1] == got[2] == got[3] == 1 and all(got[10 + i] == 10 + i for i in range(20))
+
+
+def test_many_copies_are_one_topic(spark):
+    docs = spark.createDataFrame([(i, "same seven words stand in every title") for i in range(260)], "id long, title string")
+    assert {r["component"] for r in clusters.topics(docs).collect()} == {0}
+
+
+def test_reposts_are_exact(spark):
+    import random
+
+    rng = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashes = [rng.getrandbits(64) for _ in range(40)]
+    for h in list(hashes):
+        for bits in (0, 3, 6, 7):
+            hashes.append(h ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    rows = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)] + [(900, 0), (901, 0)], "id long, simhash long")
+    first = {}
+    for i, h in enumerate(hashes):
+        first.setdefault(h, i)
+    want = {(first[h], i, 0) for i, h in enumerate(hashes) if first[h] != i}
+    distinct = sorted((i, h) for h, i in first.items())
+    want |= {(a, b, (x ^ y).bit_count()) for a, x in distinct for b, y in distinct if a < b and (x ^ y).bit_count() <= 6}
+    assert {tuple(r) for r in clusters.reposts(rows).collect()} == want
+
+
+def test_components_that_do_not_settle_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        clusters.components(edges, max_rounds=2)
+
+
+def test_labels(spark):
+    v = lambda c: value(spark, c)
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    assert v(clusters.label(words("air condition", "condition luxury", "luxury necessity", "rome", "x", "paris", "oslo"))) == "Air Condition · Rome · Paris"
+    assert v(clusters.label(words("x"))) == "unlabelled"
+    assert v(clusters.keyword_key(words("b c", "a", "d", "c", "e"))) == "a|b_c|c|d"
+
+
 def test_plan_prunes_and_pushes_down(spark, small):
     plan = spark.read.parquet(f"{small}/lineitem.parquet").where("l_quantity > 10").select("l_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan

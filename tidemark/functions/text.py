@@ -3,30 +3,59 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Common words per language.
+# Words that carry no topic, by language.  Further languages are a parameter
+# of the functions that take ``stop``.
 STOPWORDS = {
-    "en": "the a an and or but of to in on at for with by from as is are was were be been it its this that these those he she they we you i not no so if then than".split(),
-    "fr": "le la les un une des et ou mais de du au aux en dans sur pour par avec est sont ce cette ces il elle ils elles nous vous je ne pas que qui se sa son".split(),
-    "de": "der die das ein eine und oder aber von zu im in auf für mit aus ist sind war nicht sich des dem den es er sie wir ihr als auch bei".split(),
-    "es": "el la los las un una y o pero de del al en con por para es son se su que no lo como más este esta él ella".split(),
+    "en": (
+        "the a an and or but if of to in on for with as at by from is are was were be been being it its this that these those i you he she we they my your his her our their "
+        "not no so than then there here what which who whom how when where why all any can will just do does did have has had about after before over under up down out into new "
+        "more most very also get got one two like make made best top via vs dont quot amp nbsp apos href http https www com"
+    ).split(),
+    "es": "el la los las un una de del y o que en con por para se su al lo como más pero sus le ya este esta son fue ser es no muy".split(),
+    "fr": "le la les un une de des du et ou que qui en dans avec pour par sur au aux ce cette est sont pas ne plus comme mais".split(),
+    "de": "der die das ein eine und oder von zu mit für auf im in den dem des ist sind war nicht auch als aber wie man sich bei nach".split(),
 }
 ALL_STOPWORDS = sorted({w for words in STOPWORDS.values() for w in words})
 
-_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}]"
+#: Edges of words of ASCII letters, digits and underscores; the engine's own edge is Unicode's.
+_START, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+# Patterns of titles and entities.
+_DIGIT = "[0-9۰-۹٠-٩]"
+_HASHTAG = r"#([\p{L}\p{N}_]{2,50})"
+_MENTION = r"@([A-Za-z0-9_.]{2,40})"
+_URL = r"https?://[^\s<>\"')]+"
+_PROPER = _START + r"([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,3})" + _END
+_YOU = {
+    "en": "(?i)" + _START + "(you|your|yours|yourself)" + _END,
+    "fa": r"(^|\s)(شما|تو|شمارو|تورو|خودت|خودتان|خودتون)(\s|$)|(ید|تون|تان)(\s|$)",
+    "ar": r"(^|\s)(أنت|أنتم|انت|انتم|لك|لكم|نفسك)(\s|$)",
+}
+_LISTED = {
+    "en": "(?i)" + _START + "(ways?|things?|tips?|reasons?|steps?|rules?|facts?)" + _END,
+    "fa": "(روش|راه|نکته|دلیل|مورد|قدم|ترفند|چیز)",
+    "ar": "(طرق|طريقة|أشياء|نصائح|أسباب|خطوات|حقائق)",
+}
+#: Pictographs lie in these blocks.
+_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}\x{2B05}-\x{2B55}\x{2190}-\x{21AA}\x{231A}-\x{23FF}\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}]"
+_LENGTHS = ((30, "0-30"), (50, "31-50"), (70, "51-70"), (100, "71-100"), (None, "100+"))
+_WORDS = ((4, "1-4"), (8, "5-8"), (12, "9-12"), (18, "13-18"), (None, "19+"))
 
 
 def normalise_composed(text: Column) -> Column:
     """The part of normalising that Spark has: fold Arabic letters and digits, lower, drop URLs."""
-    t = F.regexp_replace(text, r"[​-‏⁠﻿]", " ")
+    t = F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]", " ")
     # alef forms to alef, both yehs to Persian yeh, kaf to Persian kaf, teh marbuta to heh
-    t = F.translate(t, "أإآٱىيكة", "ااااییکه")
+    t = F.regexp_replace(F.translate(t, "أإآٱىيكة", "ااااییکه"), r"[\x{64B}-\x{652}\x{670}]", "")
     t = F.lower(t)
     t = F.regexp_replace(t, r"https?://\S+", " ")
     t = F.translate(t, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
@@ -44,24 +73,57 @@ def normalise(text: Column) -> Column:
     return normalise_composed(nfkc(text))
 
 
-def ascii_tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)
+def tokens(normalised: Column) -> Column:
+    """Words of a normalised text; a run of Chinese or Japanese characters gives its pairs."""
+    def pairs(run: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(run) - 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substr(run, i, F.lit(2)))
+
+    parts = F.filter(F.split(normalised, " "), lambda p: p != "")
+    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(r"^[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]+$"), pairs(p)).otherwise(F.array(p))))
+
 
+def words_of(text: Column) -> Column:
+    return tokens(normalise(text))
 
-def content_tokens(tokens: Column) -> Column:
+
+def content_tokens(words: Column, stop: Sequence[str] = ALL_STOPWORDS) -> Column:
     """Longer than one character, no stop word, not all digits."""
-    stop = F.array(*[F.lit(w) for w in ALL_STOPWORDS])
-    return F.filter(tokens, lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop, t) & ~t.rlike(r"^[0-9]+$") & ~t.startswith("@"))
+    return F.filter(words, lambda t: (F.char_length(t) > 1) & ~t.isin(*stop) & ~t.rlike(r"^[0-9]+$") & ~t.startswith("@"))
+
+
+def content_words(rows: DataFrame, text: Column, *keep: str, stop: Sequence[str] = ALL_STOPWORDS) -> DataFrame:
+    """One row per content token of ``text``: ``keep`` and ``term``; plain filters after the split."""
+    t = F.col("term")
+    return rows.select(*keep, F.explode(words_of(text)).alias("term")).where((F.char_length(t) > 1) & ~t.isin(*stop) & ~t.rlike("^[0-9]+$") & ~t.startswith("@"))
+
+
+#: In turn: endings that go, and what is left.  A mark before the word says that it may change.
+STEM_STEPS = (
+    ("^~(.{2,})ies$", "~$1i"),
+    ("^~(.*ss)es$", "~$1"),
+    ("^~(.{2,}[^s])s$", "~$1"),
+    ("^~(?:(.{3,})ing|(.{3,})ed)$", "~$1$2"),
+    ("^~(.{3,})ion$", "~$1"),
+    ("^~(.{3,})y$", "~$1i"),
+    ("^~(.{4,})e$", "~$1"),
+)
+
+
+def _replacing(pattern: str, left: str):
+    return lambda w: F.regexp_replace(w, pattern, left)
+
+
+def stems(words: Column) -> Column:
+    """Folds endings of Latin words of four letters or more, so that variants of a word meet."""
+    out = F.transform(words, lambda w: F.when(w.rlike("^[a-z]{4,}$"), F.concat(F.lit("~"), w)).otherwise(w))
+    for pattern, left in STEM_STEPS:
+        out = F.transform(out, _replacing(pattern, left))
+    return F.transform(out, lambda w: F.ltrim(w, F.lit("~")))
 
 
 def stem(token: Column) -> Column:
-    """First suffix rule that fits a Latin word of four letters or more."""
-    rules = [(r"sses$", "ss"), (r"ies$", "y"), (r"(?<=[a-z]{3})ing$", ""), (r"(?<=[a-z]{3})ed$", ""), (r"(?<=[a-z]{3})ly$", ""), (r"(?<=[a-z]{2}[^s])s$", "")]
-    out = F.when(~token.rlike(r"^[a-z]{4,}$"), token)
-    for pattern, to in rules:
-        out = out.when(token.rlike(pattern), F.regexp_replace(token, pattern, to))
-    return out.otherwise(token)
+    return F.get(stems(F.array(token)), F.lit(0))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -70,15 +132,21 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def hashtags(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"#([\p{L}\p{N}_]{2,50})"), 1), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_HASHTAG), 1), F.lower))
 
 
 def mentions(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"@([A-Za-z0-9_.]{2,50})"), 1))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_MENTION), 1), F.lower))
 
 
 def urls(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"')]+"), 0))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_URL), 0))
+
+
+def proper_nouns(text: Column, most: int = 12) -> Column:
+    """Runs of one to four capitalised words, stop words left out; the first ``most``."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_PROPER), 1))
+    return F.slice(F.filter(found, lambda p: ~F.lower(p).isin(*ALL_STOPWORDS)), 1, most)
 
 
 def domain(url: Column) -> Column:
@@ -93,27 +161,42 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def title_features(title: Column) -> dict[str, Column]:
-    low = F.lower(title)
+def title_features(title: Column, lang: Column) -> dict[str, Column]:
+    """Nine features; address and lists have words in the languages that are known."""
+    def spoken(patterns: dict[str, str]) -> Column:
+        return F.coalesce(*[F.when(lang == code, title.rlike(pattern)) for code, pattern in patterns.items()], F.lit(False))
+
     return {
-        "question": title.rlike(r"[?؟]"),
-        "exclaim": title.contains("!"),
-        "number": title.rlike(r"[0-9٠-٩۰-۹]"),
+        "question": title.rlike("[?？؟]"),
+        "exclaim": title.rlike("[!！]"),
+        "number": title.rlike(_DIGIT),
         "emoji": title.rlike(_EMOJI),
-        "hashtag": title.rlike(r"#[\p{L}\p{N}_]{2,}"),
-        "bracket": title.rlike(r"[\[\]()]"),
-        "shout": title.rlike(r"(^|[^A-Z])[A-Z]{4,}([^A-Z]|$)"),
-        "you": low.rlike(r"(^|[^a-z])(you|your|yours)([^a-z]|$)"),
-        "listicle": low.rlike(r"^[0-9]+ [a-z]"),
+        "hashtag": title.rlike(r"(^|\s)#\S"),
+        "bracket": title.rlike("[\"'«»“”()\\[\\]{}]"),
+        "shout": title.rlike(_START + "[A-Z]{3,}" + _END),
+        "you": spoken(_YOU),
+        "listicle": title.rlike(r"^\s*" + _DIGIT) | (title.rlike(_DIGIT) & spoken(_LISTED)),
     }
 
 
+def _band(value: Column, bands: tuple) -> Column:
+    out = F.lit(bands[-1][1])
+    for top, name in reversed(bands[:-1]):
+        out = F.when(value <= top, name).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
 def length_band(chars: Column) -> Column:
-    return F.when(chars < 30, "0-29").when(chars < 60, "30-59").when(chars < 90, "60-89").otherwise("90+")
+    return _band(chars, _LENGTHS)
 
 
 def word_band(words: Column) -> Column:
-    return F.when(words < 5, "1-4").when(words < 9, "5-8").when(words < 13, "9-12").otherwise("13+")
+    return _band(words, _WORDS)
+
+
+def char_count(title: Column) -> Column:
+    """Code points, white space at the ends apart."""
+    return F.char_length(F.trim(title))
 
 
 def word_count(text: Column) -> Column:
@@ -137,26 +220,45 @@ def word_overlap(topic: Column, item: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
+    """Different bits of two 64-bit numbers."""
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def fnv64(word: str) -> int:
+    """FNV-1a over UTF-16 code units, 64 bits."""
+    h = 0xCBF29CE484222325
+    for unit in array("H", word.encode("utf-16-le", "surrogatepass")):
+        h = (h ^ unit) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+_BITS = np.arange(64, dtype=np.uint64)
+
+
 @F.pandas_udf(T.LongType())
-def simhash(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64-bit SimHash of a token list: each token's hash votes on each bit."""
-    import numpy as np
-    import xxhash
-
-    shifts = np.arange(64, dtype=np.uint64)
-    for batch in tokens:
-        out = []
-        for words in batch:
-            if words is None or len(words) == 0:
-                out.append(None)
-                continue
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-            votes = (((h[:, None] >> shifts) & np.uint64(1)).astype(np.int64) * 2 - 1).sum(axis=0)
-            out.append(int((np.uint64(1) << shifts)[votes > 0].sum(dtype=np.uint64).view(np.int64)))
-        yield pd.Series(out, dtype="Int64")
+def simhash(words: pd.Series) -> pd.Series:
+    """64-bit SimHash of a list of content tokens: each token's hash votes on each bit, once per
+    use.  No token, no bit; null stays null."""
+    hashes: dict[str, int] = {}
+    out = []
+    for some in words:
+        if some is None:
+            out.append(None)
+            continue
+        names, uses = np.unique(np.array(some, object), return_counts=True) if len(some) else ((), np.zeros(0, np.int64))
+        for name in names:
+            if name not in hashes:
+                hashes[name] = fnv64(name)
+        h = np.array([hashes[name] for name in names], np.uint64)
+        votes = ((((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int64) * 2 - 1) * uses[:, None]).sum(axis=0)
+        out.append(int((np.uint64(1) << _BITS)[votes > 0].sum(dtype=np.uint64).view(np.int64)))
+    return pd.Series(out, dtype="Int64")
+
+
+@F.pandas_udf(T.StringType())
+def content_id(source: pd.Series, external: pd.Series) -> pd.Series:
+    """``source:`` and the base-36 hash of the source's own id; null if either is."""
+    return pd.Series([None if a is None or b is None else f"{a}:{np.base_repr(fnv64(b), 36).lower()}" for a, b in zip(source, external)], dtype=object)
 
 
 def csv_field(value: Column) -> Column:

@@ -86,9 +86,9 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as text items: title is the first line, 80 characters at most."""
+    """Documents as text items: the title is the first line, whole."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("body"), "lang", "source", "n_chars")
+    return d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "lang", "source", "n_chars")
 
 
 #: The same adapters in SQL, for the oracles.

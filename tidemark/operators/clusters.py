@@ -1,133 +1,253 @@
-"""Topics: tf-idf vectors, blocked similarity edges, components; and an exact greedy mode."""
+"""Topics: tf-idf vectors of stems, exact similarity edges, components, summaries."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as t
+from tidemark.model import STATES
+from tidemark.sources.tables import written
 
+# Topics.
 TOP_TERMS = 14
 THRESHOLD = 0.34
+OVERLAP = 0.55
+DUPLICATE_BITS = 6
+SEMANTIC = 0.86
+
+
+def stemmed(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
+    """(item, w): stems of the content tokens, in order."""
+    return items.select(item, t.stems(t.content_tokens(t.words_of(F.col(text)))).alias("w"))
+
+
+def content(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
+    """(item, raw), written: the content tokens, in order."""
+    return written(items.select(item, t.content_tokens(t.words_of(F.col(text))).alias("raw")), f"words-{uuid.uuid4().hex[:8]}")
+
+
+def simhashes(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
+    """(item, simhash) of the content tokens; 0 for a text without any."""
+    return content(items, text, item).select(item, t.simhash("raw").alias("simhash"))
 
 
 def tfidf(items: DataFrame, text: str = "title", item: str = "id", top: int = TOP_TERMS) -> DataFrame:
-    """(id, term, weight): the ``top`` heaviest unigrams and bigrams, L2-normalised.
+    """(id, term, rank, df, weight): the ``top`` heaviest unigrams and bigrams of stems, L2-normalised.
 
-    idf is ln((N + 1) / (df + 1)) + 1; bigrams count 1.5 times; tf divides by unigrams.
+    idf is ln((N + 1) / (df + 1)) + 1 over all items; bigrams count 1.5 times; tf divides by
+    unigrams.
     """
-    words = items.select(item, t.content_tokens(t.ascii_tokens(F.col(text))).alias("w")).where(F.size("w") > 0)
-    single = words.select(item, F.size("w").alias("len"), F.explode("w").alias("term"), F.lit(1.0).alias("x"))
-    double = words.select(item, F.size("w").alias("len"), F.explode(t.ngrams(F.col("w"), 2)).alias("term"), F.lit(1.5).alias("x"))
-    tf = single.unionByName(double).groupBy(item, "len", "term").agg((F.sum("x") / F.col("len")).alias("tf"))
+    words = stemmed(items, text, item)
+    n = words.agg(F.count(F.lit(1)).alias("N"))
+    words = words.where(F.size("w") > 0)
+    terms = F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("x"))), F.transform(t.ngrams(F.col("w"), 2), lambda x: F.struct(x.alias("term"), F.lit(1.5).alias("x"))))
+    used = words.select(item, F.size("w").alias("len"), F.explode(terms).alias("p")).select(item, "len", "p.term", "p.x")
+    tf = used.groupBy(item, "len", "term").agg((F.sum("x") / F.col("len")).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.broadcast(words.agg(F.count(F.lit(1)).alias("N")))
-    w = tf.join(df, "term").crossJoin(n).withColumn("weight", F.col("tf") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1))
+    w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", F.col("tf") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1))  # one row
     heavy = Window.partitionBy(item).orderBy(F.col("weight").desc(), "term")
     kept = w.withColumn("rank", F.row_number().over(heavy)).where(F.col("rank") <= top)
-    norm = kept.groupBy(item).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return kept.join(norm, item).select(item, "term", "rank", "df", (F.col("weight") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(item)))
+    return kept.select(item, "term", "rank", "df", (F.col("weight") / norm).alias("weight"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, most_df: int = 200, item: str = "id") -> DataFrame:
-    """(a, b, similarity) of items that share a term of document frequency ``most_df`` or less.
+def _meet(rows: DataFrame, keys: str, columns: list[str], item: str) -> DataFrame:
+    """Pairs a < b of rows that share a key, each at the first key that both have.
 
-    Rare shared terms propose pairs; an absolute cap on df bounds each term's pairs, so
-    their number grows with the items and not with their square.
+    ``keys`` is an array in one order that all rows follow, so a pair is made once and
+    nothing has to be told apart afterwards.
+    """
+    spread = rows.select(item, keys, *columns, F.explode(keys).alias("__key"))
+    left = spread.select("__key", *[F.col(c).alias(f"{c}_a") for c in (item, keys, *columns)])
+    right = spread.select("__key", *[F.col(c).alias(f"{c}_b") for c in (item, keys, *columns)])
+    pairs = left.join(right, "__key").where(F.col(f"{item}_a") < F.col(f"{item}_b"))
+    return pairs.where(F.get(F.array_intersect(f"{keys}_a", f"{keys}_b"), F.lit(0)) == F.col("__key"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, item: str = "id") -> DataFrame:
+    """(a, b, similarity): all pairs of vectors whose cosine is ``threshold`` or more.
+
+    Exact.  Terms are ordered from rare to common; a vector's last terms whose norm together
+    is under the threshold can't make a pair alone, so only the terms before them propose
+    pairs: two vectors that reach the threshold share a proposing term.  Cosines are taken
+    where the pair is made, so only pairs that reach it are moved on.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("df", "term", "weight")))
+    rows = vectors.groupBy(item).agg(ordered.alias("v"))
+    squares = F.transform("v", lambda x: x["weight"] * x["weight"])
+    # how many terms stand before the longest end whose norm is below the threshold
+    tail = F.aggregate(F.reverse(squares), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, q: F.struct((s["sum"] + q).alias("sum"), (s["n"] + F.when(F.sqrt(s["sum"] + q) < threshold - 1e-9, 1).otherwise(0)).alias("n")))["n"]
+    rows = rows.withColumn("keys", F.transform(F.slice("v", F.lit(1), F.size("v") - tail), lambda x: x["term"]))
+    rows = rows.withColumn("m", F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["weight"])))).select(item, "keys", "v", "m")
+    pairs = _meet(rows, "keys", ["v", "m"], item)
+    cosine = F.aggregate("v_a", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("m_b", x["term"]), F.lit(0.0)))
+    return pairs.select(F.col(f"{item}_a").alias("a"), F.col(f"{item}_b").alias("b"), cosine.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def overlapping_pairs(items: DataFrame, words: str = "w", threshold: float = OVERLAP, item: str = "id") -> DataFrame:
+    """(a, b, jaccard): all pairs of word sets whose Jaccard index is ``threshold`` or more.
+
+    Exact: two such sets of n words share one of the n - ceil(threshold * n) + 1 rarest.
     """
-    rare = vectors.where((F.col("df") > 1) & (F.col("df") <= most_df)).select(item, "term")
-    pairs = rare.select(F.col(item).alias("a"), "term").join(rare.select(F.col(item).alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    left = vectors.select(F.col(item).alias("a"), "term", F.col("weight").alias("x"))
-    right = vectors.select(F.col(item).alias("b"), "term", F.col("weight").alias("y"))
-    scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): smallest reachable id.  Rounds of hooking and jumping, checkpointed."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        # unset only outside a cluster, as in tests
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-cp-"))
-    rest = edges.select("a", "b").where("a <> b").distinct().checkpoint()
-    labels = None
-    for _ in range(max_rounds):
+    each = items.select(item, F.explode(F.array_distinct(words)).alias("term"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = each.join(df, "term").groupBy(item).agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("v"))
+    rows = rows.select(item, F.transform("v", lambda x: x["term"]).alias("w"))
+    keep = F.size("w") - F.ceil(threshold * F.size("w") - 1e-9) + 1
+    rows = rows.withColumn("keys", F.slice("w", F.lit(1), keep.cast("int")))
+    pairs = _meet(rows, "keys", ["w"], item)
+    return pairs.select(F.col(f"{item}_a").alias("a"), F.col(f"{item}_b").alias("b"), t.jaccard(F.col("w_a"), F.col("w_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+#: Parts of a SimHash: two that differ in at most DUPLICATE_BITS bits agree in one of one more.
+_PARTS = ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))
+
+
+def reposts(hashes: DataFrame, bits: int = DUPLICATE_BITS, item: str = "id", simhash: str = "simhash") -> DataFrame:
+    """(a, b, distance): pairs whose SimHashes differ in ``bits`` bits (six at most) or fewer.
+
+    Exact: the 64 bits fall into seven parts, one of which six differences leave alone.
+    Equal hashes collapse first: copies link to the smallest id of their hash, at distance 0,
+    and pairs are made between different hashes only.  A hash without any bit is no text's.
+    """
+    if not 0 <= bits <= DUPLICATE_BITS:
+        raise ValueError(f"at most {DUPLICATE_BITS} bits")
+    hashes = hashes.where(F.col(simhash) != 0)
+    firsts = hashes.groupBy(simhash).agg(F.min(item).alias("first"))
+    copies = hashes.join(firsts, simhash).where(F.col(item) != F.col("first")).select(F.col("first").alias("a"), F.col(item).alias("b"), F.lit(0).alias("distance"))
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(F.col(simhash), at).bitwiseAND((1 << width) - 1).alias("value")) for i, (at, width) in enumerate(_PARTS)])
+    rows = firsts.select(F.col("first").alias(item), F.col(simhash).alias("h"), keys.alias("keys"))
+    near = _meet(rows, "keys", ["h"], item).withColumn("distance", t.hamming(F.col("h_a"), F.col("h_b"))).where(F.col("distance") <= bits)
+    return copies.unionByName(near.select(F.col(f"{item}_a").alias("a"), F.col(f"{item}_b").alias("b"), "distance"))
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest id reachable, for every id that has an edge.
+
+    Each round hooks ids to their smallest neighbour, jumps once and contracts; its tables
+    are written below ``spark.checkpoint.dir``.  Raises if labels have not settled.
+    """
+    run = uuid.uuid4().hex[:8]
+    rest, labels = written(edges.select("a", "b").where("a <> b").distinct(), f"edges-{run}"), None
+    for turn in range(max_rounds):
         if rest.isEmpty():
             break
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")).checkpoint()
-        step = hook.join(hook.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.least("to", "far").alias("to")).checkpoint()
+        hook = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")), f"hook-{run}-{turn}")
+        step = written(hook.join(hook.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.least("to", "far").alias("to")), f"step-{run}-{turn}")
         moved = rest.join(step.select(F.col("id").alias("a"), F.col("to").alias("ra")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("rb")), "b")
-        rest = moved.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct().checkpoint()
+        rest = written(moved.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), f"edges-{run}-{turn}")
         if labels is None:
             labels = step
         else:
-            labels = labels.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to")).checkpoint()
+            onward = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            labels = written(labels.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to")), f"labels-{run}-{turn}")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
-        labels = rest.select(F.col("a").alias("id"), F.col("a").alias("to")).limit(0)
+        labels = rest.select(F.col("a").alias("id"), F.col("a").alias("to"))
     return labels.select("id", F.col("to").alias("component"))
 
 
+def topic_links(items: DataFrame, text: str = "title", item: str = "id", threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of items of one topic, by any of the three rules: cosine of tf-idf vectors, word
+    overlap, and SimHashes a few bits apart of items that share a word."""
+    words = content(items, text, item)
+    cosine = similar_pairs(tfidf(items, text, item), threshold, item)
+    overlap = overlapping_pairs(words.select(item, t.stems(F.col("raw")).alias("w")), item=item)
+    near = reposts(words.select(item, t.simhash("raw").alias("simhash")), item=item)
+    w = words.select(item, t.stems(F.col("raw")).alias("w"))
+    near = near.join(w.select(F.col(item).alias("a"), F.col("w").alias("w_a")), "a").join(w.select(F.col(item).alias("b"), F.col("w").alias("w_b")), "b").where(F.arrays_overlap("w_a", "w_b"))
+    return cosine.select("a", "b").unionByName(overlap.select("a", "b")).unionByName(near.select("a", "b")).distinct()
+
+
 def topics(items: DataFrame, text: str = "title", item: str = "id", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, component) by single link over tf-idf similarity; alone items are their own."""
-    found = components(similar_pairs(tfidf(items, text, item), threshold, item=item))
+    """(id, component): single link over ``topic_links``, whatever the items' sources; items
+    alone are their own topic."""
+    found = components(topic_links(items, text, item, threshold))
     return items.select(item).join(found.withColumnRenamed("id", item), item, "left").select(item, F.coalesce("component", F.col(item)).alias("component"))
 
 
+def centroids(members: DataFrame, vector: str = "embedding", topic: str = "component") -> DataFrame:
+    """(topic, c): mean of the members' vectors, scaled to length 1.
+
+    Vectors of another length than most of a topic's are of another model and take no part; a
+    topic without vectors, or whose mean is zero, has none.
+    """
+    sized = members.where(F.size(vector) > 0).withColumn("__n", F.size(vector))
+    usual = sized.groupBy(topic, "__n").agg(F.count(F.lit(1)).alias("k")).groupBy(topic).agg(F.max(F.struct("k", F.col("__n").alias("n"))).alias("most"))
+    sized = sized.join(usual, topic).where(F.col("__n") == F.col("most.n"))
+    sums = sized.select(topic, F.posexplode(vector).alias("i", "x")).groupBy(topic, "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    each = sums.groupBy(topic).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).where("norm > 0")
+    return each.select(topic, F.transform("v", lambda s: s["x"] / F.col("norm")).alias("c"))
+
+
+def distribution(members: DataFrame, value: str, topic: str = "component") -> DataFrame:
+    """(topic, value, n, pct): whole percents of the known values."""
+    known = members.where(F.col(value).isNotNull() & (F.col(value) != ""))
+    counts = known.groupBy(topic, value).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy(topic).agg(F.sum("n").alias("__all"))
+    return counts.join(total, topic).select(topic, value, "n", F.floor(F.col("n") / F.col("__all") * 100 + 0.5).cast("int").alias("pct"))
+
+
+def best_state(state: Column) -> Column:
+    """Aggregate: the state of the members that ranks first."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATES]), state)
+    return F.min_by(state, F.when(rank > 0, rank))
+
+
+def label(keywords: Column, most: int = 3) -> Column:
+    """A name from keywords by falling weight; one that repeats a word seen before is left out."""
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        words = F.split(k, " ")
+        fresh = (F.char_length(k) > 1) & ~F.arrays_overlap(s["seen"], words) & (F.size(s["out"]) < most)
+        return F.struct(F.when(F.char_length(k) > 1, F.array_union(s["seen"], words)).otherwise(s["seen"]).alias("seen"), F.when(fresh, F.array_append(s["out"], k)).otherwise(s["out"]).alias("out"))
+
+    chosen = F.aggregate(keywords, start, step)["out"]
+    capital = F.transform(chosen, lambda k: F.array_join(F.transform(F.split(k, " "), lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), " "))
+    return F.when(F.size(chosen) == 0, "unlabelled").otherwise(F.array_join(capital, " · "))
+
+
+def keyword_key(keywords: Column) -> Column:
+    """A topic's name that stays while its four strongest keywords do."""
+    return F.array_join(F.sort_array(F.transform(F.slice(keywords, 1, 4), lambda k: F.regexp_replace(k, r"\s+", "_"))), "|")
+
+
+def display_forms(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
+    """(stem, form): the commonest word behind each stem, the first by name among equals."""
+    raw = items.select(t.content_tokens(t.words_of(F.col(text))).alias("raw"))
+    uses = raw.select(F.explode(F.arrays_zip(F.col("raw"), t.stems(F.col("raw")).alias("stem"))).alias("p")).select(F.col("p.stem").alias("stem"), F.col("p.raw").alias("form"))
+    counts = uses.groupBy("stem", "form").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("stem").agg(F.min_by("form", F.struct(-F.col("n"), F.col("form"))).alias("form"))
+
+
+def topic_names(members: DataFrame, vectors: DataFrame, forms: DataFrame, item: str = "id", most: int = 8) -> DataFrame:
+    """(component, keywords, label, key): the heaviest terms of a topic's mean vector, in words
+    that people wrote."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("items"))
+    means = vectors.join(members, item).groupBy("component", "term").agg(F.sum("weight").alias("w")).join(sizes, "component").withColumn("w", F.round(F.col("w") / F.col("items"), 9))
+    heavy = Window.partitionBy("component").orderBy(F.desc("w"), "term")
+    top = means.withColumn("place", F.row_number().over(heavy)).where(F.col("place") <= most)
+    parts = top.select("component", "place", F.posexplode(F.split("term", " ")).alias("i", "stem"))
+    words = parts.join(forms, "stem", "left").select("component", "place", "i", F.coalesce("form", "stem").alias("word"))
+    terms = words.groupBy("component", "place").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("k"))
+    named = terms.groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "k"))), lambda x: x["k"]).alias("keywords"))
+    return named.select("component", "keywords", label(F.col("keywords")).alias("label"), keyword_key(F.col("keywords")).alias("key"))
+
+
 def topic_summary(members: DataFrame, now: int) -> DataFrame:
     """Per component of (id, component, source, score, seen_at): size, sources, velocity
     (items of the last hour), acceleration (against the hour before) and score."""
     age = (now - F.col("seen_at")) / 3600.0
     x = members.groupBy("component").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("source").alias("sources"), F.max("score").alias("best"), F.sum(F.when(age <= 1, 1).otherwise(0)).alias("velocity"), F.sum(F.when((age > 1) & (age <= 2), 1).otherwise(0)).alias("earlier"))
     breadth = F.least(F.lit(1.0), (F.col("sources") - 1) / 3)
-    volume = F.least(F.lit(1.0), F.log1p("items") / F.log1p(F.lit(20.0)))
+    volume = F.least(F.lit(1.0), F.log1p("items") / F.log1p(F.lit(12.0)))
     score = F.least(F.lit(100.0), 0.62 * F.col("best") + 100 * (0.24 * breadth + 0.14 * volume))
     sure = F.least(F.lit(1.0), 0.35 + 0.2 * F.col("sources") + 0.02 * F.col("items"))
     return x.select("component", "items", "sources", "velocity", (F.col("velocity") - F.col("earlier")).alias("acceleration"), score.alias("score"), sure.alias("confidence"))
-
-
-def greedy_topics(items: DataFrame, vectors: DataFrame, score: str = "score", item: str = "id", threshold: float = THRESHOLD, block: str = "lang") -> DataFrame:
-    """The order-dependent rule: strongest item first joins the nearest running-mean centroid.
-
-    It is sequential by definition, so it runs per ``block`` of items that may meet at all;
-    a block should be bounded (a language and day, say).  ``topics`` is the way at scale.
-    """
-    terms = vectors.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    rows = items.select(item, score, block).join(terms, item)
-
-    def run(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        pdf = groups.sort_values([score, item], ascending=[False, True])
-        centroids: list[tuple[dict, int, object]] = []
-        by_term: dict[str, set[int]] = {}
-        out = []
-        for row in pdf.itertuples(index=False):
-            v, name = dict(row.v), getattr(row, item)
-            near = set().union(*[by_term.get(w, set()) for w in v]) if v else set()
-            best, at = threshold, None
-            size = sum(x * x for x in v.values()) ** 0.5
-            for c in sorted(near):
-                mean = centroids[c][0]
-                norm = sum(x * x for x in mean.values()) ** 0.5
-                s = sum(x * mean.get(w, 0.0) for w, x in v.items()) / (size * norm) if size and norm else 0.0
-                if s >= best and (at is None or s > best):
-                    best, at = s, c
-            if at is None:
-                centroids.append((v, 1, name))
-                at = len(centroids) - 1
-            else:
-                mean, n, first = centroids[at]
-                for w, x in v.items():
-                    mean[w] = (mean.get(w, 0.0) * n + x) / (n + 1)
-                centroids[at] = (mean, n + 1, first)
-            for w in v:
-                by_term.setdefault(w, set()).add(at)
-            out.append((name, centroids[at][2]))
-        return pd.DataFrame(out, columns=["id", "component"])
-
-    return rows.groupBy(block).applyInPandas(run, "id long, component long")

@@ -194,7 +194,7 @@ def ranked_count(spark, sf_dir):
     return ranking.count(scored(spark, sf_dir), ranking.RankedQuery(sources=["click", "view", "purchase"], least_score=1.0))
 
 
-_TITLE = "substr(split_part(text, chr(10), 1), 1, 80)"
+_TITLE = "split_part(text, chr(10), 1)"
 
 
 @query("ranked_lang_null_kept", "SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang FROM documents WHERE doc_id % 7 = 0 OR lang IN ('en', 'fr')")
@@ -381,24 +381,49 @@ def _p6(df: DataFrame) -> DataFrame:
     return df.withColumn("p", r6("p"))
 
 
-_BAND = "CASE WHEN length(title) < 30 THEN '0-29' WHEN length(title) < 60 THEN '30-59' WHEN length(title) < 90 THEN '60-89' ELSE '90+' END"
+_BAND = "CASE WHEN length(trim(title)) <= 30 THEN '0-30' WHEN length(trim(title)) <= 50 THEN '31-50' WHEN length(trim(title)) <= 70 THEN '51-70' WHEN length(trim(title)) <= 100 THEN '71-100' ELSE '100+' END"
+_WORD_COUNT = "CASE WHEN trim(title) = '' THEN 0 ELSE len(regexp_split_to_array(trim(title), '\\s+')) END"
+_WORD_BAND = f"CASE WHEN {_WORD_COUNT} <= 4 THEN '1-4' WHEN {_WORD_COUNT} <= 8 THEN '5-8' WHEN {_WORD_COUNT} <= 12 THEN '9-12' WHEN {_WORD_COUNT} <= 18 THEN '13-18' ELSE '19+' END"
+
+
+def _format_lift(spark: SparkSession, sf_dir: str, bucket: Column) -> DataFrame:
+    adj = lift.stratified(_outcomes(spark, sf_dir), "percentile", ["lang"])
+    return _p6(lift.summarise(adj.withColumn("bucket", bucket), ["bucket"], "adjusted", "score"))
 
 
 @query("format_lift", f"WITH {_OUTCOMES_SQL}, rows AS (SELECT {_BAND} AS bucket, adjusted AS v, score AS sc FROM adj), " + lift_sql(["bucket"]))
 def format_lift(spark, sf_dir):
-    adj = lift.stratified(_outcomes(spark, sf_dir), "percentile", ["lang"])
-    return _p6(lift.summarise(adj.withColumn("bucket", t.length_band(F.char_length("title"))), ["bucket"], "adjusted", "score"))
+    return _format_lift(spark, sf_dir, t.length_band(t.char_count(F.col("title"))))
+
 
+@query("format_lift_words", f"WITH {_OUTCOMES_SQL}, rows AS (SELECT {_WORD_BAND} AS bucket, adjusted AS v, score AS sc FROM adj), " + lift_sql(["bucket"]))
+def format_lift_words(spark, sf_dir):
+    return _format_lift(spark, sf_dir, t.word_band(t.word_count(F.col("title"))))
 
-_FEATURES_SQL = """CASE WHEN contains(title, '?') THEN ['question'] ELSE [] END || CASE WHEN contains(title, '!') THEN ['exclaim'] ELSE [] END
-  || CASE WHEN regexp_matches(title, '[0-9]') THEN ['number'] ELSE [] END || CASE WHEN regexp_matches(title, '[\\[\\]()]') THEN ['bracket'] ELSE [] END
-  || CASE WHEN regexp_matches(title, '(^|[^A-Z])[A-Z]{4,}([^A-Z]|$)') THEN ['shout'] ELSE [] END"""
+
+def _has(name: str, condition: str) -> str:
+    return f"CASE WHEN {condition} THEN ['{name}'] ELSE [] END"
+
+
+_FEATURES_SQL = " || ".join(
+    _has(n, c)
+    for n, c in {
+        "question": "regexp_matches(title, '[?？؟]')",
+        "exclaim": "regexp_matches(title, '[!！]')",
+        "number": "regexp_matches(title, '[0-9۰-۹٠-٩]')",
+        "hashtag": r"regexp_matches(title, '(^|\s)#\S')",
+        "bracket": r"""regexp_matches(title, '["''«»“”()\[\]{}]')""",
+        "shout": r"regexp_matches(title, '\b[A-Z]{3,}\b')",
+        "you": r"lang = 'en' AND regexp_matches(title, '(?i)\b(you|your|yours|yourself)\b')",
+        "listicle": r"regexp_matches(title, '^\s*[0-9۰-۹٠-٩]') OR (lang = 'en' AND regexp_matches(title, '[0-9۰-۹٠-٩]') AND regexp_matches(title, '(?i)\b(ways?|things?|tips?|reasons?|steps?|rules?|facts?)\b'))",
+    }.items()
+)
 
 
 @query("title_pattern_two_sample", f"WITH {_OUTCOMES_SQL}, rows AS (SELECT unnest({_FEATURES_SQL}) AS feature, adjusted AS v, score AS sc FROM adj), whole AS (SELECT adjusted AS v FROM adj), " + lift_sql(["feature"], complement=True))
 def title_pattern_two_sample(spark, sf_dir):
     adj = lift.stratified(_outcomes(spark, sf_dir), "percentile", ["lang"])
-    features = {k: c for k, c in t.title_features(F.col("title")).items() if k in ("question", "exclaim", "number", "bracket", "shout")}
+    features = t.title_features(F.col("title"), F.col("lang"))
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in features.items()]), lambda x: x.isNotNull())
     rows = adj.select(F.explode(found).alias("feature"), "adjusted", "score")
     return _p6(lift.summarise(rows, ["feature"], "adjusted", "score", baseline=adj.withColumnRenamed("adjusted", "__b").withColumn("adjusted", F.col("__b")), complement=True))
@@ -459,24 +484,25 @@ def niche_lift(spark, sf_dir):
     return out.where("n >= 10 and creators >= 8")
 
 
-@query("examples_drilldown", f"WITH {_OUTCOMES_SQL} SELECT id, title, round(adjusted, 6) AS adjusted FROM adj WHERE {_BAND} = '60-89' ORDER BY adj.adjusted DESC, id LIMIT 20")
+@query("examples_drilldown", f"WITH {_OUTCOMES_SQL} SELECT id, title, round(adjusted, 6) AS adjusted FROM adj WHERE {_BAND} = '71-100' ORDER BY adj.adjusted DESC, id LIMIT 20")
 def examples_drilldown(spark, sf_dir):
-    adj = lift.stratified(_outcomes(spark, sf_dir), "percentile", ["lang"]).where(t.length_band(F.char_length("title")) == "60-89")
+    adj = lift.stratified(_outcomes(spark, sf_dir), "percentile", ["lang"]).where(t.length_band(t.char_count(F.col("title"))) == "71-100")
     return adj.orderBy(F.desc("adjusted"), "id").limit(20).select("id", "title", r6("adjusted").alias("adjusted"))
 
 
 # ── vectors ──────────────────────────────────────────────────────────────────
 
 _DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-_GAPS_SQL = f"WITH sims AS (SELECT a.vec_id AS topic, b.vec_id AS item, {_DOT} AS sim FROM embeddings a, embeddings b WHERE a.label = 0 AND a.vec_id % 20 = 0 AND b.label > 1)"
+_GAPS_SQL = f"WITH sims AS (SELECT a.vec_id AS topic, b.vec_id AS item, {_DOT} AS sim FROM embeddings a, embeddings b WHERE a.label <= 1 AND a.vec_id % 20 = 0 AND b.label > 1)"
 
 
 def _gap_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demand topics are a stated query set, a fixed share of label 0, against all supply."""
+    """Demand topics (labels 0 and 1) are a stated query set, every twentieth id, against all
+    supply; supply rows meet the topics in blocks, and pairs are never stored."""
     e = table(spark, sf_dir, "embeddings")
-    demand = e.where("label = 0 and vec_id % 20 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("a"))
-    supply = e.where("label > 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("b"))
-    return supply.join(demand).select("topic", "item", m.dot(F.col("a"), F.col("b")).alias("sim"))
+    demand = e.where("label <= 1 and vec_id % 20 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("a"), F.pmod("vec_id", F.lit(8)).alias("block"))
+    supply = e.where("label > 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("block"))
+    return supply.join(demand, "block").select("topic", "item", m.dot(F.col("a"), F.col("b")).alias("sim"))
 
 
 @query("gaps_topk", _GAPS_SQL + " SELECT topic, item, round(sim, 6) AS sim, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, item) AS r FROM sims) WHERE r <= 3")
@@ -510,7 +536,19 @@ def label_centroids(spark, sf_dir):
 # ── text ─────────────────────────────────────────────────────────────────────
 
 _STOP_SQL = "[" + ", ".join("'" + w + "'" for w in t.ALL_STOPWORDS) + "]"
-_TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains(" + _STOP_SQL + ", w) AND NOT regexp_matches(w, '^[0-9]+$'))"
+_NORM = (
+    r"regexp_replace(regexp_replace(translate(regexp_replace(lower(regexp_replace(translate(regexp_replace({0}, '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{FEFF}}]', ' ', 'g'), 'أإآٱىيكة', 'ااااییکه'),"
+    r" '[\x{{64B}}-\x{{652}}\x{{670}}]', '', 'g')), 'https?://\S+', ' ', 'g'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '[^\p{{L}}\p{{N}}#@_\s]+', ' ', 'g'), '\s+', ' ', 'g')"
+)
+_WORDS = (
+    "flatten(list_transform(list_filter(string_split(" + _NORM + ", ' '), lambda p: p <> ''), lambda p: CASE WHEN regexp_matches(p, '^[\\x{{3040}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}]+$')"
+    " THEN list_transform(range(1, greatest(length(p), 2)), lambda i: substr(p, i, 2)) ELSE [p] END))"
+)
+_TOKENS = "list_filter(" + _WORDS + ", lambda w: length(w) > 1 AND NOT list_contains(" + _STOP_SQL + ", w) AND NOT regexp_matches(w, '^[0-9]+$') AND NOT starts_with(w, '@'))"
+_STEMS = "list_transform(" + _TOKENS + ", lambda w: CASE WHEN regexp_matches(w, '^[a-z]{{4,}}$') THEN '~' || w ELSE w END)"
+for _pattern, _left in t.STEM_STEPS:
+    _STEMS = f"list_transform({_STEMS}, lambda w: regexp_replace(w, '{_pattern.replace('{', '{{').replace('}', '}}')}', '{_left.replace('$', chr(92))}'))"
+_STEMS = f"list_transform({_STEMS}, lambda w: ltrim(w, '~'))"
 
 
 @query("gap_word_overlap", f"WITH b AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower({_TITLE}), '[\\s[:punct:]]+'), lambda w: length(w) >= 3)) AS w FROM documents), q AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower({_TITLE}), '[\\s[:punct:]]+'), lambda w: length(w) >= 3)) AS a FROM documents ORDER BY doc_id LIMIT 1) SELECT doc_id AS id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, w)) / len(a) END, 6) AS overlap FROM b, q")
@@ -520,18 +558,39 @@ def gap_word_overlap(spark, sf_dir):
     return docs.join(topic).select("id", r6(t.word_overlap(F.col("topic"), F.col("title"))).alias("overlap"))
 
 
-@query("entities_hashtags", r"WITH x AS (SELECT doc_id AS id, list_distinct(list_transform(regexp_extract_all(text, '#([\p{L}\p{N}_]{2,50})', 1), lambda h: lower(h))) AS h FROM documents), y AS (SELECT id, unnest(h) AS tag FROM x) SELECT tag, count(*) AS n FROM y GROUP BY 1")
+#: Texts with tags, mentions and links: the documents' titles marked by rules on the id.
+_TAGGED_SQL = f"""tagged AS (SELECT doc_id AS id, '#Topic' || doc_id % 13 || ' @User.' || doc_id % 7 || ' (https://www.Site' || doc_id % 5 || '.example/a?b=' || doc_id || ') #topic' || doc_id % 3 || ' ' || {_TITLE} AS body FROM documents)"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    marks = F.concat(F.lit("#Topic"), i % 13, F.lit(" @User."), i % 7, F.lit(" (https://www.Site"), i % 5, F.lit(".example/a?b="), i, F.lit(") #topic"), i % 3, F.lit(" "), F.col("title"))
+    return document_items(spark, sf_dir).select("id", marks.alias("body"))
+
+
+@query("entities_hashtags", rf"WITH {_TAGGED_SQL}, x AS (SELECT id, list_distinct(list_transform(regexp_extract_all(body, '#([\p{{L}}\p{{N}}_]{{2,50}})', 1), lambda h: lower(h))) AS h FROM tagged), y AS (SELECT id, unnest(h) AS tag FROM x) SELECT tag, count(*) AS n FROM y GROUP BY 1")
 def entities_hashtags(spark, sf_dir):
-    x = document_items(spark, sf_dir).select(F.explode(t.hashtags(F.col("body"))).alias("tag"))
+    x = _tagged(spark, sf_dir).select(F.explode(t.hashtags(F.col("body"))).alias("tag"))
     return x.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("entities_domains", r"""WITH x AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, 'https?://[^\s<>"'')]+'))) AS url FROM documents) SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS domain, count(*) AS n FROM x GROUP BY 1 HAVING domain <> ''""")
+@query("entities_mentions", rf"WITH {_TAGGED_SQL}, x AS (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(body, '@([A-Za-z0-9_.]{{2,40}})', 1), lambda h: lower(h)))) AS mention FROM tagged) SELECT mention, count(*) AS n FROM x GROUP BY 1")
+def entities_mentions(spark, sf_dir):
+    x = _tagged(spark, sf_dir).select(F.explode(t.mentions(F.col("body"))).alias("mention"))
+    return x.groupBy("mention").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("entities_domains", rf"""WITH {_TAGGED_SQL}, x AS (SELECT id, unnest(list_distinct(regexp_extract_all(body, 'https?://[^\s<>"'')]+'))) AS url FROM tagged UNION ALL SELECT page_id, url FROM pages) SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS domain, count(*) AS n FROM x GROUP BY 1 HAVING domain <> ''""")
 def entities_domains(spark, sf_dir):
-    x = document_items(spark, sf_dir).select(F.explode(t.urls(F.col("body"))).alias("url"))
+    x = _tagged(spark, sf_dir).select(F.explode(t.urls(F.col("body"))).alias("url")).unionByName(table(spark, sf_dir, "pages").select("url"))
     return x.groupBy(t.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n")).where("domain is not null")
 
 
+@query("entities_proper_nouns", rf"""WITH x AS (SELECT doc_id AS id, list_slice(list_filter(list_reduce(list_prepend([]::VARCHAR[], list_transform(regexp_extract_all(text, '\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,3}})\b', 1), lambda p: [p])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END), lambda p: NOT list_contains({_STOP_SQL}, lower(p))), 1, 12) AS p FROM documents) SELECT id, array_to_string(p, '|') AS nouns FROM x""")
+def entities_proper_nouns(spark, sf_dir):
+    return document_items(spark, sf_dir).select("id", F.array_join(t.proper_nouns(F.col("body")), "|").alias("nouns"))
+
+
 _STRIP = r"regexp_replace(html, '<[^>]*>', ' ', 'gs')"
 for _name, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _STRIP = f"replace({_STRIP}, '{_name}', '{_to}')"
@@ -546,15 +605,15 @@ def html_strip(spark, sf_dir):
 def keywords_top10(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    x = document_items(spark, sf_dir).select("id", F.explode(t.content_tokens(t.ascii_tokens(F.col("body")))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    x = t.content_words(document_items(spark, sf_dir), F.col("body"), "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("id").orderBy(F.desc("n"), "term")
     return x.withColumn("place", F.row_number().over(best).cast("long")).where("place <= 10")
 
 
-_TFIDF_SQL = f"""WITH w AS (SELECT doc_id AS id, {_TOKENS.format(_TITLE)} AS w FROM documents), k AS (SELECT * FROM w WHERE len(w) > 0),
+_TFIDF_SQL = f"""WITH w AS (SELECT doc_id AS id, {_STEMS.format(_TITLE)} AS w FROM documents), k AS (SELECT * FROM w WHERE len(w) > 0),
 u AS (SELECT id, len(w) AS l, unnest(w) AS term, 1.0::DOUBLE AS x FROM k UNION ALL SELECT id, len(w), unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 1.5::DOUBLE FROM k),
 tf AS (SELECT id, term, sum(x) / max(l) AS tf FROM u GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-wt AS (SELECT id, term, df, tf * (ln(((SELECT count(*) FROM k) + 1) / (df + 1)) + 1) AS weight FROM tf JOIN df USING (term)),
+wt AS (SELECT id, term, df, tf * (ln(((SELECT count(*) FROM w) + 1) / (df + 1)) + 1) AS weight FROM tf JOIN df USING (term)),
 top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS rank FROM wt),
 vec AS (SELECT id, term, rank, df, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM top WHERE rank <= 14)"""
 
@@ -565,50 +624,81 @@ def tfidf_top_terms(spark, sf_dir):
     return x.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), r6(F.max("weight")).alias("heaviest"), F.sum("df").alias("df"))
 
 
-@query("jaccard_pairs", f"WITH s AS (SELECT doc_id AS id, list_distinct({_TOKENS.format(_TITLE)}) AS w FROM documents), e AS (SELECT id, unnest(w) AS term FROM s), f AS (SELECT term FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN f USING (term) JOIN e b USING (term) WHERE a.id < b.id), j AS (SELECT p.a, p.b, len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) AS j FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b) SELECT a, b, round(j, 6) AS jaccard FROM j WHERE j >= 0.55")
+_OVERLAP_SQL = f"s AS (SELECT doc_id AS id, list_distinct({_STEMS.format(_TITLE)}) AS s FROM documents), pairs AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) AS sizes FROM s x JOIN s y ON x.id < y.id AND 0.55 * greatest(len(x.s), len(y.s)) <= least(len(x.s), len(y.s)) + 1e-9 WHERE len(x.s) > 0 AND len(y.s) > 0), overlap AS (SELECT a, b, shared / (sizes - shared) AS jaccard FROM pairs WHERE shared / (sizes - shared) >= 0.55)"
+_COSINE_SQL = "cosine AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS similarity FROM vec x JOIN vec y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.34)"
+
+
+@query("jaccard_pairs", f"WITH {_OVERLAP_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM overlap")
 def jaccard_pairs(spark, sf_dir):
-    s = document_items(spark, sf_dir).select("id", F.array_distinct(t.content_tokens(t.ascii_tokens(F.col("title")))).alias("w"))
-    e = s.select("id", F.explode("w").alias("term"))
-    rare = e.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df between 2 and 50").select("term")
-    e = e.join(rare, "term")
-    pairs = e.select(F.col("id").alias("a"), "term").join(e.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    x = pairs.join(s.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
-    return x.select("a", "b", t.jaccard(F.col("x"), F.col("y")).alias("j")).where("j >= 0.55").select("a", "b", r6("j").alias("jaccard"))
+    return clusters.overlapping_pairs(clusters.stemmed(document_items(spark, sf_dir))).withColumn("jaccard", r6("jaccard"))
 
 
-@query("topic_edges", _TFIDF_SQL + ", rare AS (SELECT id, term FROM vec WHERE df > 1 AND df <= 200), p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM rare x JOIN rare y USING (term) WHERE x.id < y.id), s AS (SELECT a, b, sum(x.weight * y.weight) AS similarity FROM p JOIN vec x ON x.id = a JOIN vec y ON y.id = b AND x.term = y.term GROUP BY 1, 2) SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE s.similarity >= 0.34")
+@query("topic_edges", f"{_TFIDF_SQL}, {_COSINE_SQL} SELECT a, b, round(similarity, 6) AS similarity FROM cosine")
 def topic_edges(spark, sf_dir):
     return clusters.similar_pairs(clusters.tfidf(document_items(spark, sf_dir))).select("a", "b", r6("similarity").alias("similarity"))
 
 
-@query("cluster_scalable")
+#: FNV-1a over the code units of a word, in steps modulo 2**64.
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(w) + 1), lambda i: unicode(substr(w, i, 1))::UHUGEINT)), lambda h, u: (xor(h, u) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def _simhash_ctes(text: str) -> str:
+    return f"""raw AS (SELECT doc_id AS id, {_TOKENS.format(text)} AS w FROM documents), uses AS (SELECT id, unnest(w) AS w FROM raw), counts AS (SELECT id, w, count(*) AS n FROM uses GROUP BY 1, 2),
+hashes AS (SELECT w, {_FNV} AS h FROM (SELECT DISTINCT w FROM counts)), powers AS (SELECT i, (1::UHUGEINT << i::UHUGEINT) AS p FROM (SELECT unnest(range(64)) AS i)),
+votes AS (SELECT id, i, sum(CASE WHEN (h // p) % 2::UHUGEINT = 1::UHUGEINT THEN n ELSE -n END) AS v FROM counts JOIN hashes USING (w), powers GROUP BY 1, 2),
+sims AS (SELECT raw.id, coalesce(string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i DESC), repeat('0', 64)) AS bits FROM raw LEFT JOIN votes USING (id) GROUP BY raw.id)"""
+
+
+_SIMHASH_SQL = _simhash_ctes("text")
+
+
+@query("simhash_documents", f"WITH {_SIMHASH_SQL} SELECT id, bits FROM sims")
+def simhash_documents(spark, sf_dir):
+    return clusters.simhashes(document_items(spark, sf_dir), "body").select("id", F.lpad(F.bin("simhash"), 64, "0").alias("bits"))
+
+
+@query("reposts", f"WITH {_SIMHASH_SQL}, d AS (SELECT x.id AS a, y.id AS b, hamming(x.bits, y.bits) AS distance FROM sims x JOIN sims y ON x.id < y.id WHERE contains(x.bits, '1') AND contains(y.bits, '1') AND hamming(x.bits, y.bits) <= 6), c AS (SELECT bits, min(id) AS f FROM sims GROUP BY bits) SELECT a, b, distance FROM d JOIN sims x ON x.id = a JOIN c ON c.bits = x.bits JOIN sims y ON y.id = b JOIN c c2 ON c2.bits = y.bits WHERE c.f = a AND (distance = 0 OR c2.f = b)")
+def reposts(spark, sf_dir):
+    x = clusters.simhashes(document_items(spark, sf_dir), "body")
+    return clusters.reposts(x).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+#: Smallest reachable id over undirected edges, for every item.
+_REACH = "WITH RECURSIVE {0}, both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM reach JOIN both_ways ON a = reach.id WHERE root < b), topics AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"
+_LINKS_SQL = "links AS (SELECT a, b FROM cosine UNION SELECT a, b FROM overlap UNION SELECT x.id, y.id FROM sims x JOIN sims y ON x.id < y.id JOIN s p ON p.id = x.id JOIN s q ON q.id = y.id WHERE contains(x.bits, '1') AND contains(y.bits, '1') AND hamming(x.bits, y.bits) <= 6 AND list_has_any(p.s, q.s))"
+_TOPICS_SQL = _REACH.format(", ".join([_TFIDF_SQL.removeprefix("WITH "), _COSINE_SQL, _OVERLAP_SQL, _simhash_ctes(_TITLE), _LINKS_SQL]))
+
+
+@query("cluster_scalable", _TOPICS_SQL + " SELECT id, component FROM topics")
 def cluster_scalable(spark, sf_dir):
     return clusters.topics(document_items(spark, sf_dir))
 
 
-@query("cluster_summary")
-def cluster_summary(spark, sf_dir):
+def _topic_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_items(spark, sf_dir)
-    rows = docs.select("id", "source", (F.col("id") % 100).cast("double").alias("score"), (NOW - (F.col("id") % 50) * 600).alias("seen_at"))
-    return clusters.topic_summary(clusters.topics(docs).join(rows, "id"), NOW)
+    rows = docs.select("id", "source", "lang", (F.col("id") % 100).cast("double").alias("score"), (NOW - (F.col("id") % 50) * 600).alias("seen_at"))
+    return clusters.topics(docs).join(rows, "id")
 
 
-@query("cluster_exact")
-def cluster_exact(spark, sf_dir):
-    docs = document_items(spark, sf_dir).withColumn("score", (F.col("id") % 100).cast("double"))
-    return clusters.greedy_topics(docs, clusters.tfidf(docs), block="source")
+_MEMBERS_SQL = _TOPICS_SQL + f", members AS (SELECT t.id, component, source, lang, (t.id % 100)::DOUBLE AS score, {NOW} - (t.id % 50) * 600 AS seen_at FROM topics t JOIN documents d ON d.doc_id = t.id)"
 
 
-@query("stem_tokens")
-def stem_tokens(spark, sf_dir):
-    x = document_items(spark, sf_dir).select(F.explode(t.content_tokens(t.ascii_tokens(F.col("title")))).alias("term"))
-    return x.groupBy(t.stem(F.col("term")).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+@query("cluster_summary", _MEMBERS_SQL + f", x AS (SELECT component, count(*) AS items, count(DISTINCT source) AS sources, max(score) AS best, count(*) FILTER ({NOW} - seen_at <= 3600) AS velocity, count(*) FILTER ({NOW} - seen_at > 3600 AND {NOW} - seen_at <= 7200) AS earlier FROM members GROUP BY 1) SELECT component, items, sources, velocity, velocity - earlier AS acceleration, round(least(100.0, 0.62 * best + 100 * (0.24 * least(1.0, (sources - 1) / 3) + 0.14 * least(1.0, ln(1 + items) / ln(13)))), 6) AS score, round(least(1.0, 0.35 + 0.2 * sources + 0.02 * items), 6) AS confidence FROM x")
+def cluster_summary(spark, sf_dir):
+    x = clusters.topic_summary(_topic_members(spark, sf_dir), NOW)
+    return x.select("component", "items", "sources", "velocity", "acceleration", r6("score").alias("score"), r6("confidence").alias("confidence"))
 
 
-@query("simhash_documents")
-def simhash_documents(spark, sf_dir):
-    docs = document_items(spark, sf_dir)
-    return docs.select("id", t.simhash(t.ascii_tokens(t.normalise(F.col("body")))).alias("simhash"))
+@query("cluster_languages", _MEMBERS_SQL + " SELECT component, lang AS code, count(*) AS n, CAST(floor(count(*) / sum(count(*)) OVER (PARTITION BY component) * 100 + 0.5) AS INT) AS pct FROM members WHERE lang IS NOT NULL GROUP BY 1, 2")
+def cluster_languages(spark, sf_dir):
+    x = clusters.distribution(_topic_members(spark, sf_dir), "lang")
+    return x.withColumnRenamed("lang", "code")
+
+
+@query("stem_tokens", f"WITH x AS (SELECT unnest({_STEMS.format('text')}) AS stem FROM documents) SELECT stem, count(*) AS n FROM x GROUP BY 1")
+def stem_tokens(spark, sf_dir):
+    words = t.content_words(document_items(spark, sf_dir), F.col("body")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy(t.stem(F.col("term")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 @query("csv_field_guard", """SELECT doc_id AS id, CASE WHEN regexp_matches(s, '[",\\r\\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS field FROM (SELECT doc_id, CASE WHEN regexp_matches(x, '^[=+@\\t\\r-]') THEN '''' || x ELSE x END AS s FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '=' ELSE '' END || """ + _TITLE + """ AS x FROM documents))""")

@@ -16,11 +16,13 @@ def compact_count(text: Column) -> Column:
 
 
 def headline(title: Column) -> Column:
-    """(headline, publisher) of "Headline - Publisher"; long tails are part of the headline."""
-    tail = F.substring_index(title, " - ", -1)
-    has = title.contains(" - ") & (F.char_length(tail) <= 60)
-    head = F.substr(title, F.lit(1), F.char_length(title) - F.char_length(tail) - 3)
-    return F.struct(F.when(has, head).otherwise(title).alias("headline"), F.when(has, tail).alias("publisher"))
+    """(headline, publisher) of "Headline - Publisher"; with its dash a publisher has 60
+    characters at most, and longer tails are part of the headline."""
+    tail = F.char_length(F.substring_index(title, " - ", -1)) + 3
+    head = F.char_length(title) - tail
+    has = title.contains(" - ") & (head > 0) & (tail <= 60)
+    first, last = F.trim(F.substr(title, F.lit(1), head)), F.trim(F.substr(title, head + 4))
+    return F.struct(F.when(has, first).otherwise(title).alias("headline"), F.when(has, last).alias("publisher"))
 
 
 def rank_score(rank: Column, size: Column) -> Column:
