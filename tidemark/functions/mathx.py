@@ -107,3 +107,15 @@ def views_per_follower(views: Column, followers: Column, least: int = 20) -> Col
 
 def size_band(followers: Column) -> Column:
     return F.when(followers < 100, "<100").when(followers < 1000, "<1k").when(followers < 10000, "<10k").when(followers < 100000, "<100k").when(followers.isNotNull(), "100k+")
+
+
+def normalised(v: Column) -> Column:
+    """``v`` scaled to length 1; a zero vector stays as it is."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+
+def dot_shortest(a: Column, b: Column) -> Column:
+    """Dot product over the shorter length."""
+    n = F.least(F.size(a), F.size(b))
+    return dot(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n))

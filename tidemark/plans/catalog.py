@@ -765,3 +765,6 @@ def stream_dedup(spark, sf_dir):
     twice = _stream(spark, sf_dir)
     both = twice.select("event_id", "ts").union(twice.select("event_id", "ts"))
     return stateful.drained(spark, stateful.deduplicated(both), "append", ["event_id"]).select("event_id")
+
+
+import tidemark.plans.reads  # noqa: E402, F401  registers its queries here
