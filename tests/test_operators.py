@@ -258,6 +258,31 @@ def test_labels(spark):
     assert v(clusters.keyword_key(words("b c", "a", "d", "c", "e"))) == "a|b_c|c|d"
 
 
+def test_quantiles_are_exact_whatever_the_key_sizes(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", rng.choice([rng.uniform(-5, 5), rng.expovariate(1e-4), 0.0])) for _ in range(3000)] + [("two", 1.0), ("two", 4.0), ("one", -3.5), (None, 7.0), (None, 9.0), ("none", None)]
+    got = {r["k"]: r for r in baselines.source_quantiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    assert set(got) == {"hot", "two", "one", None}
+    for k, r in got.items():
+        values = sorted(v for key, v in rows if key == k)
+        for p in (50, 75, 90, 99):
+            at = (len(values) - 1) * p / 100
+            want = values[int(at)] + (values[min(int(at) + 1, len(values) - 1)] - values[int(at)]) * (at - int(at))
+            assert r[f"p{p}"] == pytest.approx(want, rel=1e-9) and r["n"] == len(values)
+
+
+def test_stream_state_spans_micro_batches(spark, tmp_path):
+    from tidemark.streaming import stateful
+
+    for i, rows in enumerate([[(1, 5.0, 10), (2, 1.0, 11)], [(1, 9.0, 20)], [(1, 7.0, 30), (2, None, 31)]]):
+        spark.createDataFrame(rows, "author long, value double, t long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("author long, value double, t long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = {r["author"]: (r["peak"], r["peak_at"], r["observations"]) for r in stateful.drained(spark, stateful.peaks(stream), "update", ["author"], "observations").collect()}
+    assert got == {1: (9.0, 20, 3), 2: (1.0, 11, 1)}
+
+
 def test_plan_prunes_and_pushes_down(spark, small):
     plan = spark.read.parquet(f"{small}/lineitem.parquet").where("l_quantity > 10").select("l_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan

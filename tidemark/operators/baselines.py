@@ -4,29 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def quantiles(v: Column) -> list[Column]:
-    """Exact interpolated quantiles, null-safe; n counts the values that are there."""
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.5, 0.75, 0.9, 0.99)]))
-    return [F.count(v).alias("n"), q.alias("q")]
+PROBABILITIES = (0.5, 0.75, 0.9, 0.99)
+#: Parts of an octave that are told apart before values are sorted.
+OCTAVE_PARTS = 256
 
 
-def named(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != "q"], *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 99))])
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
+    """(keys, n, q): number of values and their exact interpolated quantiles, as an array.
+
+    No key is one task's: values are counted by (key, value), the counts summed by (key, part
+    of an octave), of which a key has a bounded number, and only the parts that hold a wanted
+    rank are sorted, each by itself.  Null values take no part; null keys are a key.
+    """
+    v = F.col("__v")
+    part = F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * OCTAVE_PARTS)
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    by = [f"__k{i}" for i in range(len(keys))]
+    counts = rows.select(*named, F.col(value).cast("double").alias("__v")).where("__v is not null").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("c")).withColumn("__part", part)
+    parts = counts.groupBy(*by, "__part").agg(F.sum("c").alias("c"))
+    whole = Window.partitionBy(*by)
+    parts = parts.withColumn("n", F.sum("c").over(whole)).withColumn("end", F.sum("c").over(whole.orderBy("__part")))
+    ranks = F.array(*[f((F.col("n") - 1) * p) for p in probabilities for f in (F.floor, F.ceil)])
+    parts = parts.withColumn("start", F.col("end") - F.col("c")).withColumn("ranks", ranks)
+    held = parts.where(F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
+    held = held.select(*[F.col(k).alias(f"{k}_") for k in by], F.col("__part").alias("__part_"), "n", "start", "ranks")
+    same = F.col("__part") == F.col("__part_")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    inside = Window.partitionBy(*by, "__part").orderBy("__v")
+    x = counts.join(held, same).withColumn("to", F.col("start") + F.sum("c").over(inside)).withColumn("from", F.col("to") - F.col("c"))
+    at = [F.max(F.when((F.col("ranks")[i] >= F.col("from")) & (F.col("ranks")[i] < F.col("to")), v)).alias(f"r{i}") for i in range(2 * len(probabilities))]
+    x = x.groupBy(*by).agg(F.max("n").alias("n"), *at)
+    q = []
+    for i, p in enumerate(probabilities):
+        lo, hi, weight = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}"), (F.col("n") - 1) * p
+        q.append(lo + (hi - lo) * (weight - F.floor(weight)))
+    return x.select(*[F.col(k).alias(name) for k, name in zip(by, keys)], "n", F.array(*q).alias("q"))
 
 
 def source_quantiles(items: DataFrame, value: str, keys: list[str], least_rows: int = 0) -> DataFrame:
     """n, p50, p75, p90, p99 per key; a key needs ``least_rows`` rows, nulls included."""
-    out = items.groupBy(*keys).agg(*quantiles(F.col(value)), F.count(F.lit(1)).alias("rows"))
-    return named(out.where(F.col("rows") >= least_rows).drop("rows"))
+    out = exact_quantiles(items, keys, value)
+    if least_rows:
+        enough = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least_rows)
+        out = out.join(enough.select(*keys), keys, "left_semi")
+    return out.select(*keys, "n", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 99))])
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return exact_quantiles(rows, keys, value, (0.5,)).select(*keys, F.col("q")[0].alias(name))
 
 
 def source_mad(items: DataFrame, value: str, key: str) -> DataFrame:
     """Median and median absolute deviation: two passes, the second against the first."""
-    middle = items.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    middle = medians(items, [key], value, "median")
     far = items.join(middle, key).withColumn("__d", F.abs(F.col(value) - F.col("median")))
-    return far.groupBy(key).agg(F.first("median").alias("median"), F.percentile("__d", F.lit(0.5)).alias("mad"))
+    return middle.join(medians(far, [key], "__d", "mad"), key)
 
 
 def leave_one_out(items: DataFrame, value: str = "value", author: str = "author", item: str = "id", least: int = 3, newest: int = 200, order: str = "published_at") -> DataFrame:
@@ -35,8 +71,6 @@ def leave_one_out(items: DataFrame, value: str = "value", author: str = "author"
     Each creator's sample is an array of ``newest`` values at most, so its size is bounded;
     one occurrence of the row's own value is taken out.
     """
-    from pyspark.sql.window import Window
-
     recent = Window.partitionBy(author).orderBy(F.col(order).desc(), F.col(item).desc())
     sample = items.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(recent)).where(F.col("__r") <= newest)
     samples = sample.groupBy(author).agg(F.sort_array(F.collect_list(value)).alias("all"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.mathx import rounded, two_sided_p
+from tidemark.operators.baselines import medians
 
 MIN_SAMPLE = 25
 Z = 1.96
@@ -39,8 +42,13 @@ def summarise(rows: DataFrame, keys: list[str], value: str, score: str | None =
     ``least_complement`` rows leaves the bucket out.  Null values take no part.
     """
     rows = rows.where(F.col(value).isNotNull())
-    middle = F.coalesce(F.percentile(score, F.lit(0.5)), F.lit(0.0)) if score else F.lit(0.0)
-    by = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"), middle.alias("mid"))
+    by = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
+    if score:
+        middle = medians(rows, keys, score, "mid").select(*[F.col(k).alias(f"__{k}") for k in keys], "mid")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        by = by.join(middle, same, "left").drop(*[f"__{k}" for k in keys]).withColumn("mid", F.coalesce("mid", F.lit(0.0)))
+    else:
+        by = by.withColumn("mid", F.lit(0.0))
     total = rows if baseline is None else baseline.where(F.col(value).isNotNull())
     whole = F.broadcast(total.agg(F.count(F.lit(1)).alias("all_n"), F.avg(value).alias("all_m"), F.sum(value).alias("all_s"), F.sum(F.col(value) * F.col(value)).alias("all_ss")))
     x = by.crossJoin(whole)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import mathx as m
 from tidemark.model import HALF_LIFE_HOURS, MAX_AGE_HOURS, WEIGHTS
 from tidemark.operators import baselines, series
+from tidemark.sources.tables import written
 
 
 def combine(signals: dict[str, Column]) -> tuple[Column, Column]:
@@ -60,15 +62,13 @@ def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, r
     Acyclic: shapes, then baselines of those shapes, then scores.  ``peaks`` (id, peak)
     carries the high-water mark of earlier passes.  Baselines are one row per source.
     """
-    shapes = series.shape(snapshots, now)
-    shapes = shapes.join(snapshots.select("id", "source", "author").distinct(), "id")
-    shapes = shapes.join(series.engagement_rate(snapshots, ["likes"]), "id", "left")
-    both = shapes.groupBy("source").agg(F.struct(*baselines.quantiles(F.col("value"))).alias("v"), F.struct(*baselines.quantiles(F.col("velocity"))).alias("s"))
-
-    def summary(c: str) -> Column:
-        return F.struct(F.col(c)["n"].alias("n"), *[F.col(c)["q"][i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 99))]).alias(f"{c}q")
-
-    base = both.select("source", summary("v"), summary("s"))
+    shapes = series.shape(snapshots, now, parts=["likes"], keep=["source", "author"])
+    # read by both baselines, by creators' samples and by the score
+    shapes = written(shapes, f"shapes-{uuid.uuid4().hex[:8]}")
+    both = shapes.select("source", F.explode(F.array(F.struct(F.lit("v").alias("of"), F.col("value").cast("double").alias("x")), F.struct(F.lit("s").alias("of"), F.col("velocity").alias("x")))).alias("p")).select("source", "p.of", "p.x")
+    q = baselines.exact_quantiles(both, ["source", "of"], "x")
+    summary = F.struct(F.col("n"), *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 99))])
+    base = q.groupBy("source").agg(F.max(F.when(F.col("of") == "v", summary)).alias("vq"), F.max(F.when(F.col("of") == "s", summary)).alias("sq"))
     loo = baselines.leave_one_out(shapes.select("id", "author", "value", F.col("first_ts").alias("published_at")))
     x = shapes.join(base, "source", "left").join(loo.select("id", F.col("median").alias("creator_median")), "id", "left")
     x = x.join(peaks, "id", "left") if peaks is not None else x.withColumn("peak", F.lit(None).cast("double"))

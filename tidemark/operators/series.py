@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +25,9 @@ def _slope(value: Column, hours: Column, take: Column) -> Column:
     return F.regr_slope(F.when(take, value), F.when(take, hours))
 
 
-def shape(snapshots: DataFrame, now: int, metric: str = "views", key: str = "id", ts: str = "ts") -> DataFrame:
-    """Per item: n, first and last time, latest value, velocity and acceleration.
+def shape(snapshots: DataFrame, now: int, metric: str = "views", key: str = "id", ts: str = "ts", parts: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Per item: n, first and last time, latest value, velocity and acceleration; with ``parts``
+    the engagement of the last point, and the ``keep`` columns of the item.
 
     Velocity is the slope of the last five points.  The halves of the acceleration share
     the midpoint; its ratio needs three points.  One sort per item feeds all of it.
@@ -43,14 +46,21 @@ def shape(snapshots: DataFrame, now: int, metric: str = "views", key: str = "id"
         _slope(y, x, i >= n - 5).alias("velocity"),
         _slope(y, x, i <= mid).alias("v1"),
         _slope(y, x, i >= mid).alias("v2"),
+        *[F.first(c).alias(c) for c in keep],
+        *([F.max_by(F.struct(metric, *parts), ts).alias("__last")] if parts else []),
     )
+    if parts:
+        out = out.withColumn("engagement", _rate(F.col("__last"), metric, parts)).drop("__last")
     ratio = (F.col("v2") + 1) / (F.greatest(F.col("v1"), F.lit(0.0)) + 1)
     enough = (F.col("observations") >= 3) & F.col("v1").isNotNull() & F.col("v2").isNotNull()
     return out.withColumn("acceleration", F.when(enough, ratio)).drop("v1", "v2")
 
 
+def _rate(last: Column, base: str, parts: Sequence[str]) -> Column:
+    return F.when(last[base] > 0, null_aware_sum([last[p] for p in parts]) / last[base])
+
+
 def engagement_rate(snapshots: DataFrame, parts: list[str], base: str = "views", key: str = "id", ts: str = "ts") -> DataFrame:
     """Interactions over the base metric in the last snapshot row; null without either."""
-    last = snapshots.groupBy(key).agg(F.max_by(F.struct(base, *parts), ts).alias("s")).select(key, "s.*")
-    total = null_aware_sum([F.col(p) for p in parts])
-    return last.select(key, F.when(F.col(base) > 0, total / F.col(base)).alias("engagement"))
+    last = snapshots.groupBy(key).agg(F.max_by(F.struct(base, *parts), ts).alias("s"))
+    return last.select(key, _rate(F.col("s"), base, parts).alias("engagement"))

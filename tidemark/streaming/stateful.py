@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.tables import shared_folder
+
 
 def hourly_rollup(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events per hour and type; late events count while the watermark lets them."""
@@ -40,13 +43,23 @@ def peaks(stream: DataFrame) -> DataFrame:
 
 
 def drained(spark: SparkSession, result: DataFrame, mode: str, key: list[str], order: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns its final rows: the newest per key."""
-    import uuid
+    """Runs a stream over what is there and returns its final rows: the newest per key.
+
+    Batches go to Parquet below the shared folder, where a repeated batch replaces itself;
+    nothing passes the driver.
+    """
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={0 if mode == 'complete' else number}")
+        done.append(number)
 
-    name = f"drain_{uuid.uuid4().hex[:12]}"
-    batches = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    batches = result.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(keep).trigger(availableNow=True).start()
     batches.awaitTermination()
-    rows = spark.table(name)
+    if not done:
+        return spark.createDataFrame([], result.schema)
+    rows = spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{root}/rows")
     if mode == "complete" or order is None:
         return rows
     return rows.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in rows.columns if c not in key])
