@@ -11,9 +11,9 @@ under a salt of its own.  Sets of more than ``SMALL_FROM`` have both kinds up to
 so that any two sets of 0.75 similarity meet in one kind, the one of the larger set.
 
 Large groups never become all pairs.  Identical sets collapse to one representative
-first.  Then, per band bucket, members are compared with two centres only, linked ones
-are contracted, and this repeats with other centres; what is still in different
-components of one bucket is compared exhaustively in small register blocks.
+first.  Then, in a part of the band buckets, members are compared with two centres only,
+linked ones are contracted, and this repeats with other buckets and centres; what is still
+in different components of any bucket is compared exhaustively in small register blocks.
 
 What may be missed: two sets at Jaccard 0.75 exactly share no band with probability
 (1 - 0.75**4)**32, about 5e-6, at every set size, less above 0.75.  The estimates are cut six
@@ -55,6 +55,8 @@ BLOCK = 256
 LOW_HASHES = 512
 #: Their estimate has a standard error under 0.02; whole sets need room for chance equalities only.
 LOW_SLACK = 0.13
+#: Each round of centres takes one bucket in so many; the exhaustive comparison takes all.
+STAR_PART = 4
 _BYTES = 2 * REGISTERS
 
 
@@ -382,6 +384,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = placed.groupBy("band").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("members"))
         ends = ends.where("lo.comp < hi.comp")
         if turn < star_rounds:
+            # a quarter of the buckets joins most of a large group at a quarter of the pairs
+            ends = ends.where(F.pmod(F.xxhash64("band", F.lit("turn")), F.lit(STAR_PART)) == turn % STAR_PART)
             near = placed.join(ends.select("band", "lo", "hi"), "band")
             centres = F.filter(F.array("lo", "hi"), lambda c: c["comp"] != F.col("comp"))
             pairs = near.select("node", F.explode(centres).alias("c"))
