@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, mathx, text
+from tidemark.functions import dates, languages, mathx, text
 from tidemark.model import NOW
 from tidemark.operators import baselines, clusters, lift, ranking, scoring, series, tables
 from tidemark.sources import parsing
@@ -160,6 +160,17 @@ def test_text(spark):
     assert v(text.jaccard(F.array(F.lit("a")), F.array().cast("array<string>"))) == 0
 
 
+def test_languages(spark):
+    v = lambda s: tuple(value(spark, languages.detect(F.lit(s))))
+    assert v("The cat is on the table and it was not there")[0] == "en" and v("The cat is on the table and it was not there")[1] > 0.4
+    assert v("Der Hund und die Katze sind nicht im Haus")[0] == "de" and v("Le chat est dans une maison avec des amis")[0] == "fr"
+    assert v("El perro y los gatos están en una casa por la noche")[0] == "es"
+    assert v("Привет мир это текст") == ("ru", 0.85) and v("これはテストです、はい")[0] == "ja" and v("이것은 시험 문장입니다") == ("ko", 0.9)
+    assert v("سلام دنیا چطوری گل")[0] == "fa" and v("مرحبا بالعالم هذا نص")[0] == "ar"
+    assert v("short") == (None, 0.0) and v("12345 6789 !!") == (None, 0.0) and v("oneword12345") == (None, 0.0)
+    assert value(spark, languages.country_of(F.lit("ja"), F.lit(0.9), {"ja": "JP"})) == ("JP", 0.35)
+
+
 def test_simhash_is_near_for_near_texts(spark):
     words = [f"w{i}" for i in range(60)]
     rows = spark.createDataFrame([(words, words[:-1] + ["new"], [f"z{i}" for i in range(60)])], "a array<string>, b array<string>, c array<string>")

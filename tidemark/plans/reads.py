@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import dates as d
+from tidemark.functions import languages
 from tidemark.functions import mathx as m
 from tidemark.functions import text as t
 from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, document_items, events, order_items, source_dimension, table
 from tidemark.operators import clusters, lift, scoring, tables
 from tidemark.operators import topic_reads as reads
-from tidemark.plans.catalog import _FNV, _TITLE, query, r6, scored
+from tidemark.plans.catalog import _FNV, _TITLE, _TOKENS, _WORDS, query, r6, scored
 from tidemark.plans.oracle import SCORED_SQL
 from tidemark.sources import adapters, parsing
 from tidemark.sources.tables import written
@@ -370,3 +371,44 @@ def complete_days(spark, sf_dir):
     """Events of the last whole UTC day."""
     e = events(spark, sf_dir)
     return e.where(d.bucket(F.col("t"), 86400) == NOW - 86400).select("event_id")
+
+
+# ── language and enrichment ──────────────────────────────────────────────────
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _unique_words(code: str) -> list[str]:
+    return [w for w in t.STOPWORDS[code] if sum(w in other for other in t.STOPWORDS.values()) == 1]
+
+
+_LANGUAGE_SQL = (
+    f"WITH x AS (SELECT doc_id AS id, trim(substr(text, 1, 600)) AS s, {_WORDS.format('substr(text, 1, 600)')} AS w FROM documents), "
+    + "h AS (SELECT id, unnest(["
+    + ", ".join(
+        f"{{'code': '{code}', 'rank': {rank}, 'u': len(list_intersect(list_distinct(w), {_listed(_unique_words(code))})), 'sh': len(list_intersect(list_distinct(w), {_listed([x for x in words if x not in _unique_words(code)])}))}}"
+        for rank, (code, words) in enumerate(t.STOPWORDS.items())
+    )
+    + "], recursive := true), length(s) AS chars, len(w) AS n FROM x), sc AS (SELECT *, u + 0.2 * sh AS score, row_number() OVER (PARTITION BY id ORDER BY u + 0.2 * sh DESC, rank) AS place FROM h), "
+    + "b AS (SELECT a.id, a.code, a.u, a.score, b.score AS second, a.chars, a.n FROM sc a JOIN sc b ON a.id = b.id AND a.place = 1 AND b.place = 2) "
+    + "SELECT id, CASE WHEN chars < 8 OR n < 3 THEN NULL WHEN u = 0 THEN 'en' ELSE code END AS code, round(CASE WHEN chars < 8 OR n < 3 THEN 0.0 WHEN u = 0 THEN 0.3 "
+    + "ELSE greatest(0.3, least(0.95, 0.4 + 0.5 * CASE WHEN score = 0 THEN 1 ELSE (score - second) / score END)) * greatest(0.3, least(1.0, u / 3)) END, 6) AS confidence FROM b"
+)
+
+
+@query("detected_language", _LANGUAGE_SQL)
+def detected_language(spark, sf_dir):
+    x = document_items(spark, sf_dir).select("id", languages.detect(F.col("body")).alias("g"))
+    return x.select("id", "g.code", r6("g.confidence").alias("confidence"))
+
+
+@query("enriched_items", f"WITH k AS (SELECT id, list(term ORDER BY place) AS keywords FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS place FROM (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY 1, 2)) WHERE place <= 10 GROUP BY id) SELECT doc_id AS id, substr({_TITLE}, 1, 500) AS title, coalesce(array_to_string(keywords, '|'), '') AS keywords FROM documents LEFT JOIN k ON k.id = doc_id")
+def enriched_items(spark, sf_dir):
+    """What one new item gets before it is stored: cut title, keywords by use."""
+    docs = document_items(spark, sf_dir)
+    counts = t.content_words(docs, F.col("body"), "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("id").orderBy(F.desc("n"), "term")
+    top = counts.withColumn("place", F.row_number().over(best)).where("place <= 10").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), "|").alias("keywords"))
+    return docs.join(top, "id", "left").select("id", F.substring("title", 1, 500).alias("title"), F.coalesce("keywords", F.lit("")).alias("keywords"))
