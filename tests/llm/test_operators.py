@@ -459,6 +459,44 @@ def test_language_evidence_is_fused(spark, small):
     assert got[102]["language"] == "und" and got[101]["host"] is None
 
 
+def test_language_fusion_is_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.learn(docs)
+    rng = random.Random(11)
+    texts = [r["text"][:120] for r in docs.orderBy("doc_id").limit(30).collect()] + [None, "", "123", "Привет мир"]
+    rows = [(i, rng.choice(texts), rng.choice(["fr", "en", "xx", None]), rng.choice(["a.de", "b.de", "c.com", None]), rng.choice(["de", "com", None])) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    got = {r["id"]: r for r in language.identify(frame, model, "doc_id", F.col("text"), F.col("declared"), F.col("host"), F.col("suffix")).collect()}
+    logs, classes = model.ref.value.astype(float), [*model.languages, "und"]
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def text_log(text):
+        _, cell = language._cells([text])
+        return logs[cell].mean(axis=0) * min(len(cell), 40) if len(cell) else np.r_[np.full(len(classes) - 1, -3.0), 0.0]
+
+    of_text = [text_log(r[1]) for r in rows]
+    p = [softmax(x) for x in of_text]
+    root = sum(p) + 1
+    root /= root.sum()
+    sums = [{}, {}, {}, {}, {}]
+    for r, x in zip(rows, p):
+        for k in (2, 3, 4):
+            if r[k] is not None:
+                sums[k][r[k]] = sums[k].get(r[k], 0) + x
+    for r, x, logs_of in zip(rows, p, of_text):
+        parent = root if r[4] is None else (sums[4][r[4]] + 50 * root) / (sums[4][r[4]].sum() + 50)
+        others = None if r[3] is None else np.maximum(sums[3][r[3]] - x, 0)
+        prior = parent if others is None else (others + 20 * parent) / (others.sum() + 20)
+        said = 0 if r[2] is None else np.log((np.maximum(sums[2][r[2]] - x, 0) + 20 * root) / (root + 1e-9))
+        posterior = softmax(logs_of + np.log(np.maximum(prior, 1e-3)) + said)
+        assert got[r[0]]["confidence"] == pytest.approx(posterior.max(), abs=1e-5)
+        if np.sort(posterior)[-2] < posterior.max() - 1e-5:
+            assert got[r[0]]["language"] == classes[posterior.argmax()]
+
+
 def test_language_of_odd_rows(spark, odd, none):
     model = language.learn(odd)
     got = language.identify(odd, model, "doc_id", F.col("text"), declared=F.col("lang"), host=F.col("source"))
@@ -485,6 +523,28 @@ def test_shards_are_even_and_keep_groups(spark, monkeypatch):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_shards_are_brute_force(spark):
+    rng = random.Random(21)
+    texts = [None, "", "hot" * 300] + ["z" * rng.randrange(1, 300) + str(i) for i in range(250)]
+    rows = [(i, texts[2] if i % 3 == 0 else rng.choice(texts)) for i in range(700)]
+    got = {r["id"]: r["shard"] for r in sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect()}
+    group = {t: "null" if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts}
+    sizes = Counter()
+    for _, t in rows:
+        sizes[group[t]] += len((t or "").encode()) + 1
+    names = spark.createDataFrame([(g,) for g in sizes], "grp string").select("grp", F.pmod(F.xxhash64("grp"), F.lit(sharding.BUNDLES)).cast("string").alias("b"))
+    bundle = {r["grp"]: r["b"] for r in names.collect()}
+    item = {g: g if n * 5 * sharding.LARGE_PARTS >= sum(sizes.values()) else bundle[g] for g, n in sizes.items()}
+    items = Counter()
+    for g, n in sizes.items():
+        items[item[g]] += n
+    loads, at = [0] * 5, {}
+    for name, n in sorted(items.items(), key=lambda x: (-x[1], x[0])):
+        at[name] = loads.index(min(loads))
+        loads[at[name]] += n
+    assert got == {i: at[item[group[t]]] for i, t in rows}
+
+
 def test_longest_first_is_lpt():
     assert sharding.longest_first([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
 
@@ -582,6 +642,47 @@ def test_nearest_e8_point():
         assert (((y - p - v) ** 2).sum(axis=1) >= gap - 1e-9).all()
 
 
+def brute_links(every):
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    return unit @ unit.T >= 0.95
+
+
+@pytest.mark.parametrize("dim", [2, 3, 8, 16])
+def test_vectors_of_every_length_are_searched(spark, dim):
+    rng = np.random.default_rng(dim)
+    groups = [rng.normal(size=(40, dim)), rng.normal(size=(60, 24))]
+    groups = [np.vstack([x, x + rng.normal(size=x.shape) * 0.05, x[:4]]) for x in groups]
+    rows, want, first = [], {}, 0
+    for x in groups:
+        linked = brute_links(x)
+        rows += [(first + i, v.tolist()) for i, v in enumerate(x)]
+        want |= {first + i: int(linked[i].sum()) - 1 for i in range(len(x))}
+        first += len(x)
+    got = {r["id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
+def test_ids_with_several_vectors(spark):
+    x = np.eye(16)
+    rows = [(3, x[0]), (5, x[0]), (5, x[1]), (7, x[1] * 2), (9, x[2]), (9, x[3]), (None, x[0]), (11, None), (9, None)]
+    rows = [(i, None if v is None else v.tolist()) for i, v in rows]
+    got = sorted((str(r["id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([("3", 1, "3", True), ("5", 1, "3", False), ("5", 1, "3", False), ("7", 1, "3", False), ("9", 0, "9", True), ("9", 0, "9", True), ("None", 0, "None", True), ("11", 0, "11", True), ("9", 0, "9", True)])
+
+
+@pytest.mark.parametrize("blocks", [2, 3, 4])
+def test_pairs_at_the_threshold_meet(blocks):
+    rng = np.random.default_rng(blocks)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.normal(size=x.shape)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    a, b = (embeddings.Lattice(64, blocks).cells(v) for v in (x, y))
+    meets = (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
+    assert (1 - meets.mean()) ** len(a) < 5e-6 and meets.any(axis=0).all()
+
+
 def test_near_vectors_are_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(150, 64))
