@@ -74,13 +74,17 @@ def summarise(rows: DataFrame, keys: list[str], value: str, score: str | None =
 def control_discoveries(buckets: DataFrame, keys: list[str], q: float = FALSE_DISCOVERY) -> DataFrame:
     """Benjamini-Hochberg over the buckets that are not thin: it only withdraws findings.
 
-    Buckets are summaries, a bounded table, so one window over them is meant.
+    Ranks come in two steps, so tags without number are not one task's: p values are counted
+    by part of an octave, of which there is a bounded number, and ranked inside their part.
     """
-    tested = buckets.where(~F.col("thin"))
-    order = Window.orderBy("p", *keys)
-    ranked = tested.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
-    cut = F.max(F.when(F.col("p") <= F.col("rank") / F.col("m") * q, F.col("p"))).over(Window.partitionBy())
-    kept = ranked.withColumn("cut", cut).select(*keys, (F.col("p") <= F.col("cut")).alias("kept"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = buckets.alias("a").join(kept.alias("b"), same, "left").select("a.*", "b.kept")
-    return joined.withColumn("significant", F.col("significant") & F.coalesce("kept", F.lit(False))).drop("kept")
+    octave = F.when(F.col("p") > 0, F.floor(-F.log2("p") * 64)).otherwise(F.lit(1 << 20))
+    tested = buckets.where(~F.col("thin")).withColumn("__part", octave)
+    parts = tested.groupBy("__part").agg(F.count(F.lit(1)).alias("c"))
+    falling = Window.orderBy(F.desc("__part"))  # one row per part
+    starts = parts.select(F.col("__part").alias("__at"), (F.sum("c").over(falling) - F.col("c")).alias("__before"), F.sum("c").over(Window.partitionBy()).alias("m"))
+    inside = Window.partitionBy("__part").orderBy("p", *keys)
+    ranked = tested.withColumn("__inside", F.row_number().over(inside)).join(starts, F.col("__part") == F.col("__at"))
+    fits = F.col("p") <= (F.col("__before") + F.col("__inside")) / F.col("m") * q
+    cut = F.broadcast(ranked.agg(F.max(F.when(fits, F.col("p"))).alias("__cut")))  # one row
+    kept = ~F.col("thin") & (F.col("p") <= F.col("__cut"))
+    return buckets.crossJoin(cut).withColumn("significant", F.col("significant") & F.coalesce(kept, F.lit(False))).drop("__cut")

@@ -311,10 +311,10 @@ def refresh_tiers(spark, sf_dir):
     return tables.refresh_tiers(_refresh_items(spark, sf_dir), 100, quotas)
 
 
-@query("refresh_coverage", f"WITH i AS ({_NEWEST}) SELECT count(*) AS items, count(*) FILTER (n < 2) AS once, count(*) FILTER (n >= 3) AS three, count(*) FILTER (n >= 7) AS seven FROM i")
+@query("refresh_coverage", f"WITH i AS ({_NEWEST}) SELECT count(*) AS items, count(*) FILTER (n < 2) AS once, count(*) FILTER (n >= 3) AS three, count(*) FILTER (n >= 10) AS ten FROM i")
 def refresh_coverage(spark, sf_dir):
     n = F.col("n")
-    return _refresh_items(spark, sf_dir).agg(F.count(F.lit(1)).alias("items"), F.count_if(n < 2).alias("once"), F.count_if(n >= 3).alias("three"), F.count_if(n >= 7).alias("seven"))
+    return _refresh_items(spark, sf_dir).agg(F.count(F.lit(1)).alias("items"), F.count_if(n < 2).alias("once"), F.count_if(n >= 3).alias("three"), F.count_if(n >= 10).alias("ten"))
 
 
 # ── keywords ─────────────────────────────────────────────────────────────────
