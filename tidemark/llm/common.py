@@ -17,7 +17,7 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 #: Bytes of rows handed to Python at once; a batch of long texts is held several times over.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -252,7 +252,7 @@ def _low_jaccard(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[floa
     return common / max(len(a) + len(b) - common, 1), whole
 
 
-def _cell_pairs(cell: np.ndarray, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cell_pairs(cell: np.ndarray, at_once: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (x, y), x < y, of rows that share a cell; ``cell`` is sorted."""
     end = np.searchsorted(cell, cell, side="right")
     after = end - np.arange(len(cell)) - 1
