@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, languages, mathx, text
+from tidemark.functions import dates, images, languages, mathx, text
 from tidemark.model import NOW
 from tidemark.operators import baselines, clusters, lift, ranking, scoring, series, tables
 from tidemark.sources import parsing
@@ -160,6 +160,15 @@ def test_text(spark):
     assert v(text.jaccard(F.array(F.lit("a")), F.array().cast("array<string>"))) == 0
 
 
+def test_images():
+    flat = images.features_of(bytes([200, 100, 50] * 4))
+    assert flat == pytest.approx(((0.299 * 200 + 0.587 * 100 + 0.114 * 50) / 255, 0.0, 0.75, 0.8, 1.0), abs=1e-9)
+    assert images.features_of(b"ab") is None and images.features_of(None) is None and images.features_of(bytes(6)) == (0.0, 0.0, 0.0, 0.5, 0.0)
+    head = bytes.fromhex("FFD8FFE000040000FFC0000B080010002003")
+    assert images.jpeg_size(head) == (32, 16) and images.jpeg_size(head[:15]) is None and images.jpeg_size(b"<html>") is None
+    assert images.jpeg_size(head[:2] + b"\xff\xff\xd0" + head[2:]) == (32, 16)
+
+
 def test_languages(spark):
     v = lambda s: tuple(value(spark, languages.detect(F.lit(s))))
     assert v("The cat is on the table and it was not there")[0] == "en" and v("The cat is on the table and it was not there")[1] > 0.4

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import dates as d
-from tidemark.functions import languages
+from tidemark.functions import images, languages
 from tidemark.functions import mathx as m
 from tidemark.functions import text as t
 from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, document_items, events, order_items, source_dimension, table
@@ -412,3 +412,28 @@ def enriched_items(spark, sf_dir):
     best = Window.partitionBy("id").orderBy(F.desc("n"), "term")
     top = counts.withColumn("place", F.row_number().over(best)).where("place <= 10").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), "|").alias("keywords"))
     return docs.join(top, "id", "left").select("id", F.substring("title", 1, 500).alias("title"), F.coalesce("keywords", F.lit("")).alias("keywords"))
+
+
+# ── images ───────────────────────────────────────────────────────────────────
+
+_PIXELS = "list_transform(range(0, 5), lambda i: [('0x' || substr(h, 6 * i + 1, 2))::INT::DOUBLE, ('0x' || substr(h, 6 * i + 3, 2))::INT::DOUBLE, ('0x' || substr(h, 6 * i + 5, 2))::INT::DOUBLE])"
+
+
+@query("image_features", f"WITH x AS (SELECT p_partkey AS id, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part), p AS (SELECT id, unnest({_PIXELS}) AS c FROM x), l AS (SELECT id, c[1] AS r, c[2] AS g, c[3] AS b, 0.299 * c[1] + 0.587 * c[2] + 0.114 * c[3] AS l, greatest(c[1], c[2], c[3]) AS top, least(c[1], c[2], c[3]) AS low FROM p) SELECT id, round(avg(l) / 255, 6) AS brightness, round(least(1.0, stddev_pop(l) / 128), 6) AS contrast, round(avg(CASE WHEN top > 0 THEN (top - low) / top ELSE 0 END), 6) AS saturation, round(CASE WHEN avg(r) + avg(b) = 0 THEN 0.5 ELSE avg(r) / (avg(r) + avg(b)) END, 6) AS warmth, round(avg(CASE WHEN r > 95 AND g > 40 AND b > 20 AND top - low > 15 AND abs(r - g) > 15 AND r > g AND r > b THEN 1 ELSE 0 END), 6) AS skin FROM l GROUP BY id")
+def image_features(spark, sf_dir):
+    """Features of five-pixel images (and a byte too many) made from ids."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.unhex(F.md5(F.col("p_partkey").cast("string"))).alias("rgb"))
+    x = p.select("id", images.image_features("rgb").alias("f"))
+    return x.select("id", *[r6(F.col("f")[name]).alias(name) for name in images.FEATURES])
+
+
+@query("jpeg_sizes", "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 > 0 AND p_size > 0 THEN CAST(p_partkey % 4000 + 1 AS INT) END AS width, CASE WHEN p_partkey % 7 > 0 AND p_size > 0 THEN CAST(p_size AS INT) END AS height, CASE WHEN p_partkey % 7 > 0 AND p_size > 0 THEN round(23 / ((p_partkey % 4000 + 1) * p_size), 8) END AS density FROM part")
+def jpeg_sizes(spark, sf_dir):
+    """Frame headers behind an application segment; every seventh image is an error page."""
+    def two(c: Column) -> Column:
+        return F.lpad(F.hex(c.cast("long")), 4, "0")
+
+    head = F.concat(F.lit("FFD8FFE000040000FFC0000B08"), two(F.col("p_size")), two(F.col("p_partkey") % 4000 + 1), F.lit("030122003311"))
+    data = F.when(F.col("p_partkey") % 7 == 0, F.encode(F.lit("<html>no image"), "utf-8")).otherwise(F.unhex(head))
+    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), data.alias("data")).select("id", images.jpeg_info("data").alias("j"))
+    return x.select("id", "j.width", "j.height", F.round("j.density", 8).alias("density"))
