@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application; only a local session without the setting gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder of this application, removed at its end; only a local session without the
+    setting gets one of its own."""
     app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{base.rstrip('/')}/tidemark/{app}"
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        _folders[app] = f"{base.rstrip('/')}/tidemark-trends/{app}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Best effort at exit: by then the session may be gone, and leftovers are harmless."""
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
