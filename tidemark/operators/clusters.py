@@ -21,8 +21,8 @@ SEMANTIC = 0.86
 
 
 def stemmed(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
-    """(item, w): stems of the content tokens, in order."""
-    return items.select(item, t.stems(t.content_tokens(t.words_of(F.col(text)))).alias("w"))
+    """(item, w), written: stems of the content tokens, in order; later steps read it many times."""
+    return written(items.select(item, t.stems(t.content_tokens(t.words_of(F.col(text)))).alias("w")), f"stems-{uuid.uuid4().hex[:8]}")
 
 
 def content(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
