@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, embeddings, fingerprints, language, mixing, near_dedup, packing, sharding, toxicity
+from tidemark.llm import bpe, chat, embeddings, fingerprints, infill, language, line_dedup, mixing, near_dedup, packing, sharding, toxicity, variants
 from tidemark.llm.common import read_table, scratch_root
 
 
@@ -101,6 +101,86 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, mixing.tempered_weights(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every=97)
+
+
+#: CRC-32 by its table, a byte at a time; edits by the shortened strings themselves.
+OP11_SQL = r"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), each AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM each, crc
+), cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM hashed
+), words AS (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+shorter AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, w.word, w.n FROM shorter a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM shorter a JOIN words w ON a.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), walk(word, here) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.here AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.here AND e.form IS NULL
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infilled(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+         ('0x' || h[17:24])::BIGINT % 100 AS c3, ('0x' || h[25:32])::BIGINT % 100 AS c4 FROM cut
+), parts AS (
+  SELECT doc_id, t, n::BIGINT AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c3 >= 100 THEN 'plain' WHEN c4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1 : least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1 :], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM docs),
+keyed AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+held AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN keeper <> doc_id THEN 1 ELSE 0 END)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN keeper IS NULL OR keeper = doc_id THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM keyed LEFT JOIN held ON keyed.key = held.key GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -112,6 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_source_mix": op9_source_mix,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_line_dedup": OP13_SQL}
