@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.mathx import rounded
 from tidemark.functions.text import csv_field
+from tidemark.operators.search import GRAM, TrigramIndex, folded
 
 ORDERS = ("score", "velocity", "acceleration", "value", "confidence", "newest")
 
@@ -75,9 +76,12 @@ def contains_text(needle: str, columns: Sequence[str]) -> Column:
     return out
 
 
-def filtered(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None) -> DataFrame:
+def filtered(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None, index: TrigramIndex | None = None) -> DataFrame:
+    """The rows that the query lets pass; with an index, it answers texts long enough for it."""
     q = q.clamped()
     out = items
+    if index is not None and q.text and len(folded(q.text)) >= GRAM:
+        out, q = out.join(index.matches(q.text), "id", "left_semi"), replace(q, text=None)
     for p in predicates(q, items.columns):
         out = out.where(p)
     if archive is not None and q.archived != "include":
@@ -85,17 +89,17 @@ def filtered(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None)
     return out
 
 
-def page(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None) -> DataFrame:
+def page(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None, index: TrigramIndex | None = None) -> DataFrame:
     """The asked-for page; ties are broken by score and then id, so pages never overlap."""
     q = q.clamped()
     by = {"newest": "first_ts"}.get(q.sort, q.sort)
     order = [F.col(by).desc_nulls_last(), F.col("score").desc_nulls_last(), F.col("id")]
-    out = filtered(items, q, archive).orderBy(*order)
+    out = filtered(items, q, archive, index).orderBy(*order)
     return (out.offset(q.offset) if q.offset else out).limit(q.limit)
 
 
-def count(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None) -> DataFrame:
-    return filtered(items, q, archive).agg(F.count(F.lit(1)).alias("total"))
+def count(items: DataFrame, q: RankedQuery, archive: DataFrame | None = None, index: TrigramIndex | None = None) -> DataFrame:
+    return filtered(items, q, archive, index).agg(F.count(F.lit(1)).alias("total"))
 
 
 def facets(items: DataFrame, dimensions: Sequence[str]) -> DataFrame:

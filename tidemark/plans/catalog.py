@@ -646,7 +646,7 @@ def _simhash_ctes(text: str) -> str:
     return f"""raw AS (SELECT doc_id AS id, {_TOKENS.format(text)} AS w FROM documents), uses AS (SELECT id, unnest(w) AS w FROM raw), counts AS (SELECT id, w, count(*) AS n FROM uses GROUP BY 1, 2),
 hashes AS (SELECT w, {_FNV} AS h FROM (SELECT DISTINCT w FROM counts)), powers AS (SELECT i, (1::UHUGEINT << i::UHUGEINT) AS p FROM (SELECT unnest(range(64)) AS i)),
 votes AS (SELECT id, i, sum(CASE WHEN (h // p) % 2::UHUGEINT = 1::UHUGEINT THEN n ELSE -n END) AS v FROM counts JOIN hashes USING (w), powers GROUP BY 1, 2),
-sims AS (SELECT raw.id, coalesce(string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i DESC), repeat('0', 64)) AS bits FROM raw LEFT JOIN votes USING (id) GROUP BY raw.id)"""
+sims AS (SELECT raw.id, CASE WHEN count(v) = 0 THEN repeat('0', 64) ELSE string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i DESC) END AS bits FROM raw LEFT JOIN votes USING (id) GROUP BY raw.id)"""
 
 
 _SIMHASH_SQL = _simhash_ctes("text")
@@ -768,3 +768,4 @@ def stream_dedup(spark, sf_dir):
 
 
 import tidemark.plans.reads  # noqa: E402, F401  registers its queries here
+import tidemark.plans.search_queries  # noqa: E402, F401
