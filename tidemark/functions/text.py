@@ -70,7 +70,9 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def normalise(text: Column) -> Column:
-    return normalise_composed(nfkc(text))
+    """ASCII is composed already, so only other texts go through Python."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return normalise_composed(F.coalesce(nfkc(other), text))
 
 
 def tokens(normalised: Column) -> Column:

@@ -30,6 +30,23 @@ def content(items: DataFrame, text: str = "title", item: str = "id") -> DataFram
     return written(items.select(item, t.content_tokens(t.words_of(F.col(text))).alias("raw")), f"words-{uuid.uuid4().hex[:8]}")
 
 
+def text_classes(items: DataFrame, text: str = "title", item: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Items whose content tokens are the same, in the same order, as one text; both written.
+
+    members (item, first): the smallest item with the same tokens.  texts (item, raw, w,
+    simhash, copies): tokens, stems and SimHash of each first item.  Items without a token are
+    one text without words.  Classes are told apart by 128 bits of the tokens.
+    """
+    run = uuid.uuid4().hex[:8]
+    raw = t.content_tokens(t.words_of(F.col(text)))
+    words = written(items.select(item, raw.alias("raw")).withColumn("h1", F.xxhash64("raw")).withColumn("h2", F.xxhash64(F.lit("text"), "raw")), f"words-{run}")
+    classes = words.groupBy("h1", "h2").agg(F.min(item).alias("first"), F.count(F.lit(1)).alias("copies"))
+    members = written(words.select(item, "h1", "h2").join(classes.drop("copies"), ["h1", "h2"]).select(item, "first"), f"members-{run}")
+    firsts = words.join(classes.select(F.col("first").alias(item), "copies"), item).drop("h1", "h2")
+    texts = written(firsts.withColumn("w", t.stems(F.col("raw"))).withColumn("simhash", t.simhash("raw")), f"texts-{run}")
+    return members, texts
+
+
 def simhashes(items: DataFrame, text: str = "title", item: str = "id") -> DataFrame:
     """(item, simhash) of the content tokens; 0 for a text without any."""
     return content(items, text, item).select(item, t.simhash("raw").alias("simhash"))
@@ -41,13 +58,17 @@ def tfidf(items: DataFrame, text: str = "title", item: str = "id", top: int = TO
     idf is ln((N + 1) / (df + 1)) + 1 over all items; bigrams count 1.5 times; tf divides by
     unigrams.
     """
-    words = stemmed(items, text, item)
-    n = words.agg(F.count(F.lit(1)).alias("N"))
+    return weighted(stemmed(items, text, item).withColumn("copies", F.lit(1)), item, top)
+
+
+def weighted(words: DataFrame, item: str = "id", top: int = TOP_TERMS) -> DataFrame:
+    """``tfidf`` over (item, w, copies): a row stands for so many items with the same stems."""
+    n = words.agg(F.sum("copies").alias("N"))
     words = words.where(F.size("w") > 0)
     terms = F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("x"))), F.transform(t.ngrams(F.col("w"), 2), lambda x: F.struct(x.alias("term"), F.lit(1.5).alias("x"))))
-    used = words.select(item, F.size("w").alias("len"), F.explode(terms).alias("p")).select(item, "len", "p.term", "p.x")
-    tf = used.groupBy(item, "len", "term").agg((F.sum("x") / F.col("len")).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    used = words.select(item, "copies", F.size("w").alias("len"), F.explode(terms).alias("p")).select(item, "copies", "len", "p.term", "p.x")
+    tf = used.groupBy(item, "copies", "len", "term").agg((F.sum("x") / F.col("len")).alias("tf"))
+    df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
     w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", F.col("tf") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1))  # one row
     heavy = Window.partitionBy(item).orderBy(F.col("weight").desc(), "term")
     kept = w.withColumn("rank", F.row_number().over(heavy)).where(F.col("rank") <= top)
@@ -89,18 +110,24 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, item: str =
 
 
 def overlapping_pairs(items: DataFrame, words: str = "w", threshold: float = OVERLAP, item: str = "id") -> DataFrame:
-    """(a, b, jaccard): all pairs of word sets whose Jaccard index is ``threshold`` or more.
+    """(a, b, jaccard): pairs of word sets whose Jaccard index is ``threshold`` or more.
 
-    Exact: two such sets of n words share one of the n - ceil(threshold * n) + 1 rarest.
+    Exact: two such sets of n words share one of the n - ceil(threshold * n) + 1 rarest.  Equal
+    sets collapse first: each links to the smallest item of its set, and pairs are made between
+    different sets.
     """
-    each = items.select(item, F.explode(F.array_distinct(words)).alias("term"))
+    sets = items.select(item, F.sort_array(F.array_distinct(words)).alias("s")).where(F.size("s") > 0)
+    firsts = sets.groupBy("s").agg(F.min(item).alias("first"))
+    copies = sets.join(firsts, "s").where(F.col(item) != F.col("first")).select(F.col("first").alias("a"), F.col(item).alias("b"), F.lit(1.0).alias("jaccard"))
+    each = firsts.select(F.col("first").alias(item), F.explode("s").alias("term"))
     df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = each.join(df, "term").groupBy(item).agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("v"))
     rows = rows.select(item, F.transform("v", lambda x: x["term"]).alias("w"))
     keep = F.size("w") - F.ceil(threshold * F.size("w") - 1e-9) + 1
     rows = rows.withColumn("keys", F.slice("w", F.lit(1), keep.cast("int")))
     pairs = _meet(rows, "keys", ["w"], item)
-    return pairs.select(F.col(f"{item}_a").alias("a"), F.col(f"{item}_b").alias("b"), t.jaccard(F.col("w_a"), F.col("w_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    found = pairs.select(F.col(f"{item}_a").alias("a"), F.col(f"{item}_b").alias("b"), t.jaccard(F.col("w_a"), F.col("w_b")).alias("jaccard"))
+    return found.where(F.col("jaccard") >= threshold).unionByName(copies)
 
 
 #: Parts of a SimHash: two that differ in at most DUPLICATE_BITS bits agree in one of one more.
@@ -153,16 +180,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels.select("id", F.col("to").alias("component"))
 
 
+def sharing(pairs: DataFrame, texts: DataFrame, item: str = "id") -> DataFrame:
+    """The pairs of texts that have a stem in common."""
+    w = lambda side: texts.select(F.col(item).alias(side), F.col("w").alias(f"w_{side}"))
+    return pairs.join(w("a"), "a").join(w("b"), "b").where(F.arrays_overlap("w_a", "w_b")).drop("w_a", "w_b")
+
+
 def topic_links(items: DataFrame, text: str = "title", item: str = "id", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) of items of one topic, by any of the three rules: cosine of tf-idf vectors, word
-    overlap, and SimHashes a few bits apart of items that share a word."""
-    words = content(items, text, item)
-    cosine = similar_pairs(tfidf(items, text, item), threshold, item)
-    overlap = overlapping_pairs(words.select(item, t.stems(F.col("raw")).alias("w")), item=item)
-    near = reposts(words.select(item, t.simhash("raw").alias("simhash")), item=item)
-    w = words.select(item, t.stems(F.col("raw")).alias("w"))
-    near = near.join(w.select(F.col(item).alias("a"), F.col("w").alias("w_a")), "a").join(w.select(F.col(item).alias("b"), F.col("w").alias("w_b")), "b").where(F.arrays_overlap("w_a", "w_b"))
-    return cosine.select("a", "b").unionByName(overlap.select("a", "b")).unionByName(near.select("a", "b")).distinct()
+    overlap, and SimHashes a few bits apart of items that share a word.
+
+    The rules link different texts; copies of a text link to its smallest item.
+    """
+    members, texts = text_classes(items, text, item)
+    copies = members.join(texts.where(F.size("w") > 0).select(F.col(item).alias("first")), "first", "left_semi").where(F.col(item) != F.col("first"))
+    cosine = similar_pairs(weighted(texts, item), threshold, item)
+    overlap = overlapping_pairs(texts, item=item)
+    near = sharing(reposts(texts, item=item), texts, item)
+    out = copies.select(F.col("first").alias("a"), F.col(item).alias("b"))
+    for pairs in (cosine, overlap, near):
+        out = out.unionByName(pairs.select("a", "b"))
+    return out.distinct()
 
 
 def topics(items: DataFrame, text: str = "title", item: str = "id", threshold: float = THRESHOLD) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import clusters, vectors
+
 #: Orders of topics, each falling.
 ORDERS = {"score": ("score",), "recent": ("last_seen_at",), "platforms": ("sources", "score"), "velocity": ("velocity", "score")}
 
@@ -40,19 +42,21 @@ def cross_source(items: DataFrame, memberships: DataFrame, topics: DataFrame, to
     return items.select(item).join(most, item, "left").select(item, F.greatest(F.coalesce("sources", F.lit(1)), F.lit(1)).cast("long").alias("cross_source"))
 
 
-def merged_topics(centres: DataFrame, threshold: float, dot, topic: str = "component", vector: str = "c", blocks: int = 16) -> DataFrame:
-    """(a, b) of topics whose centroids' cosine is ``threshold`` or more, to be joined by
-    components.  Topics meet in blocks: every pair of blocks is one cell, every pair of topics is
-    compared in the cell of its two blocks, and only pairs that reach the threshold leave it.
+def merged_topics(centres: DataFrame, strengths: DataFrame, threshold: float = clusters.SEMANTIC, topic: str = "component", vector: str = "c", score: str = "score") -> DataFrame:
+    """(topic, merged): topics whose centroids' cosine reaches the threshold become one, and
+    those that such pairs connect with them; it is called after its strongest topic (the
+    smallest name among equals), which also keeps its keywords.  Topics without a centroid stay.
     """
-    block = F.pmod(F.xxhash64(topic), F.lit(blocks))
-    rows = centres.select(topic, vector, block.alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    rows = rows.withColumn("cell", F.least("own", "other") * blocks + F.greatest("own", "other"))
-    a = rows.select("cell", F.col(topic).alias("a"), F.col(vector).alias("x"), F.col("own").alias("p"), F.col("other").alias("q"))
-    b = rows.select("cell", F.col(topic).alias("b"), F.col(vector).alias("y"), F.col("own").alias("r"), F.col("other").alias("s"))
-    pairs = a.join(b, "cell").where((F.col("a") < F.col("b")) & (F.col("p") == F.col("s")) & (F.col("q") == F.col("r")))
-    return pairs.where(dot(F.col("x"), F.col("y")) >= threshold).select("a", "b")
+    groups = clusters.components(vectors.similar_vectors(centres, threshold, topic, vector)).select(F.col("id").alias(topic), F.col("component").alias("group"))
+    strength = F.struct(-F.coalesce(F.col(score), F.lit(float("-inf"))), F.col(topic))
+    named = groups.join(strengths, topic).groupBy("group").agg(F.min_by(topic, strength).alias("merged"))
+    merged = groups.join(named, "group").select(topic, "merged")
+    return strengths.select(topic).join(merged, topic, "left").select(topic, F.coalesce("merged", topic).alias("merged"))
+
+
+def contracted(members: DataFrame, merged: DataFrame, topic: str = "component") -> DataFrame:
+    """Members under the names of the merged topics."""
+    return members.join(merged, topic).drop(topic).withColumnRenamed("merged", topic)
 
 
 def seed_match(hashtags: Column, title: Column, seed: str, least: int = 3) -> Column:

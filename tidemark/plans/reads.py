@@ -14,7 +14,7 @@ from tidemark.functions import images, languages
 from tidemark.functions import mathx as m
 from tidemark.functions import text as t
 from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, document_items, events, order_items, source_dimension, table
-from tidemark.operators import clusters, lift, scoring, tables
+from tidemark.operators import clusters, lift, scoring, tables, vectors
 from tidemark.operators import topic_reads as reads
 from tidemark.plans.catalog import _FNV, _TITLE, _TOKENS, _WORDS, query, r6, scored
 from tidemark.plans.oracle import SCORED_SQL
@@ -98,7 +98,7 @@ def semantic_centroids(spark, sf_dir):
 @query("semantic_merge", _CENTRE_SQL + ", p AS (SELECT a.component AS a, b.component AS b, sum(a.x * b.x) AS sim FROM c a JOIN c b ON a.i = b.i AND a.component < b.component GROUP BY 1, 2) SELECT a, b FROM p WHERE sim >= 0.05")
 def semantic_merge(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "component")
-    return reads.merged_topics(clusters.centroids(e), 0.05, m.dot, blocks=4)
+    return vectors.similar_vectors(clusters.centroids(e), 0.05, "component").select("a", "b")
 
 
 @query("hot_seed_items", f"SELECT doc_id AS id FROM (SELECT doc_id, {_TITLE} AS title FROM documents) WHERE doc_id % 23 = 7 OR contains(lower(title), 'topic7') OR contains(lower(title), 'tion')")
