@@ -11,7 +11,7 @@ from tidemark.functions import dates as d
 from tidemark.functions import mathx as m
 from tidemark.functions import text as t
 from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, SNAPSHOTS_SQL, document_items, epoch, event_snapshots, events, order_items, table
-from tidemark.operators import baselines, clusters, lift, ranking, scoring, series, tables
+from tidemark.operators import baselines, clusters, gaps, lift, ranking, scoring, series, tables
 from tidemark.plans.oracle import SCORED_SQL, lift_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,28 +496,22 @@ _DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUB
 _GAPS_SQL = f"WITH sims AS (SELECT a.vec_id AS topic, b.vec_id AS item, {_DOT} AS sim FROM embeddings a, embeddings b WHERE a.label <= 1 AND a.vec_id % 20 = 0 AND b.label > 1)"
 
 
-def _gap_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Demand topics (labels 0 and 1) are a stated query set, every twentieth id, against all
-    supply; supply rows meet the topics in blocks, and pairs are never stored."""
-    e = table(spark, sf_dir, "embeddings")
-    demand = e.where("label <= 1 and vec_id % 20 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("a"), F.pmod("vec_id", F.lit(8)).alias("block"))
-    supply = e.where("label > 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("block"))
-    return supply.join(demand, "block").select("topic", "item", m.dot(F.col("a"), F.col("b")).alias("sim"))
+    supply, by vectors alone."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("embedding").alias("v"), "label")
+    return gaps.compared(e.where("label <= 1 and id % 20 = 0"), e.where("label > 1"), bar=0.3)
 
 
 @query("gaps_topk", _GAPS_SQL + " SELECT topic, item, round(sim, 6) AS sim, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, item) AS r FROM sims) WHERE r <= 3")
 def gaps_topk(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    best = Window.partitionBy("topic").orderBy(F.desc("sim"), "item")
-    x = _gap_sims(spark, sf_dir).withColumn("place", F.row_number().over(best)).where("place <= 3")
-    return x.select("topic", "item", r6("sim").alias("sim"), F.col("place").cast("long").alias("place"))
+    return _gaps(spark, sf_dir)[0].select("topic", "item", r6("score").alias("sim"), F.col("place").cast("long").alias("place"))
 
 
 @query("gap_verdicts", _GAPS_SQL + ", c AS (SELECT topic, CAST(sum(CASE WHEN sim >= 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS covered FROM sims GROUP BY 1) SELECT topic, covered, CASE WHEN covered = 0 THEN 'open' WHEN covered < 3 THEN 'thin' ELSE 'covered' END AS verdict FROM c")
 def gap_verdicts(spark, sf_dir):
-    c = _gap_sims(spark, sf_dir).groupBy("topic").agg(F.count_if(F.col("sim") >= 0.3).alias("covered"))
-    return c.withColumn("verdict", F.when(F.col("covered") == 0, "open").when(F.col("covered") < 3, "thin").otherwise("covered"))
+    counts = _gaps(spark, sf_dir)[1]
+    return counts.withColumn("verdict", gaps.verdict(F.col("covered"), ("open", "thin", "covered")))
 
 
 @query("relevance_score", "WITH i AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS relevance FROM embeddings, i")
@@ -551,11 +545,15 @@ for _pattern, _left in t.STEM_STEPS:
 _STEMS = f"list_transform({_STEMS}, lambda w: ltrim(w, '~'))"
 
 
-@query("gap_word_overlap", f"WITH b AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower({_TITLE}), '[\\s[:punct:]]+'), lambda w: length(w) >= 3)) AS w FROM documents), q AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower({_TITLE}), '[\\s[:punct:]]+'), lambda w: length(w) >= 3)) AS a FROM documents ORDER BY doc_id LIMIT 1) SELECT doc_id AS id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, w)) / len(a) END, 6) AS overlap FROM b, q")
+_TITLE_WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower({_TITLE}), '[\\s\\p{{P}}]+'), lambda w: length(w) >= 3))"
+
+
+@query("gap_word_overlap", f"WITH w AS (SELECT doc_id AS id, {_TITLE_WORDS} AS w FROM documents), s AS (SELECT t.id AS topic, i.id AS item, round(len(list_intersect(t.w, i.w)) / len(t.w) * 0.7, 9) AS score FROM w t, w i WHERE t.id % 20 = 0 AND i.id % 20 <> 0 AND list_has_any(t.w, i.w)) SELECT topic, item, round(score / 0.7, 6) AS overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, item) AS place FROM s) WHERE place <= 3")
 def gap_word_overlap(spark, sf_dir):
-    docs = document_items(spark, sf_dir).select("id", "title")
-    topic = F.broadcast(docs.orderBy("id").limit(1).select(F.col("title").alias("topic")))  # one row
-    return docs.join(topic).select("id", r6(t.word_overlap(F.col("topic"), F.col("title"))).alias("overlap"))
+    """Every twentieth title as a topic, against the other titles by their words."""
+    docs = document_items(spark, sf_dir).select("id", "title", F.lit(None).cast("array<double>").alias("v"))
+    matches, _ = gaps.compared(docs.where("id % 20 = 0"), docs.where("id % 20 <> 0"))
+    return matches.select("topic", "item", r6(F.col("score") / gaps.COVERED_AT).alias("overlap"), F.col("place").cast("long").alias("place"))
 
 
 #: Texts with tags, mentions and links: the documents' titles marked by rules on the id.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import mathx as m
 from tidemark.model import NOW, document_items, table
-from tidemark.operators import clusters, leaders, topic_reads
-from tidemark.plans.catalog import _STEMS, _TITLE, _TOKENS, query, r6
+from tidemark.operators import clusters, gaps, leaders, topic_reads
+from tidemark.plans.catalog import _STEMS, _TITLE, _TITLE_WORDS, _TOKENS, query, r6
 
 
 @query("leader_topics")
@@ -63,3 +64,22 @@ def merged_summary(spark, sf_dir):
     counts = merged.groupBy(F.col("merged").alias("component")).agg(F.count(F.lit(1)).alias("topics"))
     out = clusters.topic_summary(topic_reads.contracted(told, merged), NOW).join(counts, "component")
     return out.withColumn("score", r6("score")).withColumn("confidence", r6("confidence"))
+
+
+_GAP_ROWS_SQL = f"""{_STORIES_SQL}, rows AS (SELECT d.doc_id AS id, {_TITLE_WORDS} AS w, CASE WHEN d.doc_id % 40 <> 0 THEN v END AS v, n_chars % 100 AS score, d.doc_id % 7 AS countries FROM documents d LEFT JOIN stories s ON s.id = d.doc_id),
+scaled AS (SELECT id, w, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v, score, countries FROM rows),
+sims AS (SELECT t.id AS topic, i.id AS item, round(CASE WHEN t.v IS NOT NULL AND i.v IS NOT NULL THEN list_dot_product(t.v, i.v) WHEN len(t.w) = 0 THEN 0 ELSE len(list_intersect(t.w, i.w)) / len(t.w) * 0.7 END, 9) AS score FROM scaled t, scaled i WHERE t.id % 20 = 0 AND i.id % 20 <> 0),
+best AS (SELECT topic, string_agg(item || ':' || printf('%.3f', round(score, 3)), '|' ORDER BY place) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, item) AS place FROM sims WHERE score > 0) WHERE place <= 3 GROUP BY topic),
+counts AS (SELECT topic, count(*) FILTER (score >= 0.7) AS covered FROM sims GROUP BY topic)"""
+
+
+@query("gap_report", f"WITH {_GAP_ROWS_SQL} SELECT id AS topic, score, countries, covered, CASE WHEN covered = 0 THEN 'uncovered' WHEN covered < 3 THEN 'thin' ELSE 'covered' END AS verdict, v IS NOT NULL AS by_meaning, coalesce(matches, '') AS matches FROM scaled JOIN counts ON topic = id LEFT JOIN best USING (topic)")
+def gap_report(spark, sf_dir):
+    """Every twentieth document as a topic against all others: by meaning where both have a
+    vector, by the words of their titles elsewhere."""
+    docs = document_items(spark, sf_dir).select("id", "title", (F.col("n_chars") % 100).alias("score"), (F.col("id") % 7).alias("countries"))
+    told = stories(spark, sf_dir).select("id", m.normalised(F.col("v")).alias("v"))
+    rows = docs.join(told, "id", "left").withColumn("v", F.when(F.col("id") % 40 != 0, F.col("v")))
+    out = gaps.gap_report(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"))
+    listed = F.array_join(F.transform("matches", lambda x: F.format_string("%d:%.3f", x["item"], x["similarity"])), "|")
+    return out.select("topic", "score", "countries", "covered", "verdict", "by_meaning", listed.alias("matches"))
