@@ -12,9 +12,11 @@ PROBABILITIES = (0.5, 0.75, 0.9, 0.99)
 OCTAVE_PARTS = 256
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...] = PROBABILITIES, weight: str | None = None) -> DataFrame:
     """(keys, n, q): number of values and their exact interpolated quantiles, as an array.
 
+    ``weight`` is how often a row's value counts, once unless it is named.
+
     No key is one task's: values are counted by (key, value), the counts summed by (key, part
     of an octave), of which a key has a bounded number, and only the parts that hold a wanted
     rank are sorted, each by itself.  Null values take no part; null keys are a key.
@@ -23,7 +25,8 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
     part = F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * OCTAVE_PARTS)
     named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     by = [f"__k{i}" for i in range(len(keys))]
-    counts = rows.select(*named, F.col(value).cast("double").alias("__v")).where("__v is not null").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("c")).withColumn("__part", part)
+    times = F.lit(1) if weight is None else F.col(weight)
+    counts = rows.select(*named, F.col(value).cast("double").alias("__v"), times.cast("long").alias("__w")).where("__v is not null").groupBy(*by, "__v").agg(F.sum("__w").alias("c")).withColumn("__part", part)
     parts = counts.groupBy(*by, "__part").agg(F.sum("c").alias("c"))
     whole = Window.partitionBy(*by)
     parts = parts.withColumn("n", F.sum("c").over(whole)).withColumn("end", F.sum("c").over(whole.orderBy("__part")))

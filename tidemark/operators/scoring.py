@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import mathx as m
 from tidemark.model import HALF_LIFE_HOURS, MAX_AGE_HOURS, WEIGHTS
-from tidemark.operators import baselines, series
+from tidemark.operators import baselines, rolling, series
 from tidemark.sources.tables import written
 
 
@@ -56,21 +56,30 @@ def lifecycle(score: Column, popularity: Column, velocity: Column, ratio: Column
     )
 
 
-def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, reliability: float = 0.9, cross_source: Column | None = None, peaks: DataFrame | None = None) -> DataFrame:
+def _pooled(shapes: DataFrame) -> DataFrame:
+    """(source, vq, sq): quantiles of all values and velocities of each source."""
+    both = shapes.select("source", F.explode(F.array(F.struct(F.lit("v").alias("of"), F.col("value").cast("double").alias("x")), F.struct(F.lit("s").alias("of"), F.col("velocity").alias("x")))).alias("p")).select("source", "p.of", "p.x")
+    q = baselines.exact_quantiles(both, ["source", "of"], "x")
+    summary = F.struct(F.col("n"), *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 99))])
+    return q.groupBy("source").agg(F.max(F.when(F.col("of") == "v", summary)).alias("vq"), F.max(F.when(F.col("of") == "s", summary)).alias("sq"))
+
+
+def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, reliability: float = 0.9, cross_source: Column | None = None, peaks: DataFrame | None = None, saved: DataFrame | None = None) -> DataFrame:
     """Scores every item of (id, source, author, ts, views, likes, native_score).
 
     Acyclic: shapes, then baselines of those shapes, then scores.  ``peaks`` (id, peak)
-    carries the high-water mark of earlier passes.  Baselines are one row per source.
+    carries the high-water mark of earlier passes.  Baselines are those of ``saved`` (see
+    ``rolling``), by source and hour of day, or else of the shapes, one row per source.
     """
     shapes = series.shape(snapshots, now, parts=["likes"], keep=["source", "author"])
     # read by both baselines, by creators' samples and by the score
     shapes = written(shapes, f"shapes-{uuid.uuid4().hex[:8]}")
-    both = shapes.select("source", F.explode(F.array(F.struct(F.lit("v").alias("of"), F.col("value").cast("double").alias("x")), F.struct(F.lit("s").alias("of"), F.col("velocity").alias("x")))).alias("p")).select("source", "p.of", "p.x")
-    q = baselines.exact_quantiles(both, ["source", "of"], "x")
-    summary = F.struct(F.col("n"), *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 99))])
-    base = q.groupBy("source").agg(F.max(F.when(F.col("of") == "v", summary)).alias("vq"), F.max(F.when(F.col("of") == "s", summary)).alias("sq"))
+    if saved is not None:
+        x = rolling.looked_up(shapes, saved)
+    else:
+        x = shapes.join(_pooled(shapes), "source", "left")
     loo = baselines.leave_one_out(shapes.select("id", "author", "value", F.col("first_ts").alias("published_at")))
-    x = shapes.join(base, "source", "left").join(loo.select("id", F.col("median").alias("creator_median")), "id", "left")
+    x = x.join(loo.select("id", F.col("median").alias("creator_median")), "id", "left")
     x = x.join(peaks, "id", "left") if peaks is not None else x.withColumn("peak", F.lit(None).cast("double"))
     x = x.withColumn("cross_source", F.lit(1) if cross_source is None else cross_source)
     x = x.withColumn("age", F.greatest(F.lit(0.0), (now - F.col("first_ts")) / 3600.0))

@@ -773,3 +773,4 @@ def stream_dedup(spark, sf_dir):
 import tidemark.plans.reads  # noqa: E402, F401  registers its queries here
 import tidemark.plans.search_queries  # noqa: E402, F401
 import tidemark.plans.topic_queries  # noqa: E402, F401
+import tidemark.plans.upkeep_queries  # noqa: E402, F401

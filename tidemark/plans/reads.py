@@ -18,8 +18,8 @@ from tidemark.operators import clusters, lift, scoring, tables, vectors
 from tidemark.operators import topic_reads as reads
 from tidemark.plans.catalog import _FNV, _TITLE, _TOKENS, _WORDS, query, r6, scored
 from tidemark.plans.oracle import SCORED_SQL
-from tidemark.sources import adapters, parsing
-from tidemark.sources.tables import written
+from tidemark.sources import adapters, parsing, stored
+from tidemark.sources.tables import shared_folder, written
 
 # ── topics ───────────────────────────────────────────────────────────────────
 
@@ -233,12 +233,15 @@ def creator_upsert(spark, sf_dir):
 
 @query("replaced_table", f"WITH {ORDERS_SQL} SELECT id, value FROM items WHERE id % 5 <> 0 UNION ALL SELECT id, value + 1 FROM items WHERE id % 10 = 5")
 def replaced_table(spark, sf_dir):
-    """A rebuild: rows that the new pass has, and none of the old that it has not."""
+    """A stored table after a rebuild: the rows of the new pass, and none of the old that it has
+    not; buckets without a change stay as they are."""
     items = order_items(spark, sf_dir)
     old = items.where("id % 5 <> 0 or id % 10 = 0").select("id", "value")
     fresh = items.where("id % 5 <> 0").select("id", "value").unionByName(items.where("id % 10 = 5").select("id", (F.col("value") + 1).alias("value")))
-    kept = old.join(fresh, ["id", "value"], "left_semi")
-    return kept.unionByName(fresh.join(old, ["id", "value"], "left_anti"))
+    table = stored.StoredTable(spark, f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex[:8]}", stored.buckets(["id"], 8))
+    table.replace(old)
+    table.replace(fresh)
+    return table.read()
 
 
 @query("missing_media", "SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.quality = 0")

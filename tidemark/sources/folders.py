@@ -32,3 +32,11 @@ def renamed(spark: SparkSession, path: str, to: str) -> bool:
 def removed(spark: SparkSession, path: str) -> None:
     at, fs = _at(spark, path)
     fs.delete(at, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
