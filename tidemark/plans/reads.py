@@ -271,13 +271,6 @@ def event_log(spark, sf_dir):
     return x.select("source", "event_id", "t", "place")
 
 
-@query("pending_digest", f"WITH {EVENTS_SQL} SELECT event_id FROM ev WHERE event_id > 100 AND NOT (t % 86400 // 3600 >= 22 OR t % 86400 // 3600 < 7)")
-def pending_digest(spark, sf_dir):
-    """Events after the cursor whose hour is not a quiet one; the night wraps midnight."""
-    e = events(spark, sf_dir)
-    return e.where((F.col("event_id") > 100) & ~d.quiet(d.hour(F.col("t")), 22, 7)).select("event_id")
-
-
 @query("samples_with_history", f"WITH {ORDERS_SQL} SELECT author, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM (SELECT author, value FROM items WHERE id % 2 = 0 UNION ALL SELECT author, value * 2 FROM items WHERE id % 3 = 0) GROUP BY author")
 def samples_with_history(spark, sf_dir):
     """Tracked and historical samples together."""

@@ -11,10 +11,11 @@ from tidemark.functions import mathx as m
 from tidemark.model import EVENTS_SQL, NOW, document_items, event_snapshots, events
 from tidemark.operators import retention, rolling, series
 from tidemark.operators import tables as upkeep
-from tidemark.plans.catalog import query, r6
+from tidemark.plans.catalog import _stream, query, r6
 from tidemark.plans.oracle import SCORED_SQL, _percentile
 from tidemark.sources import stored
 from tidemark.sources.tables import shared_folder
+from tidemark.streaming import digest, lifecycle, stateful
 
 
 def stored_table(spark: SparkSession, name: str, part: str) -> stored.StoredTable:
@@ -118,3 +119,60 @@ def rolling_percentiles(spark, sf_dir):
     shapes = series.shape(event_snapshots(spark, sf_dir), NOW, keep=["source"])
     x = rolling.looked_up(shapes, _saved(spark, sf_dir))
     return x.select("id", F.col("vq.n").alias("samples"), r6(m.percentile_from_quantiles(F.col("value").cast("double"), F.col("vq"))).alias("popularity"))
+
+
+# ── digests ──────────────────────────────────────────────────────────────────
+
+_TYPES = {"click": "viral", "purchase": "breakout", "error": "intervention"}
+_DIGEST_ITEMS_SQL = "items AS (SELECT source || ':' || author AS id, (min(author) * 13 % 100)::DOUBLE AS score, min(author) % 10 / 10.0 AS confidence, CASE min(author) % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' END AS lang FROM ev GROUP BY 1)"
+_KIND_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " END"
+
+
+@query("pending_digest", f"""WITH {EVENTS_SQL}, {_DIGEST_ITEMS_SQL}, size AS (SELECT count(*) // 3 + 1 AS n FROM ev), log AS (SELECT event_id, source || ':' || author AS ref, {_KIND_SQL} AS kind, (row_number() OVER (ORDER BY event_id) - 1) // n AS batch FROM ev, size),
+told AS (SELECT batch, event_id, kind, NULL::DOUBLE AS score FROM log WHERE kind = 'intervention' UNION ALL SELECT batch, min(event_id), first(kind ORDER BY event_id), any_value(score) FROM log JOIN items ON items.id = ref WHERE kind IN ('viral', 'breakout') AND score >= 20 AND confidence >= 0.2 AND (lang IS NULL OR lang IN ('en', 'fr')) GROUP BY batch, ref)
+SELECT batch, place, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY coalesce(score, 0) DESC, event_id) AS place FROM told) WHERE place <= 15""")
+def pending_digest(spark, sf_dir):
+    """What a consumer tells of the whole log in three batches, after a night on which it holds
+    the first."""
+    e = events(spark, sf_dir).withColumn("id", F.concat_ws(":", "source", F.col("author").cast("string")))
+    lang = F.when(F.col("author") % 4 == 0, "en").when(F.col("author") % 4 == 1, "fr").when(F.col("author") % 4 == 2, "de")
+    items = e.groupBy("id").agg(F.min("author").alias("author")).select("id", (F.col("author") * 13 % 100).cast("double").alias("score"), (F.col("author") % 10 / 10).alias("confidence"), lang.alias("lang"))
+    log = e.select("event_id", "t", F.col("source").alias("type"), "source", F.col("id").alias("ref_id"))
+    wanted = digest.Wanted(types=_TYPES, least_score=20.0, least_confidence=0.2, languages=("en", "fr"), most=15, batch=e.count() // 3 + 1, quiet=(22, 7))
+    consumer = digest.Digest(stored_table(spark, "cursor", "0"), "mail", wanted)
+    told: list[tuple] = []
+
+    def mail(rows, batch):
+        told.extend((batch, place, r["event_id"], r["kind"]) for place, r in enumerate(rows, 1))
+
+    for hour in (23, 32, 33, 34, 35):
+        consumer.dispatch(log, items, NOW + hour * 3600, {"mail": mail})
+    return spark.createDataFrame(told, "batch long, place long, event_id long, kind string")
+
+
+# ── streams ──────────────────────────────────────────────────────────────────
+
+_HOT, _IDLE = 90.0, 3 * 86400
+_LIVES_SQL = f"""rows AS (SELECT author::VARCHAR AS key, t, value FROM ev WHERE value IS NOT NULL),
+gaps AS (SELECT *, row_number() OVER w AS r, CASE WHEN t - lag(t) OVER w > {_IDLE} THEN 1 ELSE 0 END AS cut FROM rows WINDOW w AS (PARTITION BY key ORDER BY t, value DESC)),
+lives AS (SELECT *, sum(cut) OVER (PARTITION BY key ORDER BY r) AS life FROM gaps),
+high AS (SELECT *, max(value) OVER (PARTITION BY key, life ORDER BY r) AS peak FROM lives),
+level AS (SELECT *, CASE WHEN value >= {_HOT} THEN 'HOT' WHEN peak >= {_HOT} AND value <= 0.6 * peak THEN 'PEAK' END AS l FROM high),
+held AS (SELECT *, coalesce(last_value(l IGNORE NULLS) OVER (PARTITION BY key, life ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'NEW') AS h FROM level),
+said AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY key, life ORDER BY r), 'NEW') AS before FROM held),
+firsts AS (SELECT key, life, value AS peak, min(t) AS peak_at FROM lives GROUP BY 1, 2, 3),
+ends AS (SELECT key, life, max(t) AS last, max(value) AS peak, max(life) OVER (PARTITION BY key) AS newest FROM lives GROUP BY key, life),
+changes AS (SELECT key, t, h AS level, value, peak, life FROM said WHERE h <> before UNION ALL SELECT key, last + {_IDLE}, 'EXPIRED', NULL, peak, life FROM ends WHERE life < newest OR last + {_IDLE} <= (SELECT max(t) FROM ev) - 3600)"""
+
+
+@query("stream_lifecycle", f"WITH {EVENTS_SQL}, {_LIVES_SQL} SELECT key, t, level, value, peak, peak_at FROM changes JOIN firsts USING (key, life, peak)")
+def stream_lifecycle(spark, sf_dir):
+    """Changes of level of every author, each told once, and the ends of silent ones."""
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", lifecycle.PROVIDER)
+    try:
+        stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", "value")
+        out = stateful.drained(spark, lifecycle.lifecycles(stream, _HOT, idle=_IDLE), "append", ["key"])
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return out.select("key", "t", "level", "value", "peak", "peak_at")

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.tables import shared_folder
 
@@ -25,21 +22,12 @@ def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "2 hours"
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def _peak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    peak, at, n = state.get if state.exists else (None, 0, 0)
-    for batch in batches:
-        for value, ts in zip(batch["value"], batch["t"]):
-            n += 1
-            # strictly greater, or the same peak seen earlier in event time
-            if peak is None or value > peak or (value == peak and ts < at):
-                peak, at = float(value), int(ts)
-    state.update((peak, at, n))
-    yield pd.DataFrame({"author": [key[0]], "peak": [peak], "peak_at": [at], "observations": [n]})
-
-
 def peaks(stream: DataFrame) -> DataFrame:
-    """High-water mark per author of (author, value, t), carried across micro-batches."""
-    return stream.where("value is not null").groupBy("author").applyInPandasWithState(_peak, "author long, peak double, peak_at long, observations long", "peak double, peak_at long, observations long", "update", GroupStateTimeout.NoTimeout)
+    """High-water mark per author of (author, value, t), carried across micro-batches: strictly
+    greater, or the same value seen earlier in event time."""
+    best = F.min(F.struct((-F.col("value")).alias("m"), "t"))
+    kept = stream.where("value is not null").groupBy("author").agg(best.alias("best"), F.count(F.lit(1)).alias("observations"))
+    return kept.select("author", (-F.col("best.m")).alias("peak"), F.col("best.t").alias("peak_at"), "observations")
 
 
 def drained(spark: SparkSession, result: DataFrame, mode: str, key: list[str], order: str | None = None) -> DataFrame:
@@ -63,10 +51,3 @@ def drained(spark: SparkSession, result: DataFrame, mode: str, key: list[str], o
     if mode == "complete" or order is None:
         return rows
     return rows.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in rows.columns if c not in key])
-
-
-def pending_digest(events: DataFrame, cursor: int, hour: int, quiet_from: int, quiet_to: int) -> DataFrame:
-    """Events after the cursor to notify of; in quiet hours none, and the cursor stays."""
-    from tidemark.functions.dates import quiet
-
-    return events.where((F.col("event_id") > cursor) & ~quiet(F.lit(hour), quiet_from, quiet_to))
