@@ -398,7 +398,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     used = F.lit(True) if held_out is None else part != held_out
     texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull() & used)
     marks = labels.select(id_col, label_col).where(F.col(label_col).isin(0, 1) & used)
-    both = probably_in(texts, marks, id_col).join(marks, id_col).withColumn("later", part == calibration)
+    # a sorted join at every size: labels grow with the corpus, and so does what it moves
+    both = probably_in(texts, marks, id_col).join(marks.hint("merge"), id_col).withColumn("later", part == calibration)
     grams = written(gram_counts(word_counts(both, text_col, label_col)), "grams")
     model_ref = spark.sparkContext.broadcast(collected(statistics(grams, "first")))
 
