@@ -237,24 +237,44 @@ def fnv64(word: str) -> int:
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+def _counted(some) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens in order of code points, and their uses."""
+    if not len(some):
+        return np.zeros(0, object), np.zeros(0, np.int64)
+    return np.unique(np.array(some, object), return_counts=True)
+
+
+def _voted(names, uses: np.ndarray, hashes: dict[str, int]) -> int:
+    for name in names:
+        if name not in hashes:
+            hashes[name] = fnv64(name)
+    h = np.array([hashes[name] for name in names], np.uint64)
+    votes = ((((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int64) * 2 - 1) * uses[:, None]).sum(axis=0)
+    return int((np.uint64(1) << _BITS)[votes > 0].sum(dtype=np.uint64).view(np.int64))
+
+
 @F.pandas_udf(T.LongType())
 def simhash(words: pd.Series) -> pd.Series:
     """64-bit SimHash of a list of content tokens: each token's hash votes on each bit, once per
     use.  No token, no bit; null stays null."""
     hashes: dict[str, int] = {}
+    return pd.Series([None if some is None else _voted(*_counted(some), hashes) for some in words], dtype="Int64")
+
+
+#: Content tokens that become an item's keywords.
+KEYWORDS = 10
+
+
+@F.pandas_udf(T.StructType([T.StructField("simhash", T.LongType()), T.StructField("keywords", T.ArrayType(T.StringType()))]))
+def token_digest(words: pd.Series) -> pd.DataFrame:
+    """SimHash and most used tokens, ties by name, in one pass over the tokens."""
+    hashes: dict[str, int] = {}
     out = []
     for some in words:
-        if some is None:
-            out.append(None)
-            continue
-        names, uses = np.unique(np.array(some, object), return_counts=True) if len(some) else ((), np.zeros(0, np.int64))
-        for name in names:
-            if name not in hashes:
-                hashes[name] = fnv64(name)
-        h = np.array([hashes[name] for name in names], np.uint64)
-        votes = ((((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int64) * 2 - 1) * uses[:, None]).sum(axis=0)
-        out.append(int((np.uint64(1) << _BITS)[votes > 0].sum(dtype=np.uint64).view(np.int64)))
-    return pd.Series(out, dtype="Int64")
+        names, uses = _counted(() if some is None else some)
+        best = np.argsort(-uses, kind="stable")[:KEYWORDS]
+        out.append((_voted(names, uses, hashes), [names[i] for i in best]))
+    return pd.DataFrame(out, columns=["simhash", "keywords"])
 
 
 @F.pandas_udf(T.StringType())

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import mathx as m
 from tidemark.model import EVENTS_SQL, NOW, document_items, event_snapshots, events
-from tidemark.operators import retention, rolling, series
+from tidemark.operators import enrichment, retention, rolling, series
 from tidemark.operators import tables as upkeep
-from tidemark.plans.catalog import _stream, query, r6
+from tidemark.plans.catalog import _simhash_ctes, _stream, _TITLE, _TOKENS, query, r6
 from tidemark.plans.oracle import SCORED_SQL, _percentile
 from tidemark.sources import stored
 from tidemark.sources.tables import shared_folder
@@ -150,6 +150,42 @@ def pending_digest(spark, sf_dir):
     return spark.createDataFrame(told, "batch long, place long, event_id long, kind string")
 
 
+# ── enrichment ───────────────────────────────────────────────────────────────
+
+_BOTH = f"{_TITLE} || chr(10) || text"
+_KEYWORDS_SQL = f"k AS (SELECT id, string_agg(term, '|' ORDER BY place) AS keywords FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS place FROM (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest({_TOKENS.format(_BOTH)}) AS term FROM documents) GROUP BY 1, 2)) WHERE place <= 10 GROUP BY id)"
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as their sources give them: every sixth with a country, some with tags."""
+    i = F.col("id")
+    docs = document_items(spark, sf_dir).select("id", "title", "body")
+    stated = F.when(i % 6 == 0, F.lit("CH"))
+    tags = F.when(i % 4 == 0, F.array(F.concat(F.lit("tag"), (i % 9).cast("string")), F.lit("same"), F.lit("same")))
+    return docs.select("*", tags.alias("tags"), stated.alias("stated_country"), F.when(i % 6 == 0, 0.9).alias("stated_confidence"), F.when(i % 6 == 0, "platform").alias("stated_source"))
+
+
+@query("item_fields", f"WITH {_simhash_ctes(_BOTH)}, {_KEYWORDS_SQL}, h AS (SELECT doc_id AS id, list_slice(list_distinct_ordered, 1, 15) AS tags FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ['tag' || doc_id % 9, 'same'] ELSE [] END AS list_distinct_ordered FROM documents)) SELECT sims.id, bits, coalesce(keywords, '') AS keywords, array_to_string(tags, '|') AS hashtags, CASE WHEN sims.id % 6 = 0 THEN 'CH' END AS country, CASE WHEN sims.id % 6 = 0 THEN 'platform' END AS country_source FROM sims JOIN h USING (id) LEFT JOIN k USING (id)")
+def item_fields(spark, sf_dir):
+    """All that an item gets from its text but the language, which has a query of its own; no
+    language of these texts is one country's."""
+    x = enrichment.enriched(_incoming(spark, sf_dir))
+    return x.select("id", F.lpad(F.bin("simhash"), 64, "0").alias("bits"), F.array_join("keywords", "|").alias("keywords"), F.array_join("hashtags", "|").alias("hashtags"), "country", "country_source")
+
+
+@query("reenriched_items", f"WITH {_KEYWORDS_SQL} SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'as stored' ELSE coalesce(keywords, '') END AS keywords, CASE WHEN doc_id % 6 = 0 THEN 'CH' WHEN doc_id % 3 = 0 THEN 'XX' END AS country FROM documents LEFT JOIN k ON k.id = doc_id")
+def reenriched_items(spark, sf_dir):
+    """A sweep over stored items: those of older rules are worked out again, a country that the
+    source stated stays, one that was read off the language does not."""
+    stored_items = stored_table(spark, "enriched", stored.buckets(["id"], 8))
+    rows = enrichment.enriched(_incoming(spark, sf_dir)).withColumn("keywords", F.array(F.lit("as stored")))
+    rows = rows.withColumn("country_source", F.coalesce("country_source", F.lit(enrichment.BY_LANGUAGE))).withColumn("country", F.coalesce("country", F.lit("XX")))
+    rows = rows.withColumn("digest", enrichment.digest()).withColumn("rules", F.when(F.col("id") % 3 == 0, enrichment.RULES).otherwise(0))
+    stored_items.put(rows.drop("stated_country", "stated_confidence", "stated_source"))
+    enrichment.reenriched(stored_items)
+    return stored_items.read().select("id", F.array_join("keywords", "|").alias("keywords"), "country")
+
+
 # ── streams ──────────────────────────────────────────────────────────────────
 
 _HOT, _IDLE = 90.0, 3 * 86400
