@@ -50,11 +50,16 @@ def _latin(words: Column, share: Column, lists: Mapping[str, Sequence[str]]) ->
     first, second = best[0], F.get(best, F.lit(1))
     margin = F.when(second.isNull() | (first["score"] == 0), 1.0).otherwise((first["score"] - second["score"]) / first["score"])
     sure = clamp(0.4 + 0.5 * margin, 0.3, 0.95) * clamp(first["unique"] / 3, 0.3, 1.0) * share
-    # no word that is one language's own: English, quietly
+    # no word that is one language's own: taken for English, with little confidence
     return F.when(first["unique"] == 0, _guess(F.lit("en"), 0.3 * share)).otherwise(_guess(first["code"], sure))
 
 
-def detect(text: Column, lists: Mapping[str, Sequence[str]] | None = None) -> Column:
+def sample_words(text: Column) -> Column:
+    """The words that ``detect`` looks at; as a column of its own they are made once a row."""
+    return words_of(F.substring(text, 1, SAMPLE))
+
+
+def detect(text: Column, lists: Mapping[str, Sequence[str]] | None = None, words: Column | None = None) -> Column:
     """struct(code, confidence); code null where the text does not say.
 
     ``lists`` has function words by language (the known ones by default); of them ``fa`` and
@@ -63,7 +68,7 @@ def detect(text: Column, lists: Mapping[str, Sequence[str]] | None = None) -> Co
     lists = dict(STOPWORDS if lists is None else lists)
     arabic = {code: lists.pop(code, ()) for code in ("fa", "ar")}
     sample = F.substring(text, 1, SAMPLE)
-    words = words_of(sample)
+    words = sample_words(text) if words is None else words
     distinct = F.array_distinct(words)
     counts = [F.char_length(F.regexp_replace(sample, f"[^{chars}]", "")) for _, chars, _, _ in SCRIPTS]
     total = reduce(lambda a, b: a + b, counts)
@@ -81,6 +86,6 @@ def detect(text: Column, lists: Mapping[str, Sequence[str]] | None = None) -> Co
 
 
 def country_of(language: Column, confidence: Column, countries: Mapping[str, str]) -> Column:
-    """struct(country, confidence): the one country of a language that has one, said quietly."""
+    """struct(country, confidence): the one country of a language that has one, at a low confidence."""
     found = F.coalesce(*[F.when(language == code, country) for code, country in countries.items()], F.lit(None).cast("string"))
     return F.struct(found.alias("country"), F.when(found.isNotNull(), clamp(confidence, 0.0, 0.35)).otherwise(0.0).alias("confidence"))

@@ -24,8 +24,7 @@ from tidemark.sources.tables import written
 
 # Languages that are mostly one country's.
 LANGUAGE_COUNTRY = {"fa": "IR", "ja": "JP", "ko": "KR", "th": "TH", "he": "IL", "el": "GR", "tr": "TR", "pl": "PL", "id": "ID", "vi": "VN", "hi": "IN"}
-# Lengths of what is kept.
-TITLE_CHARS, BODY_CHARS = 500, 4000
+# How many hashtags an item keeps.
 HASHTAGS = 15
 #: How a country that was read off the language is marked.
 BY_LANGUAGE = "language"
@@ -53,11 +52,12 @@ def enriched(items: DataFrame, lists: Mapping[str, Sequence[str]] | None = None,
     this is called.
     """
     rows = items.withColumn("__text", item_text())
-    rows = rows.withColumn("__lang", languages.detect(F.col("__text"), lists)).withColumn("__raw", t.content_tokens(t.words_of(F.col("__text"))))
-    rows = rows.withColumn("__tags", t.hashtags(F.col("__text"))).drop("__text")
+    rows = rows.withColumn("__words", languages.sample_words(F.col("__text"))).withColumn("__raw", t.content_tokens(t.words_of(F.col("__text"))))
+    rows = rows.withColumn("__tags", t.hashtags(F.col("__text"))).withColumn("__text", F.substring("__text", 1, languages.SAMPLE))
     # tokens come out of one Python step and go into the next, which the planner does not always
-    # split; written, they are read by the second alone
+    # split; written, they are read by the second alone, and made once
     rows = written(rows, f"tokens-{uuid.uuid4().hex[:8]}").withColumn("__tokens", t.token_digest("__raw"))
+    rows = rows.withColumn("__lang", languages.detect(F.col("__text"), lists, F.col("__words")))
     guess = languages.country_of(F.col("__lang.code"), F.col("__lang.confidence"), countries)
     rows = rows.withColumn("__guess", guess)
     stated, guessed = F.col("stated_country").isNotNull(), F.col("__guess.country").isNotNull()
@@ -76,12 +76,6 @@ def enriched(items: DataFrame, lists: Mapping[str, Sequence[str]] | None = None,
     return rows.select(*kept, *[c.alias(name) for name, c in fields.items()])
 
 
-def to_store(items: DataFrame, rules: int = RULES) -> DataFrame:
-    """Enriched rows as they are stored: cut to length, with what they were made from."""
-    stated = items.withColumn("digest", digest()).withColumn("rules", F.lit(rules))
-    return stated.withColumn("title", F.substring("title", 1, TITLE_CHARS)).withColumn("body", F.substring("body", 1, BODY_CHARS))
-
-
 @dataclass(frozen=True)
 class Swept:
     examined: int

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import mathx as m
 from tidemark.model import NOW, document_items, table
 from tidemark.operators import clusters, gaps, leaders, topic_reads
-from tidemark.plans.catalog import _STEMS, _TITLE, _TITLE_WORDS, _TOKENS, query, r6
+from tidemark.plans.catalog import _STEMS, _TITLE, _TITLE_WORDS, _TOKENS, _TOPICS_SQL, query, r6
 
 
 @query("leader_topics")
@@ -23,6 +23,22 @@ def display_forms(spark, sf_dir):
     return clusters.display_forms(document_items(spark, sf_dir))
 
 
+_NAMES_SQL = f"""{_TOPICS_SQL}, sizes AS (SELECT component, count(*) AS items FROM topics GROUP BY 1), means AS (SELECT component, term, round(sum(weight) / max(items), 9) AS w FROM vec JOIN topics USING (id) JOIN sizes USING (component) GROUP BY 1, 2),
+best AS (SELECT component, term, place FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY w DESC, term) AS place FROM means) WHERE place <= 8),
+raw_stems AS (SELECT unnest({_TOKENS.format(_TITLE)}) AS form, unnest({_STEMS.format(_TITLE)}) AS stem FROM documents), forms AS (SELECT stem, first(form ORDER BY n DESC, form) AS form FROM (SELECT stem, form, count(*) AS n FROM raw_stems GROUP BY 1, 2) GROUP BY stem),
+parts AS (SELECT component, place, unnest(string_split(term, ' ')) AS stem, generate_subscripts(string_split(term, ' '), 1) AS i FROM best),
+words AS (SELECT component, place, string_agg(coalesce(form, stem), ' ' ORDER BY i) AS k FROM parts LEFT JOIN forms USING (stem) GROUP BY 1, 2),
+named AS (SELECT component, list(k ORDER BY place) AS keywords FROM words GROUP BY 1)"""
+
+
+@query("topic_names", _NAMES_SQL + " SELECT component, array_to_string(keywords, '|') AS keywords, array_to_string(list_sort(list_transform(keywords[1:4], lambda k: replace(k, ' ', '_'))), '|') AS key FROM named")
+def topic_names(spark, sf_dir):
+    """Keywords of every topic, in words that people wrote, and the name that outlasts a pass."""
+    docs = document_items(spark, sf_dir)
+    named = clusters.topic_names(clusters.topics(docs), clusters.tfidf(docs), clusters.display_forms(docs))
+    return named.select("component", F.array_join("keywords", "|").alias("keywords"), "key")
+
+
 #: Vectors that tell a story again: every third is an original, the others lie near it, and
 #: topics of one or two stories.
 _STORIES_SQL = f"""stories AS (SELECT a.vec_id AS id, CASE WHEN a.vec_id % 4 = 3 THEN a.vec_id - 1 ELSE a.vec_id END AS component, (a.vec_id * 37 % 101)::DOUBLE AS score, 's' || a.vec_id % 3 AS source, {NOW} - (a.vec_id % 50) * 600 AS seen_at,
