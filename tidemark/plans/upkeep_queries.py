@@ -13,7 +13,7 @@ from tidemark.operators import enrichment, retention, rolling, series
 from tidemark.operators import tables as upkeep
 from tidemark.plans.catalog import _simhash_ctes, _stream, _TITLE, _TOKENS, query, r6
 from tidemark.plans.oracle import SCORED_SQL, _percentile
-from tidemark.sources import stored
+from tidemark.sources import stored, tail
 from tidemark.sources.tables import shared_folder
 from tidemark.streaming import digest, lifecycle, stateful
 
@@ -212,3 +212,21 @@ def stream_lifecycle(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     return out.select("key", "t", "level", "value", "peak", "peak_at")
+
+
+# ── growing files ────────────────────────────────────────────────────────────
+
+
+@query("tailed_records", f"WITH {EVENTS_SQL} SELECT event_id, source, event_id % 97 = 0 AS broken FROM ev")
+def tailed_records(spark, sf_dir):
+    """Events written as JSON lines, some cut short, and read back; broken ones lie aside."""
+    spark.dataSource.register(tail.TailSource)
+    root = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex[:8]}"
+    whole = F.to_json(F.struct("event_id", "source", "value"))
+    line = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"source":"'), F.col("source"))).otherwise(whole)
+    events(spark, sf_dir).select(line.alias("value")).write.text(root)
+    at = root if "://" in root else f"file://{root}"
+    read = spark.read.format("tidemark_tail").options(path=at, splitBytes=str(1 << 16)).load()
+    event = F.regexp_extract("record", r'"event_id":(\d+)', 1).cast("long")
+    source = F.regexp_extract("record", r'"source":"(\w+)', 1)
+    return read.select(event.alias("event_id"), source.alias("source"), F.col("problem").isNotNull().alias("broken"))
