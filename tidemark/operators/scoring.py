@@ -64,12 +64,14 @@ def _pooled(shapes: DataFrame) -> DataFrame:
     return q.groupBy("source").agg(F.max(F.when(F.col("of") == "v", summary)).alias("vq"), F.max(F.when(F.col("of") == "s", summary)).alias("sq"))
 
 
-def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, reliability: float = 0.9, cross_source: Column | None = None, peaks: DataFrame | None = None, saved: DataFrame | None = None) -> DataFrame:
+def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, reliability: float = 0.9, cross_source: Column | None = None, peaks: DataFrame | None = None, saved: DataFrame | None = None, crossed: DataFrame | None = None, capabilities: DataFrame | None = None) -> DataFrame:
     """Scores every item of (id, source, author, ts, views, likes, native_score).
 
     Acyclic: shapes, then baselines of those shapes, then scores.  ``peaks`` (id, peak)
     carries the high-water mark of earlier passes.  Baselines are those of ``saved`` (see
     ``rolling``), by source and hour of day, or else of the shapes, one row per source.
+    ``crossed`` (id, cross_source) counts the sources of an item's topics, 1 where it has none;
+    ``capabilities`` (source, engagement_reference, reliability) goes before the two numbers.
     """
     shapes = series.shape(snapshots, now, parts=["likes"], keep=["source", "author"])
     # read by both baselines, by creators' samples and by the score
@@ -81,7 +83,13 @@ def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, r
     loo = baselines.leave_one_out(shapes.select("id", "author", "value", F.col("first_ts").alias("published_at")))
     x = x.join(loo.select("id", F.col("median").alias("creator_median")), "id", "left")
     x = x.join(peaks, "id", "left") if peaks is not None else x.withColumn("peak", F.lit(None).cast("double"))
+    if crossed is not None:
+        x = x.join(crossed.select("id", F.col("cross_source").alias("__cross")), "id", "left")
+        cross_source = F.coalesce("__cross", F.lit(1))
     x = x.withColumn("cross_source", F.lit(1) if cross_source is None else cross_source)
+    if capabilities is not None:
+        x = x.join(capabilities.select("source", F.col("engagement_reference").alias("__reference"), F.col("reliability").alias("__reliability")), "source", "left")
+    known = lambda name, default: F.coalesce(name, F.lit(default)) if capabilities is not None else F.lit(default)
     x = x.withColumn("age", F.greatest(F.lit(0.0), (now - F.col("first_ts")) / 3600.0))
     x = x.withColumn("popularity", m.percentile_from_quantiles(F.col("value").cast("double"), F.col("vq")))
     v = F.col("velocity")
@@ -93,7 +101,7 @@ def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, r
         "velocity": F.col("n_velocity"),
         "acceleration": F.col("n_acceleration"),
         "anomaly": F.col("n_anomaly"),
-        "engagement": m.normalise_engagement(F.col("engagement"), engagement_reference),
+        "engagement": m.normalise_engagement(F.col("engagement"), known("__reference", engagement_reference)),
         "cross_source": m.normalise_cross_source(F.col("cross_source")),
         "freshness": m.decay(F.col("age"), HALF_LIFE_HOURS),
     }
@@ -102,7 +110,7 @@ def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, r
     x = x.withColumn("score", gated(F.col("mean"), F.col("coverage"), F.col("age")))
     span = F.when(F.col("observations") >= 2, (now - F.col("first_ts")) / 3600.0).otherwise(0.0)
     last_age = (now - F.col("last_ts")) / 3600.0
-    x = x.withColumn("confidence", confidence(F.col("observations"), span, last_age, F.col("coverage"), F.lit(reliability), F.col("cross_source")))
+    x = x.withColumn("confidence", confidence(F.col("observations"), span, last_age, F.col("coverage"), known("__reliability", reliability), F.col("cross_source")))
     x = x.withColumn("state", lifecycle(F.col("score"), F.col("popularity"), v, F.col("acceleration"), F.col("n_acceleration"), F.col("observations"), F.col("age"), F.col("peak")))
     return x.select("id", "source", "author", "observations", "first_ts", "last_ts", "value", "velocity", "acceleration", "engagement", "popularity", "age", "coverage", "score", "confidence", "state", "cross_source")
 

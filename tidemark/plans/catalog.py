@@ -478,10 +478,12 @@ def niche_lift(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("subjects"))
     x = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").join(s, "l_suppkey").join(p, "l_partkey")
     x = x.withColumn("ratio", m.views_per_follower(F.col("l_quantity") * 100, F.col("followers"))).where("ratio is not null").withColumn("band", m.size_band(F.col("followers")))
-    norm = F.broadcast(x.groupBy("band").agg(F.percentile("ratio", F.lit(0.5)).alias("mid")))  # five bands
+    norm = F.broadcast(baselines.medians(x, ["band"], "ratio", "mid"))  # five bands
     y = x.join(norm, "band").where("mid > 0").select(F.explode("subjects").alias("subject"), (F.col("ratio") / F.col("mid")).alias("lift"), "l_suppkey")
-    out = y.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("creators"), F.round(F.percentile("lift", F.lit(0.5)), 4).alias("lift"))
-    return out.where("n >= 10 and creators >= 8")
+    each = y.groupBy("subject", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    out = each.groupBy("subject").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("creators")).where("n >= 10 and creators >= 8")
+    middle = baselines.medians(y, ["subject"], "lift", "lift")
+    return out.join(middle, "subject").select("subject", "n", "creators", F.round("lift", 4).alias("lift"))
 
 
 @query("examples_drilldown", f"WITH {_OUTCOMES_SQL} SELECT id, title, round(adjusted, 6) AS adjusted FROM adj WHERE {_BAND} = '71-100' ORDER BY adj.adjusted DESC, id LIMIT 20")

@@ -13,7 +13,7 @@ from tidemark.functions import dates as d
 from tidemark.functions import images, languages
 from tidemark.functions import mathx as m
 from tidemark.functions import text as t
-from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, document_items, events, order_items, source_dimension, table
+from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, SOURCES, document_items, event_snapshots, events, order_items, source_dimension, table
 from tidemark.operators import clusters, lift, scoring, tables, vectors
 from tidemark.operators import topic_reads as reads
 from tidemark.plans.catalog import _FNV, _TITLE, _TOKENS, _WORDS, query, r6, scored
@@ -184,12 +184,19 @@ def source_feed_items(spark, sf_dir):
     return x.select("id", "x.title", "x.link", parsing.feed_date(F.col("x.published")).alias("published"))
 
 
-@query("source_weights", f"WITH {SCORED_SQL} SELECT source, count(*) AS items FROM scored GROUP BY source")
+_PLATFORM_SQL = "[" + ", ".join(f"'{s[0]}'" for s in SOURCES) + f"][author % {len(SOURCES)} + 1]"
+_OF = lambda i: "CASE source " + " ".join(f"WHEN '{s[0]}' THEN {s[i]}" for s in SOURCES) + " END"
+_WEIGHED_SQL = SCORED_SQL.replace("AS id, source, author, ts, sum(v)", f"AS id, {_PLATFORM_SQL} AS source, author, ts, sum(v)").replace("engagement / 0.05", f"engagement / {_OF(2)}").replace("* 0.9 + 0.05", f"* {_OF(3)} + 0.05")
+
+
+@query("source_weights", f"WITH {_WEIGHED_SQL} SELECT source, count(*) AS items, round(avg(score), 6) AS score, round(avg(confidence), 6) AS confidence FROM scored GROUP BY source")
 def source_weights(spark, sf_dir):
-    """Items of each source beside its capabilities, where it is a known one."""
-    x = scored(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("items"))
-    known = F.broadcast(source_dimension(spark))  # a fixed list
-    return x.join(known.select("source", "reliability"), "source", "left").select("source", "items")
+    """Items as if of the known sources: engagement is held against the source's own reference,
+    and confidence weighed by its reliability."""
+    names = F.array(*[F.lit(s[0]) for s in SOURCES])
+    snapshots = event_snapshots(spark, sf_dir).withColumn("source", F.get(names, (F.col("author") % len(SOURCES)).cast("int")))
+    x = scoring.scored(snapshots, NOW, cross_source=1 + F.col("author") % 4, capabilities=source_dimension(spark))
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("items"), r6(F.avg("score")).alias("score"), r6(F.avg("confidence")).alias("confidence"))
 
 
 _RELIABILITY = "round(greatest(0.1, least(1.0, 1 - 0.7 * failed / greatest(runs, 1) - 0.05 * least(bad, 5))), 6)"

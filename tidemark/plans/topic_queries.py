@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import mathx as m
-from tidemark.model import NOW, document_items, table
-from tidemark.operators import clusters, gaps, leaders, topic_reads
+from tidemark.model import EVENTS_SQL, NOW, document_items, event_snapshots, table
+from tidemark.operators import analysis, clusters, gaps, leaders, topic_reads
 from tidemark.plans.catalog import _STEMS, _TITLE, _TITLE_WORDS, _TOKENS, _TOPICS_SQL, query, r6
+from tidemark.plans.oracle import SCORED_SQL
 
 
 @query("leader_topics")
@@ -99,3 +100,28 @@ def gap_report(spark, sf_dir):
     out = gaps.gap_report(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"))
     listed = F.array_join(F.transform("matches", lambda x: F.format_string("%d:%.3f", x["item"], x["similarity"])), "|")
     return out.select("topic", "score", "countries", "covered", "verdict", "by_meaning", listed.alias("matches"))
+
+
+# ── the whole pass ───────────────────────────────────────────────────────────
+
+_CROSSED_SQL = f"""sources_seen AS (SELECT source, author, source || ':' || author AS name, dense_rank() OVER (ORDER BY author, source) AS n FROM (SELECT DISTINCT source, author FROM ev)),
+written AS (SELECT doc_id AS author, text FROM documents), documents AS (SELECT n AS doc_id, text FROM sources_seen JOIN written USING (author) WHERE author % 3 <> 1 OR source IN ('click', 'view'))"""
+_PASS_SQL = (
+    f"WITH RECURSIVE {EVENTS_SQL}, {_CROSSED_SQL}, "
+    + _TOPICS_SQL.removeprefix("WITH RECURSIVE ")
+    + ", breadth AS (SELECT component, count(DISTINCT source) AS k FROM topics JOIN sources_seen ON n = id GROUP BY 1), crossed AS (SELECT name AS id, k FROM topics JOIN sources_seen ON n = topics.id JOIN breadth USING (component)), "
+    + SCORED_SQL.removeprefix(EVENTS_SQL).lstrip(", \n").replace("1 + x.author % 4 AS cross_source", "coalesce(cs.k, 1) AS cross_source").replace("LEFT JOIN creator c ON c.id = x.id", "LEFT JOIN creator c ON c.id = x.id LEFT JOIN crossed cs ON cs.id = x.id")
+)
+
+
+@query("analysis_pass", _PASS_SQL + " SELECT scored.id, coalesce(k, 1) AS cross_source, round(score, 6) AS score, round(confidence, 6) AS confidence, state, CASE WHEN author % 4 = 0 AND state = 'HOT' THEN NULL WHEN state IN ('VIRAL', 'HOT') THEN 'trend.detected' WHEN state = 'PEAK' THEN 'trend.peaked' END AS event FROM scored LEFT JOIN crossed ON crossed.id = scored.id")
+def analysis_pass(spark, sf_dir):
+    """Topics over the titles of all observed items, scores that count their topics' sources, and
+    the events of the pass; every fourth author's items were hot before."""
+    snapshots = event_snapshots(spark, sf_dir)
+    seen = snapshots.select("id", "source", "author").distinct()
+    titles = document_items(spark, sf_dir).select(F.col("id").alias("author"), "title")
+    items = seen.join(titles, "author", "left").withColumn("title", F.when((F.col("author") % 3 != 1) | F.col("source").isin("click", "view"), F.col("title")))
+    before = seen.where("author % 4 = 0").select("id", F.lit("HOT").alias("state"), F.lit(None).cast("double").alias("peak"))
+    out = analysis.analysed(items, snapshots, NOW, before)
+    return out.select("id", "cross_source", r6("score").alias("score"), r6("confidence").alias("confidence"), "state", "event")
