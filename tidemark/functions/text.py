@@ -100,7 +100,8 @@ def content_words(rows: DataFrame, text: Column, *keep: str, stop: Sequence[str]
     return rows.select(*keep, F.explode(words_of(text)).alias("term")).where((F.char_length(t) > 1) & ~t.isin(*stop) & ~t.rlike("^[0-9]+$") & ~t.startswith("@"))
 
 
-#: In turn: endings that go, and what is left.  A mark before the word says that it may change.
+# In turn, endings that go, and what is left.  A mark before the word says that it
+# may change.
 STEM_STEPS = (
     ("^~(.{2,})ies$", "~$1i"),
     ("^~(.*ss)es$", "~$1"),

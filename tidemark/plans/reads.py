@@ -14,7 +14,7 @@ from tidemark.functions import images, languages
 from tidemark.functions import mathx as m
 from tidemark.functions import text as t
 from tidemark.model import EVENTS_SQL, NOW, ORDERS_SQL, SOURCES, document_items, event_snapshots, events, order_items, source_dimension, table
-from tidemark.operators import clusters, lift, scoring, tables, vectors
+from tidemark.operators import clusters, lift, ranking, scoring, tables, vectors
 from tidemark.operators import topic_reads as reads
 from tidemark.plans.catalog import _FNV, _TITLE, _TOKENS, _WORDS, query, r6, scored
 from tidemark.plans.oracle import SCORED_SQL
@@ -440,3 +440,32 @@ def jpeg_sizes(spark, sf_dir):
     data = F.when(F.col("p_partkey") % 7 == 0, F.encode(F.lit("<html>no image"), "utf-8")).otherwise(F.unhex(head))
     x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), data.alias("data")).select("id", images.jpeg_info("data").alias("j"))
     return x.select("id", "j.width", "j.height", F.round("j.density", 8).alias("density"))
+
+
+# ── filters and small functions ──────────────────────────────────────────────
+
+_RELEVANT_SQL = f"WITH {SCORED_SQL}, rel AS (SELECT *, CASE WHEN author % 3 <> 0 THEN author % 10 / 10.0 END AS relevance FROM scored)"
+
+
+@query("ranked_filters", _RELEVANT_SQL + " SELECT id, 'relevant' AS filter FROM rel WHERE (relevance IS NULL OR relevance >= 0.5) AND (age IS NULL OR age <= 700) UNION ALL SELECT id, 'creator' FROM rel WHERE author = 7")
+def ranked_filters(spark, sf_dir):
+    """Unscored relevance passes its filter, as unknown age does; a creator by id."""
+    rows = scored(spark, sf_dir).withColumn("relevance", F.when(F.col("author") % 3 != 0, F.col("author") % 10 / 10)).withColumn("age_hours", F.col("age"))
+    near = ranking.filtered(rows, ranking.RankedQuery(least_relevance=0.5, most_age_hours=700))
+    own = ranking.filtered(rows, ranking.RankedQuery(creator="7"))
+    return near.select("id", F.lit("relevant").alias("filter")).unionByName(own.select("id", F.lit("creator").alias("filter")))
+
+
+@query("iso_durations", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN o_orderkey % 60 * 60 ELSE o_orderkey % 3 * 86400 + o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 59 END AS seconds FROM orders")
+def iso_durations(spark, sf_dir):
+    """Durations of three forms: none at all, minutes alone, all parts."""
+    i = F.col("id")
+    said = F.when(i % 5 == 0, F.concat(F.lit("about "), i)).when(i % 5 == 1, F.concat(F.lit("PT"), i % 60, F.lit("M"))).otherwise(F.format_string("P%dDT%dH%dM%dS", i % 3, i % 24, i % 60, i % 59))
+    return order_items(spark, sf_dir).select("id", d.iso_duration_seconds(said).alias("seconds"))
+
+
+@query("known_sums", "SELECT d.doc_id AS id, CASE WHEN quality IS NOT NULL OR nullif(toxic, 1) IS NOT NULL THEN coalesce(quality, 0) + coalesce(nullif(toxic, 1), 0) END AS total FROM documents d LEFT JOIN (SELECT doc_id, nullif(quality, 0) AS quality, toxic FROM labels) l USING (doc_id)")
+def known_sums(spark, sf_dir):
+    """Sums of the values that are there; none if none is."""
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.nullif("quality", F.lit(0)).alias("quality"), F.nullif("toxic", F.lit(1)).alias("toxic"))
+    return document_items(spark, sf_dir).join(known, "id", "left").select("id", m.null_aware_sum([F.col("quality"), F.col("toxic")]).alias("total"))

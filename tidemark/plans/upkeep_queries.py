@@ -137,13 +137,14 @@ def pending_digest(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("id", F.concat_ws(":", "source", F.col("author").cast("string")))
     lang = F.when(F.col("author") % 4 == 0, "en").when(F.col("author") % 4 == 1, "fr").when(F.col("author") % 4 == 2, "de")
     items = e.groupBy("id").agg(F.min("author").alias("author")).select("id", (F.col("author") * 13 % 100).cast("double").alias("score"), (F.col("author") % 10 / 10).alias("confidence"), lang.alias("lang"))
-    log = e.select("event_id", "t", F.col("source").alias("type"), "source", F.col("id").alias("ref_id"))
+    # a log's numbers begin with 1
+    log = e.select((F.col("event_id") + 1).alias("event_id"), "t", F.col("source").alias("type"), "source", F.col("id").alias("ref_id"))
     wanted = digest.Wanted(types=_TYPES, least_score=20.0, least_confidence=0.2, languages=("en", "fr"), most=15, batch=e.count() // 3 + 1, quiet=(22, 7))
     consumer = digest.Digest(stored_table(spark, "cursor", "0"), "mail", wanted)
     told: list[tuple] = []
 
     def mail(rows, batch):
-        told.extend((batch, place, r["event_id"], r["kind"]) for place, r in enumerate(rows, 1))
+        told.extend((batch, place, r["event_id"] - 1, r["kind"]) for place, r in enumerate(rows, 1))
 
     for hour in (23, 32, 33, 34, 35):
         consumer.dispatch(log, items, NOW + hour * 3600, {"mail": mail})
