@@ -51,14 +51,21 @@ _LENGTHS = ((30, "0-30"), (50, "31-50"), (70, "51-70"), (100, "71-100"), (None,
 _WORDS = ((4, "1-4"), (8, "5-8"), (12, "9-12"), (18, "13-18"), (None, "19+"))
 
 
+#: Characters that folding changes: Arabic letters, digits and marks, and marks without width.
+_FOLDED = r"[\x{600}-\x{6FF}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]"
+
+
+def _folded(text: Column) -> Column:
+    """Arabic letters and digits in one form each, no vowel marks; texts without any are left."""
+    t = F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]", " ")
+    # alef forms to alef, both yehs to Persian yeh, kaf to Persian kaf, teh marbuta to heh; digits
+    t = F.translate(t, "أإآٱىيكة٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ااااییکه01234567890123456789")
+    return F.when(text.rlike(_FOLDED), F.regexp_replace(t, r"[\x{64B}-\x{652}\x{670}]", "")).otherwise(text)
+
+
 def normalise_composed(text: Column) -> Column:
     """The part of normalising that Spark has: fold Arabic letters and digits, lower, drop URLs."""
-    t = F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]", " ")
-    # alef forms to alef, both yehs to Persian yeh, kaf to Persian kaf, teh marbuta to heh
-    t = F.regexp_replace(F.translate(t, "أإآٱىيكة", "ااااییکه"), r"[\x{64B}-\x{652}\x{670}]", "")
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"https?://\S+", " ")
-    t = F.translate(t, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+    t = F.regexp_replace(F.lower(_folded(text)), r"https?://\S+", " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}#@_\s]+", " ")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
