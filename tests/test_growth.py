@@ -29,6 +29,24 @@ def test_crowded_hashes_meet_in_blocks(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_proposed_overlaps_carry_no_words(spark):
+    """Sets are joined by places and sizes; words only meet pairs that these leave."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, rng.sample(words[: rng.choice([12, 40])], rng.randrange(1, 12))) for i in range(150)]
+    found = clusters.overlapping_pairs(spark.createDataFrame(rows, "id long, w array<string>"))
+    joins = [line for line in explained(found).splitlines() if "Join" in line and "key" in line]
+    assert joins and all("w_a" not in line for line in joins)
+    got = {(r["a"], r["b"]): round(r["jaccard"], 9) for r in found.collect()}
+    first = {}
+    for i, w in rows:
+        first.setdefault(frozenset(w), i)
+    want = {(first[frozenset(w)], i): 1.0 for i, w in rows if first[frozenset(w)] != i}
+    sets = sorted((i, s) for s, i in first.items())
+    want |= {(i, j): round(len(x & y) / len(x | y), 9) for i, x in sets for j, y in sets if i < j and len(x & y) / len(x | y) >= 0.55}
+    assert got == want
+
+
 TEXTS = ["The flood and the river in the city", "la casa de mi amigo es muy grande", "le chat et la souris dans une maison", "der Hund und die Katze", "короткий текст на русском языке", "これはテストです 東京", "یک متن کوتاه برای آزمایش", "نص قصير للاختبار", "abc", "", None, "12345678 90", "ﬂood １２ ﬂood the", "x" * 700 + " the and of"]
 
 
