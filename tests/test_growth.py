@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import languages
 from tidemark.functions import text as t
 from tidemark.operators import clusters
 
@@ -50,6 +51,16 @@ def test_proposed_overlaps_carry_no_words(spark):
 TEXTS = ["The flood and the river in the city", "la casa de mi amigo es muy grande", "le chat et la souris dans une maison", "der Hund und die Katze", "короткий текст на русском языке", "これはテストです 東京", "یک متن کوتاه برای آزمایش", "نص قصير للاختبار", "abc", "", None, "12345678 90", "ﬂood １２ ﬂood the", "x" * 700 + " the and of"]
 
 
+def test_language_columns_are_the_expression(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id long, body string")
+    want = {r["id"]: r["g"] for r in rows.select("id", languages.detect(F.col("body")).alias("g")).collect()}
+    lean = languages.detected(rows, F.col("body"), "g")
+    assert lean.columns == ["id", "body", "g"]
+    assert {r["id"]: r["g"] for r in lean.collect()} == want
+    # the text is normalised once, not anew for every word list
+    assert explained(lean).count("https?://") <= 2
+
+
 def test_texts_are_digested_without_lists_of_tokens(spark):
     rows = spark.createDataFrame(list(enumerate(TEXTS)) + [(90, "東京都 東 #Flood @who 7 77 a bb bb")], "id long, body string")
     rows = rows.select("id", t.normalise(F.col("body")).alias("n"))

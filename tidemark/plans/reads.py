@@ -403,7 +403,7 @@ _LANGUAGE_SQL = (
 
 @query("detected_language", _LANGUAGE_SQL)
 def detected_language(spark, sf_dir):
-    x = document_items(spark, sf_dir).select("id", languages.detect(F.col("body")).alias("g"))
+    x = languages.detected(document_items(spark, sf_dir).select("id", F.substring("body", 1, languages.SAMPLE).alias("body")), F.col("body"), "g")
     return x.select("id", "g.code", r6("g.confidence").alias("confidence"))
 
 
