@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import languages
 from tidemark.functions import text as t
-from tidemark.operators import clusters
+from tidemark.operators import clusters, gaps
+from tidemark.sources.tables import written
 
 
 def explained(df) -> str:
@@ -63,8 +66,22 @@ def test_language_columns_are_the_expression(spark):
 
 def test_texts_are_digested_without_lists_of_tokens(spark):
     rows = spark.createDataFrame(list(enumerate(TEXTS)) + [(90, "東京都 東 #Flood @who 7 77 a bb bb")], "id long, body string")
-    rows = rows.select("id", t.normalise(F.col("body")).alias("n"))
-    tokens = t.content_tokens(t.tokens(F.col("n")))
-    old = {r["id"]: (r["d"], r["s"]) for r in rows.select("id", t.token_digest(tokens).alias("d"), t.simhash(tokens).alias("s")).collect()}
+    rows = written(rows.select("id", t.normalise(F.col("body")).alias("n")), "digested")
+    rows = written(rows.select("id", "n", t.content_tokens(t.tokens(F.col("n"))).alias("w")), "listed")
+    old = {r["id"]: (r["d"], r["s"]) for r in rows.select("id", t.token_digest("w").alias("d"), t.simhash("w").alias("s")).collect()}
     new = {r["id"]: (r["d"], r["s"]) for r in rows.select("id", t.text_digest("n").alias("d"), t.text_simhash("n").alias("s")).collect()}
     assert new == old
+
+
+def test_shared_words_are_counted_in_both_ways(monkeypatch):
+    """Words of many topics and of few, whatever the bound between them and the matches at once."""
+    rng = random.Random(2)
+    some = lambda n: [rng.sample("abcdefghijklmnop", rng.randrange(9)) if i % 7 else None for i in range(n)]
+    topics, items = some(30), some(50)
+    want = [[len(set(x or ()) & set(y or ())) for y in items] for x in topics]
+    for common, matches in ((256, 1 << 22), (0, 4), (4, 3)):
+        monkeypatch.setattr(gaps, "COMMON", common)
+        monkeypatch.setattr(gaps, "MATCHES", matches)
+        codes = {}
+        sides = [gaps._words(pa.chunked_array([pa.array(x, pa.list_(pa.string()))]), codes, np.arange(len(x))) for x in (topics, items)]
+        assert gaps._shared(*sides).tolist() == want

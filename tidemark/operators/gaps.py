@@ -12,6 +12,8 @@ tell equal items apart; ties go to the smaller item.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,10 +24,22 @@ from pyspark.sql.window import Window
 COVERED_AT = 0.7
 THIN_BELOW = 3
 
+#: A word of more than one topic in so many is a column of a product; other matches are counted,
+#: so many at once.
+COMMON, MATCHES = 256, 1 << 22
+
 #: Rows of a block: their product has so many cells of eight bytes.
 TOPICS, ITEMS = 512, 8192
 
 
+class Words(NamedTuple):
+    """Words of some rows: ``word[i]`` is one of row ``row[i]``."""
+
+    rows: int
+    row: np.ndarray
+    word: np.ndarray
+
+
 def title_words(title: Column) -> Column:
     """Distinct words of three characters or more, lower-cased."""
     return F.array_distinct(F.filter(F.split(F.lower(title), r"[\s\p{P}]+"), lambda w: F.char_length(w) >= 3))
@@ -39,32 +53,58 @@ def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _shared(topics: list[list[str]], items: list[list[str]]) -> np.ndarray:
-    """How many words each topic has in common with each item."""
-    of: dict[str, list[int]] = {}
-    for i, words in enumerate(topics):
-        for w in words or ():
-            of.setdefault(w, []).append(i)
-    out = np.zeros((len(topics), len(items)))
-    for j, words in enumerate(items):
-        for w in words or ():
-            if w in of:
-                out[of[w], j] += 1
+def _shared(topics: Words, items: Words) -> np.ndarray:
+    """How many words each topic has in common with each item.
+
+    Words of many topics are columns of a product; of the others, a match a pair is counted.
+    """
+    vocabulary, code = np.unique(topics.word, return_inverse=True)
+    there = np.searchsorted(vocabulary, items.word)
+    known = vocabulary[np.minimum(there, max(0, len(vocabulary) - 1))] == items.word if len(vocabulary) else np.zeros(len(there), bool)
+    there, owner = there[known], items.row[known]
+    uses = np.bincount(code, minlength=len(vocabulary))
+    common = (uses * COMMON > topics.rows) & (np.bincount(there, minlength=len(vocabulary)) > 0)
+    place = np.cumsum(common) - 1
+    left = np.zeros((topics.rows, int(common.sum())), np.float32)
+    left[topics.row[common[code]], place[code[common[code]]]] = 1
+    right = np.zeros((items.rows, left.shape[1]), np.float32)
+    right[owner[common[there]], place[there[common[there]]]] = 1
+    out = left @ right.T
+    # the topics of each other word of the items
+    order = np.argsort(code, kind="stable")
+    starts = np.cumsum(uses) - uses
+    rare = ~common[there]
+    there, owner = there[rare], owner[rare]
+    n = uses[there]
+    for some in np.array_split(np.arange(len(there)), 1 + int(n.sum()) // MATCHES):
+        k = n[some]
+        each = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(starts[there[some]], k)
+        cells = topics.row[order[each]] * items.rows + np.repeat(owner[some], k)
+        np.add.at(out.reshape(-1), cells, np.float32(1))
     return out
 
 
+def _words(lists: pa.ChunkedArray, codes: dict[str, int], rows: np.ndarray) -> Words:
+    """The words of some rows by number; a word that ``codes`` has not gets the next one."""
+    flat = lists.combine_chunks().take(pa.array(rows))
+    n = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    said = flat.flatten().dictionary_encode()
+    number = np.array([codes.setdefault(w, len(codes)) for w in said.dictionary.to_pylist()], np.int64)
+    return Words(len(rows), np.repeat(np.arange(len(rows)), n), number[said.indices.to_numpy()] if len(said) else number)
+
+
 def _scores(topics: pa.Table, items: pa.Table, bar: float) -> np.ndarray:
     a, has_a = padded(topics["v"].combine_chunks())
     b, has_b = padded(items["v"].combine_chunks())
     n = min(a.shape[1], b.shape[1])
     out = a[:, :n] @ b[:, :n].T
-    words_a, words_b = topics["words"].to_pylist(), items["words"].to_pylist()
-    sizes = np.array([max(1, len(w or ())) for w in words_a], float)[:, None]
+    sizes = np.maximum(1, topics["words"].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(float)[:, None]
+    codes: dict[str, int] = {}
     for rows, columns in ((np.flatnonzero(~has_a), np.arange(len(has_b))), (np.flatnonzero(has_a), np.flatnonzero(~has_b))):
         if len(rows) and len(columns):
-            shared = _shared([words_a[i] for i in rows], [words_b[j] for j in columns])
+            shared = _shared(_words(topics["words"], codes, rows), _words(items["words"], codes, columns))
             out[np.ix_(rows, columns)] = shared / sizes[rows] * bar
-    return np.round(out, 9)
+    return np.round(out, 9, out=out)
 
 
 def _compared(keep: int, bar: float):
