@@ -48,16 +48,15 @@ def enriched(items: DataFrame, lists: Mapping[str, Sequence[str]] | None = None,
     stated_source); a stated country goes before the one of the language.
 
     Null titles and bodies are empty; a text that says no language has none, and no country by
-    it.  Keywords are the ten most used content tokens, ties by name.  Tokens are written when
+    it.  Keywords are the ten most used content tokens, ties by name.  Normalised texts are written when
     this is called.
     """
-    rows = items.withColumn("__text", item_text())
-    rows = rows.withColumn("__words", languages.sample_words(F.col("__text"))).withColumn("__raw", t.content_tokens(t.words_of(F.col("__text"))))
+    rows = items.withColumn("__text", item_text()).withColumn("__normal", t.normalise(F.col("__text")))
     rows = rows.withColumn("__tags", t.hashtags(F.col("__text"))).withColumn("__text", F.substring("__text", 1, languages.SAMPLE))
-    # tokens come out of one Python step and go into the next, which the planner does not always
-    # split; written, they are read by the second alone, and made once
-    rows = written(rows, f"tokens-{uuid.uuid4().hex[:8]}").withColumn("__tokens", t.token_digest("__raw"))
-    rows = rows.withColumn("__lang", languages.detect(F.col("__text"), lists, F.col("__words")))
+    # composed texts come out of one Python step and go into the next, which the planner does not
+    # always split; written, they are read by the second alone, and made once
+    rows = written(rows, f"texts-{uuid.uuid4().hex[:8]}").withColumn("__tokens", t.text_digest("__normal")).drop("__normal")
+    rows = languages.detected(rows, F.col("__text"), "__lang", lists)
     guess = languages.country_of(F.col("__lang.code"), F.col("__lang.confidence"), countries)
     rows = rows.withColumn("__guess", guess)
     stated, guessed = F.col("stated_country").isNotNull(), F.col("__guess.country").isNotNull()
