@@ -85,3 +85,14 @@ def test_shared_words_are_counted_in_both_ways(monkeypatch):
         codes = {}
         sides = [gaps._words(pa.chunked_array([pa.array(x, pa.list_(pa.string()))]), codes, np.arange(len(x))) for x in (topics, items)]
         assert gaps._shared(*sides).tolist() == want
+
+
+def test_words_are_counted_in_their_row(spark):
+    """Rows of an id of its own move no words; those that share one, or none, count together."""
+    rows = [(1, "flood river flood 東京都"), (2, "b1 a1 b1 c1 " * 3 + " ".join(f"z{i}" for i in range(12))), (3, "flood a1"), (3, "a1 river"), (None, "x1 y1"), (None, "y1"), (4, None), (5, "the of")]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = sorted(((r["id"] or 0, r["place"], r["term"], r["n"]) for r in t.top_words(df, F.col("body")).collect()))
+    counts = {}
+    for r in t.content_words(df, F.col("body"), "id").groupBy("id", "term").count().collect():
+        counts.setdefault(r["id"] or 0, []).append((-r["count"], r["term"]))
+    assert got == sorted((i, place, term, -n) for i, some in counts.items() for place, (n, term) in enumerate(sorted(some)[:10], 1))

@@ -411,9 +411,8 @@ def detected_language(spark, sf_dir):
 def enriched_items(spark, sf_dir):
     """What one new item gets before it is stored: cut title, keywords by use."""
     docs = document_items(spark, sf_dir)
-    counts = t.content_words(docs, F.col("body"), "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("id").orderBy(F.desc("n"), "term")
-    top = counts.withColumn("place", F.row_number().over(best)).where("place <= 10").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), "|").alias("keywords"))
+    words = t.top_words(docs, F.col("body")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("w"))
+    top = words.select("id", F.array_join(F.transform("w", lambda x: x["term"]), "|").alias("keywords"))
     return docs.join(top, "id", "left").select("id", F.substring("title", 1, 500).alias("title"), F.coalesce("keywords", F.lit("")).alias("keywords"))
 
 
