@@ -96,3 +96,14 @@ def test_words_are_counted_in_their_row(spark):
     for r in t.content_words(df, F.col("body"), "id").groupBy("id", "term").count().collect():
         counts.setdefault(r["id"] or 0, []).append((-r["count"], r["term"]))
     assert got == sorted((i, place, term, -n) for i, some in counts.items() for place, (n, term) in enumerate(sorted(some)[:10], 1))
+
+
+def test_topics_of_crowded_hashes_and_long_titles(spark, monkeypatch):
+    """Topics do not depend on the size of a block, and one long title moves no words with its proposals."""
+    rng = random.Random(8)
+    words = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(4, 9)))) for i in range(60)] + [(99, " ".join(f"long{i:04d}x" for i in range(800)))]
+    docs = spark.createDataFrame(rows, "id long, title string")
+    want = sorted(map(tuple, clusters.topics(docs).collect()))
+    monkeypatch.setattr(clusters, "BLOCK", 4)
+    assert sorted(map(tuple, clusters.topics(docs).collect())) == want and (99, 99) in want
