@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import languages
 from tidemark.functions import text as t
 from tidemark.operators import clusters, gaps
+from tidemark.plans import catalog
 from tidemark.sources.tables import written
 
 
@@ -107,3 +108,16 @@ def test_topics_of_crowded_hashes_and_long_titles(spark, monkeypatch):
     want = sorted(map(tuple, clusters.topics(docs).collect()))
     monkeypatch.setattr(clusters, "BLOCK", 4)
     assert sorted(map(tuple, clusters.topics(docs).collect())) == want and (99, 99) in want
+
+
+def test_daily_scores_are_added_in_the_order_of_events(spark, tmp_path):
+    """The rows of a day lie in files in falling order; its sum has the bits of the rising one."""
+    rng = random.Random(9)
+    rows = [(i, 1704067200 + i % 3 * 86400, i % 5, round(rng.random() * 100, 2)) for i in range(600)]
+    for part in range(4):
+        some = spark.createDataFrame(rows[::-1][part * 150 : part * 150 + 150], "event_id long, t long, user_id long, value double").coalesce(1)
+        some.selectExpr("event_id", "timestamp_seconds(t) as ts", "user_id", "'view' as event_type", "value", "'{}' as props").write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for _, day, user, value in rows:
+        want[user, day] = want.get((user, day), 0.0) + value
+    assert {(r["id"], r["day"]): r["score"] for r in catalog._daily(spark, str(tmp_path)).collect()} == want

@@ -21,6 +21,14 @@ def last_n(snapshots: DataFrame, n: int = 60, key: str = "id", ts: str = "ts") -
     return snapshots.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= n).drop("__r")
 
 
+def ordered_sum(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, value): sums that add a key's values by rising ``order``, so they are the same bits
+    however the rows are dealt.  The rows of a key are sorted and pass one by one; none are gathered."""
+    by = Window.partitionBy(*keys).orderBy(order, value)
+    sums = rows.select(*keys, F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(value), F.lead(F.lit(True)).over(by).alias("__more"))
+    return sums.where("__more is null").drop("__more")
+
+
 def _slope(value: Column, hours: Column, take: Column) -> Column:
     return F.regr_slope(F.when(take, value), F.when(take, hours))
 
