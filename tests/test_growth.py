@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import languages
 from tidemark.functions import text as t
-from tidemark.operators import clusters, gaps
+from tidemark.operators import baselines, clusters, gaps
 from tidemark.plans import catalog
 from tidemark.sources.tables import written
 
@@ -121,3 +121,18 @@ def test_daily_scores_are_added_in_the_order_of_events(spark, tmp_path):
     for _, day, user, value in rows:
         want[user, day] = want.get((user, day), 0.0) + value
     assert {(r["id"], r["day"]): r["score"] for r in catalog._daily(spark, str(tmp_path)).collect()} == want
+
+
+def test_older_items_do_not_leave_the_sample(spark):
+    """A row behind the newest takes nothing out, also if the sample holds its value; rows of the
+    sample pass over one value, and no row carries an array of the others."""
+    rng = random.Random(8)
+    rows = [(i, 1, float(rng.randrange(5)), i) for i in range(20)] + [(20 + i, 2, None if i == 2 else float(i), i) for i in range(6)]
+    out = baselines.leave_one_out(spark.createDataFrame(rows, "id long, author long, value double, published_at long"), newest=8)
+    want = {}
+    for i, author, value, _ in rows:
+        others = [v for j, a, v, _ in sorted([r for r in rows if r[1] == author and r[2] is not None], key=lambda r: -r[3])[:8] if j != i]
+        want[i] = (len(others), float(np.quantile(others, 0.5)), float(np.quantile(others, 0.9)))
+    got = {r["id"]: (r["n"], r["median"], r["p90"]) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i]) for i in want)

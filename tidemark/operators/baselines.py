@@ -71,24 +71,30 @@ def source_mad(items: DataFrame, value: str, key: str) -> DataFrame:
 def leave_one_out(items: DataFrame, value: str = "value", author: str = "author", item: str = "id", least: int = 3, newest: int = 200, order: str = "published_at") -> DataFrame:
     """Median and p90 of a creator's other items, at least ``least``, among the newest.
 
-    Each creator's sample is an array of ``newest`` values at most, so its size is bounded;
-    one occurrence of the row's own value is taken out.
+    Each creator's sample is a sorted array of ``newest`` values at most, so its size is bounded.
+    It stays with the creator: a row meets only the values at the wanted ranks and those after
+    them, which take their places where the row's own value is not above them.
     """
-    recent = Window.partitionBy(author).orderBy(F.col(order).desc(), F.col(item).desc())
-    sample = items.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(recent)).where(F.col("__r") <= newest)
-    samples = sample.groupBy(author).agg(F.sort_array(F.collect_list(value)).alias("all"))
-    mine = items.join(samples, author, "left")
-    at = F.array_position("all", F.col(value))
-    others = F.when(at > 0, F.concat(F.slice("all", F.lit(1), (at - 1).cast("int")), F.slice("all", (at + 1).cast("int"), F.size("all")))).otherwise(F.col("all"))
-    out = mine.withColumn("others", others).where(F.size("others") >= least)
-
-    def at_quantile(q: float) -> Column:
-        place = (F.size("others") - 1) * q
-        lo = F.floor(place)
-        a, b = F.get("others", lo.cast("int")), F.get("others", F.ceil(place).cast("int"))
-        return a + (b - a) * (place - lo)
-
-    return out.select(item, author, value, F.size("others").cast("long").alias("n"), at_quantile(0.5).alias("median"), at_quantile(0.9).alias("p90"))
+    known = F.col(value).isNotNull()
+    recent = Window.partitionBy(author).orderBy(known.desc(), F.col(order).desc(), F.col(item).desc())
+    ranked = items.withColumn("__own", known & (F.row_number().over(recent) <= newest))
+    samples = ranked.where("__own").groupBy(author).agg(F.sort_array(F.collect_list(value)).alias("all"))
+    at = lambda k: F.get("all", k.cast("int"))
+    quantiles = {"median": 0.5, "p90": 0.9}
+    held = [F.size("all").alias("__all")]
+    for name, q in quantiles.items():
+        whole, less = (F.size("all") - 1) * q, (F.size("all") - 2) * q
+        held.append((at(F.floor(whole)) + (at(F.ceil(whole)) - at(F.floor(whole))) * (whole - F.floor(whole))).alias(name))
+        held.append(F.struct(*[at(f(less) + i).alias(f"{end}{i}") for end, f in (("lo", F.floor), ("hi", F.ceil)) for i in (0, 1)], (less - F.floor(less)).alias("part")).alias(f"__{name}"))
+    mine = ranked.join(samples.select(author, *held), author)
+    mine = mine.withColumn("n", (F.col("__all") - F.col("__own").cast("int")).cast("long")).where(F.col("n") >= least)
+
+    def without_own(name: str) -> Column:
+        s = F.col(f"__{name}")
+        lo, hi = [F.when(F.col(value) <= s[f"{end}0"], s[f"{end}1"]).otherwise(s[f"{end}0"]) for end in ("lo", "hi")]
+        return F.when(F.col("__own"), lo + (hi - lo) * s["part"]).otherwise(F.col(name)).alias(name)
+
+    return mine.select(item, author, value, "n", *[without_own(name) for name in quantiles])
 
 
 def breakouts(loo: DataFrame, value: str = "value", least: int = 5, times: float = 5.0) -> DataFrame:
