@@ -123,6 +123,20 @@ def test_daily_scores_are_added_in_the_order_of_events(spark, tmp_path):
     assert {(r["id"], r["day"]): r["score"] for r in catalog._daily(spark, str(tmp_path)).collect()} == want
 
 
+def test_reposts_of_items_with_names(spark):
+    """Items called by name meet as numbered ones do; the smaller name comes first."""
+    rng = random.Random(6)
+    base = 0x0123456789ABCDEF
+    rows = [(f"click:{99 - i}", base ^ sum(1 << at for at in rng.sample(range(63), rng.randrange(4)))) for i in range(40)] + [("view:1", base), ("view:2", base)]
+    got = {tuple(r) for r in clusters.reposts(spark.createDataFrame(rows, "id string, simhash long")).collect()}
+    first = {}
+    for i, h in sorted(rows):
+        first.setdefault(h, i)
+    want = {(first[h], i, 0) for i, h in rows if first[h] != i}
+    want |= {(i, j, (g ^ h).bit_count()) for g, i in first.items() for h, j in first.items() if i < j and (g ^ h).bit_count() <= 6}
+    assert got == want
+
+
 def test_older_items_do_not_leave_the_sample(spark):
     """A row behind the newest takes nothing out, also if the sample holds its value; rows of the
     sample pass over one value, and no row carries an array of the others."""
