@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import languages
 from tidemark.functions import text as t
-from tidemark.operators import baselines, clusters, gaps
+from tidemark.operators import baselines, clusters, gaps, search
 from tidemark.plans import catalog
 from tidemark.sources.tables import written
 
@@ -150,3 +150,18 @@ def test_older_items_do_not_leave_the_sample(spark):
     got = {r["id"]: (r["n"], r["median"], r["p90"]) for r in out.collect()}
     assert got.keys() == want.keys()
     assert all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_postings_leave_a_task_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(search, "_HELD", 100)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(90))) for _ in range(50)] + [None, "ab"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "body": texts})
+    out = list(search._postings(["body"])([batch]))
+    assert len(out) > 10 and max(sum(len(p) for p in b["positions"].to_pylist()) for b in out) < 200
+    got = {(g, i): p for b in out for g, i, p in zip(b["gram"].to_pylist(), b["id"].to_pylist(), b["positions"].to_pylist())}
+    want = {}
+    for i, text in enumerate(texts):
+        for at, g in enumerate(search.grams(text or "").tolist()):
+            want.setdefault((g, i), []).append(at)
+    assert got == want

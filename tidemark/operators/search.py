@@ -31,6 +31,8 @@ _BITS = 21
 #: Items whose postings of one bucket are sorted by one task, so that a gram found everywhere
 #: is no single task's work.
 ITEMS_PER_FILE = 1 << 16
+#: Positions that a task holds before it gives them out, beside those of one text.
+_HELD = 1 << 18
 _POSTING = "gram bigint, field string, id bigint, positions array<int>"
 
 
@@ -49,27 +51,33 @@ def grams(text: str) -> np.ndarray:
 
 
 def _postings(fields: Sequence[str]):
-    """One row per (item, field, distinct gram) of (id, *fields)."""
+    """One row per (item, field, distinct gram) of (id, *fields), in batches of bounded size."""
+
+    def packed(name: str, distinct: list, counts: list, places: list, items: list) -> pa.RecordBatch:
+        starts = np.r_[0, np.cumsum(np.concatenate(counts))]
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(places), pa.int32()))
+        number = np.concatenate(distinct)
+        return pa.RecordBatch.from_arrays([pa.array(number), pa.array([name] * len(number), pa.string()), pa.array(np.concatenate(items)), lists], ["gram", "field", "id", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for name, column in zip(fields, batch.columns[1:]):
-                distinct, first, places, items, at = [], [], [], [], 0
-                for item, text in zip(ids, column.to_pylist()):
+                parts, held = ([], [], [], []), 0
+                for item, text in zip(ids, column):
+                    text = text.as_py()
                     found = grams(folded(text)) if text and item is not None else ()
                     if len(found):
-                        order = np.argsort(found, kind="stable")
-                        some, starts = np.unique(found[order], return_index=True)
-                        distinct.append(some)
-                        first.append(starts + at)
-                        places.append(order)
-                        items.append(np.full(len(some), item))
-                        at += len(order)
-                if at:
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[*first, at], pa.int32()), pa.array(np.concatenate(places), pa.int32()))
-                    number = np.concatenate(distinct)
-                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array([name] * len(number), pa.string()), pa.array(np.concatenate(items)), lists], ["gram", "field", "id", "positions"])
+                        order = np.argsort(found, kind="stable").astype(np.int32)
+                        some, n = np.unique(found[order], return_counts=True)
+                        for part, more in zip(parts, (some, n, order, np.full(len(some), item))):
+                            part.append(more)
+                        held += len(order)
+                    if held >= _HELD:
+                        yield packed(name, *parts)
+                        parts, held = ([], [], [], []), 0
+                if held:
+                    yield packed(name, *parts)
 
     return run
 
