@@ -165,3 +165,40 @@ def test_postings_leave_a_task_in_bounded_batches(monkeypatch):
         for at, g in enumerate(search.grams(text or "").tolist()):
             want.setdefault((g, i), []).append(at)
     assert got == want
+
+
+def test_texts_are_parsed_in_one_pass(spark):
+    texts = ["Running runners ran; the stories 42 @you flying", "", "日本語の本 classes bosses ties lies", "É CAFÉ caffè nation wander_ed", None, "abbed inging ssss2 passes y1 cy e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, title string")
+    raw = t.content_tokens(t.words_of(F.coalesce("title", F.lit(""))))
+    plain = {r["id"]: (r["raw"], r["w"]) for r in rows.select("id", raw.alias("raw"), t.stems(raw).alias("w")).collect()}
+    assert {r["id"]: (r["raw"], r["w"]) for r in rows.select("id", t.parsed(t.normalise(F.col("title"))).alias("p")).select("id", "p.*").collect()} == plain
+
+
+def test_terms_are_counted_in_their_row(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "_TERMS", 4)
+    batch = pa.RecordBatch.from_pydict({"id": [7, 8, 9], "copies": [1, 2, 1], "w": [["a", "b", "a", "b"], ["c"], ["a", "a", "a"]]})
+    out = list(clusters._term_uses(iter([batch])))
+    got = [r for b in out for r in b.to_pylist()]
+    assert len(out) == 2 and all(b.schema.names == ["id", "copies", "term", "tf"] for b in out)
+    assert {(r["id"], r["copies"], r["term"], r["tf"]) for r in got} == {(7, 1, "a", 0.5), (7, 1, "b", 0.5), (7, 1, "a b", 0.75), (7, 1, "b a", 0.375), (8, 2, "c", 1.0), (9, 1, "a", 1.0), (9, 1, "a a", 1.0)}
+
+
+def test_proposed_cosines_carry_no_vectors(spark, monkeypatch):
+    """All pairs of brute force, and no array or map where proposals are made."""
+    rng, tables = random.Random(5), {}
+    monkeypatch.setattr(clusters, "written", lambda df, name: tables.setdefault(name.split("-")[0], written(df, name)))
+    rows = []
+    for item in range(150):
+        terms = rng.sample([f"t{k}" for k in range(40)], 5) + [f"own{item}"]
+        weights = np.array([rng.random() + 0.1 for _ in terms])
+        rows += [(item, term, float(w)) for term, w in zip(terms, weights / np.linalg.norm(weights))]
+    df = {term: sum(r[1] == term for r in rows) for _, term, _ in rows}
+    table = spark.createDataFrame([(i, term, df[term], w) for i, term, w in rows], "id long, term string, df long, weight double")
+    vectors = {i: {term: w for j, term, w in rows if j == i} for i in range(150)}
+    dot = lambda a, b: sum(w * vectors[b].get(term, 0.0) for term, w in vectors[a].items())
+    expected = {(a, b): dot(a, b) for a in range(150) for b in range(a + 1, 150) if dot(a, b) >= 0.34}
+    got = {(r["a"], r["b"]): r["similarity"] for r in clusters.similar_pairs(table).collect()}
+    assert set(got) == set(expected) and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
+    spread = tables["spread"]
+    assert spread.columns == ["term", "id", "weight", "rest"] and spread.where("term like 'own%'").isEmpty()
