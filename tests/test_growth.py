@@ -202,3 +202,11 @@ def test_proposed_cosines_carry_no_vectors(spark, monkeypatch):
     assert set(got) == set(expected) and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
     spread = tables["spread"]
     assert spread.columns == ["term", "id", "weight", "rest"] and spread.where("term like 'own%'").isEmpty()
+
+
+def test_names_of_topics_read_the_texts_once(spark, small, monkeypatch):
+    calls = []
+    plain = t.normalise
+    monkeypatch.setattr(t, "normalise", lambda text: calls.append(1) or plain(text))
+    catalog.QUERIES["topic_names"](spark, small)
+    assert len(calls) == 1

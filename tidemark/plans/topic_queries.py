@@ -35,8 +35,7 @@ named AS (SELECT component, list(k ORDER BY place) AS keywords FROM words GROUP
 @query("topic_names", _NAMES_SQL + " SELECT component, array_to_string(keywords, '|') AS keywords, array_to_string(list_sort(list_transform(keywords[1:4], lambda k: replace(k, ' ', '_'))), '|') AS key FROM named")
 def topic_names(spark, sf_dir):
     """Keywords of every topic, in words that people wrote, and the name that outlasts a pass."""
-    docs = document_items(spark, sf_dir)
-    named = clusters.topic_names(clusters.topics(docs), clusters.tfidf(docs), clusters.display_forms(docs))
+    named = clusters.named_topics(document_items(spark, sf_dir))
     return named.select("component", F.array_join("keywords", "|").alias("keywords"), "key")
 
 
