@@ -6,8 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import mathx as m
 from tidemark.operators import clusters, leaders, topic_reads, vectors
+from tidemark.sources.tables import written
 
 WORDS = "volcano eruption iceland flights ash cloud chess final winner match election vote count river flood rescue budget tax reform star concert ticket".split()
 
@@ -199,3 +202,16 @@ def test_merging_names_the_strongest_topic(spark):
     members = spark.createDataFrame([(10, 1), (11, 3), (12, 5)], "id long, component long")
     merged = topic_reads.merged_topics(centres, strength)
     assert {r["id"]: r["component"] for r in topic_reads.contracted(members, merged).collect()} == {10: 2, 11: 2, 12: 5}
+
+
+def test_vectors_are_scaled_once(spark, monkeypatch):
+    """A vector's length is no part of the work at each of its places, and rows are scaled in one pass."""
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None), (5, [1.0, 2.0, 2.0])], "id long, v array<double>")
+    scaled = rows.select("id", m.normalised(F.col("v")).alias("v"))
+    assert {r["id"]: r["v"] for r in scaled.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [], 4: None, 5: [1 / 3, 2 / 3, 2 / 3]}
+    per_place = [p for p in scaled._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(") if " / " in p]
+    assert per_place and all("aggregate" not in p.split(" / ")[1][:60] for p in per_place)
+    calls = []
+    monkeypatch.setattr(vectors, "written", lambda df, name: calls.append(name.split("-")[0]) or written(df, name), raising=False)
+    assert vectors.similar_vectors(rows.withColumnRenamed("v", "c"), 0.5).collect() == []
+    assert calls == ["units", "firsts"]

@@ -111,8 +111,10 @@ def size_band(followers: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """``v`` scaled to length 1; a zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    norm = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # vector and length in a list of one, so that the length is taken once and not for every place
+    one = F.transform(F.transform(F.array(v), lambda u: F.struct(u.alias("v"), norm(u).alias("n"))), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))
+    return F.get(one, F.lit(0))
 
 
 def dot_shortest(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ depends on how the vectors lie.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import mathx as m
+from tidemark.sources.tables import written
 
 #: Vectors of one side of a block.
 BLOCK = 2048
@@ -52,8 +54,9 @@ def similar_vectors(rows: DataFrame, threshold: float, item: str = "id", vector:
     """
     width = math.acos(min(threshold, 1.0)) + 1e-6
     units = rows.select(F.col(item).cast("long").alias("id"), m.normalised(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
-    units = units.where("size(v) > 0 and exists(v, x -> x <> 0) and forall(v, x -> not isnan(x))")
-    firsts = units.groupBy("v").agg(F.min("id").alias("id"))
+    run = uuid.uuid4().hex[:8]
+    units = written(units.where("size(v) > 0 and exists(v, x -> x <> 0) and forall(v, x -> not isnan(x))"), f"units-{run}")
+    firsts = written(units.groupBy("v").agg(F.min("id").alias("id")), f"firsts-{run}")
     copies = units.join(firsts.withColumnRenamed("id", "first"), "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
 
     pivots = [r["v"] for r in firsts.orderBy(F.xxhash64("id")).limit(2).collect()]
