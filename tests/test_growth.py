@@ -210,3 +210,17 @@ def test_names_of_topics_read_the_texts_once(spark, small, monkeypatch):
     monkeypatch.setattr(t, "normalise", lambda text: calls.append(1) or plain(text))
     catalog.QUERIES["topic_names"](spark, small)
     assert len(calls) == 1
+
+
+def test_postings_travel_in_one_row_a_bucket(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdéё ") for _ in range(400)) for _ in range(60)] + [None, "ab"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "body": texts})
+    plain = [r for b in search._postings(["body"])([batch]) for r in b.to_pylist()]
+    parcels = list(search._parcels(["body"], 8)([batch]))
+    assert sum(b.num_rows for b in parcels) <= 8 and sum(b.nbytes for b in parcels) < 0.4 * sum(b.nbytes for b in search._postings(["body"])([batch]))
+    opened = [r for b in search._opened(iter(parcels)) for r in b.to_pylist()]
+    key = lambda r: (r["gram"], r["id"])
+    assert sorted(({k: r[k] for k in ("gram", "field", "id", "positions")} for r in opened), key=key) == sorted(plain, key=key)
+    grams = spark.createDataFrame([(r["gram"], r["bucket"]) for r in opened], "gram bigint, bucket int").distinct()
+    assert grams.where(search.TrigramIndex(spark, "", 8)._bucket() != F.col("bucket")).isEmpty()

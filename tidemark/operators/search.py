@@ -82,6 +82,42 @@ def _postings(fields: Sequence[str]):
     return run
 
 
+#: Mixes the three code points of a gram; a prime takes part of all bits.
+_MIX, _PRIME = (7919, 104_729, 1_299_709), 1_000_003
+
+
+def _parcels(fields: Sequence[str], buckets: int):
+    """``_postings`` as one row per batch and bucket, for the way to the bucket's task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _postings(fields)(batches):
+            gram = batch.column(0).to_numpy()
+            mixed = sum((gram >> k * _BITS & (1 << _BITS) - 1) * by for k, by in enumerate(_MIX))
+            bucket = mixed % _PRIME % buckets
+            order = np.lexsort((gram, bucket))
+            batch, bucket = batch.take(pa.array(order)), bucket[order]
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            parcels = []
+            for low, high in zip(starts, np.r_[starts[1:], len(bucket)]):
+                sink = pa.BufferOutputStream()
+                # a slice shares its buffers with the batch, so its rows are taken
+                part = batch.take(pa.array(np.arange(low, high)))
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                parcels.append(sink.getvalue().to_pybytes())
+            first = batch.column(2)[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([first] * len(starts), pa.int64()), pa.array(parcels, pa.binary())], ["bucket", "first", "parcel"])
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, parcel in zip(batch.column(0).to_pylist(), batch.column(2)):
+            for part in pa.ipc.open_stream(parcel.as_buffer()):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, bucket, np.int32))], [*part.schema.names, "bucket"])
+
+
 @dataclass(frozen=True)
 class TrigramIndex:
     """The index below ``path``, a folder that all executors see."""
@@ -91,7 +127,8 @@ class TrigramIndex:
     buckets: int = 64
 
     def _bucket(self):
-        return F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int")
+        mixed = sum(F.shiftright("gram", k * _BITS).bitwiseAND((1 << _BITS) - 1) * F.lit(by).cast("long") for k, by in enumerate(_MIX))
+        return (mixed % _PRIME % self.buckets).cast("int")
 
     def segments(self) -> list[int]:
         return [int(n.removeprefix("segment=")) for n in folders.names(self.spark, self.path) if n.startswith("segment=")]
@@ -102,9 +139,10 @@ class TrigramIndex:
         Null texts have no postings; rows that repeat an id are one item with all their texts.
         """
         rows = items.select(F.col(item).cast("long").alias("id"), *fields)
-        found = rows.mapInArrow(_postings(list(fields)), _POSTING).withColumn("bucket", self._bucket())
+        parcels = rows.mapInArrow(_parcels(list(fields), self.buckets), "bucket int, first bigint, parcel binary")
         files = 1 + items.count() // ITEMS_PER_FILE
-        dealt = found.repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files)))
+        dealt = parcels.repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("first"), F.lit(files)))
+        dealt = dealt.mapInArrow(_opened, _POSTING + ", bucket int")
         return self._commit(rows.select("id"), dealt.sortWithinPartitions("bucket", "gram", "field", "id"))
 
     def remove(self, ids: DataFrame, item: str = "id") -> int:
@@ -115,7 +153,7 @@ class TrigramIndex:
         aside = f"{self.path}/_{uuid.uuid4().hex}"
         ids.where("id is not null").distinct().sortWithinPartitions("id").write.parquet(f"{aside}/ids")
         if postings is not None:
-            postings.write.partitionBy("bucket").parquet(f"{aside}/postings")
+            postings.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{aside}/postings")
             kept = self.spark.read.schema(_POSTING + ", bucket int").parquet(f"{aside}/postings")
             counts = kept.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n"))
             counts.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{aside}/counts")
