@@ -116,10 +116,10 @@ def scored(snapshots: DataFrame, now: int, engagement_reference: float = 0.05, r
 
 
 def high_water(series_of_scores: DataFrame, key: str = "id", order: str = "day", score: str = "score") -> DataFrame:
-    """Running peak, and the time it moved: only when strictly greater."""
+    """Running peak, and the time it moved: only when strictly greater; no time is the last."""
     from pyspark.sql.window import Window
 
-    so_far = Window.partitionBy(key).orderBy(order)
+    so_far = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
     out = series_of_scores.withColumn("peak", F.max(score).over(so_far))
     moved = F.when((F.col("peak") > F.lag("peak").over(so_far)) | F.lag("peak").over(so_far).isNull(), F.col(order))
     out = out.withColumn("__moved", moved)
