@@ -33,3 +33,7 @@ def same(spark, folder, name):
 
 def test_peaks_of_odd_days(spark, odd):
     same(spark, odd, "peak_high_water")
+
+
+def test_states_of_odd_days(spark, odd):
+    same(spark, odd, "state_change_events")
