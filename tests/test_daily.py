@@ -37,3 +37,7 @@ def test_peaks_of_odd_days(spark, odd):
 
 def test_states_of_odd_days(spark, odd):
     same(spark, odd, "state_change_events")
+
+
+def test_missed_peaks_of_odd_days(spark, odd):
+    same(spark, odd, "missed_peaks")
