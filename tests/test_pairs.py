@@ -42,3 +42,7 @@ def test_copies_meet_all_that_their_first_meets(spark, monkeypatch, together):
 
 def test_overlaps_of_copies(spark, copied):
     same(spark, copied, "jaccard_pairs", 1000)
+
+
+def test_edges_of_copies(spark, copied):
+    same(spark, copied, "topic_edges", 1000)
