@@ -22,9 +22,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import clusters
-from tidemark.sources.tables import written
+from tidemark.sources.tables import shared_folder, written
+
+#: Rows that are so few that they are sent to every task.
+FEW = 100_000
 
 #: Similarity that a near-identical text has to its like, however thin its wording.
 DUPLICATE = 0.95
@@ -45,36 +49,54 @@ def elected(nodes: DataFrame, vectors: DataFrame, links: DataFrame, threshold: f
     ``links`` (a, b, firm) the pairs that are similar at all, ``firm`` null where only their
     cosine says so.  Tables are written between rounds; the driver sees whether rows are left.
     """
-    run = uuid.uuid4().hex[:8]
+    run, spark = uuid.uuid4().hex[:8], nodes.sparkSession
     nodes = written(nodes.select(F.col(item).alias("item"), F.coalesce("score", F.lit(float("-inf"))).alias("score"), "copies"), f"nodes-{run}")
-    terms = written(vectors.select(F.col(item).alias("item"), "term", "weight").join(nodes.select("item", "copies"), "item"), f"terms-{run}")
+    # a node's vector is one row, and goes with the node when it is decided
+    rows = vectors.groupBy(F.col(item).alias("item")).agg(F.collect_list(F.struct("term", "weight")).alias("v"))
+    undecided = written(nodes.select("item", "copies").join(rows, "item", "left"), f"undecided-{run}-0")
     strength = lambda side: nodes.select(F.col("item").alias(side), F.col("score").alias(f"s_{side}"))
     both = links.groupBy("a", "b").agg(F.max("firm").alias("firm")).join(strength("a"), "a").join(strength("b"), "b")
     first = (F.col("s_a") > F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b")))
-    waiting = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("up"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("down"), "firm"), f"waiting-{run}-0")
-    alone = nodes.join(waiting.select(F.col("down").alias("item")), "item", "left_anti")
-    decided = written(alone.select("item", F.col("item").alias("leader"), F.lit(1.0).alias("similarity")), f"decided-{run}-0")
-    turn = 0
-    while not waiting.isEmpty():
+    links = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("up"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("down"), "firm"), f"links-{run}")
+    alone = undecided.join(links.select(F.col("down").alias("item")), "item", "left_anti")
+    made = written(alone.select("item", F.col("item").alias("leader"), F.lit(1.0).alias("similarity"), "copies", "v"), f"decided-{run}-0")
+    shape, paths = made.schema, [f"{shared_folder(spark)}/decided-{run}-0"]
+    # a link knows the leader of its upper node as soon as there is one
+    led = lambda made: made.select(F.col("item").alias("up"), F.col("leader").alias("now"))
+    waiting = written(links.join(led(made), "up", "left").withColumnRenamed("now", "leader"), f"waiting-{run}-0")
+    here, turn, left = Window.partitionBy("down"), 0, waiting.count()
+    held, live = left, list(paths)
+    while left:
         turn += 1
-        seen = waiting.join(decided.select(F.col("item").alias("up"), "leader"), "up", "left")
-        ready = seen.groupBy("down").agg(F.count_if(F.col("leader").isNull()).alias("waits"), F.max(F.coalesce(F.col("up") == F.col("leader"), F.lit(False))).alias("led")).where("waits = 0 or led")
-        ready = written(ready.select("down", "waits"), f"ready-{run}-{turn}")
-        asked = seen.where("leader is not null").join(ready, "down", "left_semi").groupBy("down", "leader").agg(F.max("firm").alias("firm"))
-        asked = written(asked, f"asked-{run}-{turn}")
-        members = decided.join(asked.select("leader").distinct(), "leader", "left_semi")
-        means = members.join(terms, "item").groupBy("leader", "term").agg(F.sum(F.col("weight") * F.col("copies")).alias("mean"))
+        seen = waiting.withColumn("waits", F.count_if(F.col("leader").isNull()).over(here)).withColumn("led", F.max(F.coalesce(F.col("up") == F.col("leader"), F.lit(False))).over(here))
+        asked = seen.where("(waits = 0 or led) and leader is not null").groupBy("down", "leader").agg(F.max("firm").alias("firm"), F.max("waits").alias("waits"))
+        asked = written(asked, f"ready-{run}-{turn}")
+        few = F.broadcast if asked.count() <= FEW else lambda df: df
+        members = spark.read.schema(shape).parquet(*live).join(few(asked.select("leader").distinct()), "leader", "left_semi").select("leader", "copies", F.explode("v").alias("x"))
+        means = members.groupBy("leader", F.col("x.term").alias("term")).agg(F.sum(F.col("x.weight") * F.col("copies")).alias("mean"))
         length = means.groupBy("leader").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("length"))
-        dots = asked.select("down", "leader").join(terms.select(F.col("item").alias("down"), "term", "weight"), "down").join(means, ["leader", "term"])
+        dots = undecided.select(F.col("item").alias("down"), "v").join(few(asked.select("down", "leader")), "down").select("down", "leader", F.explode("v").alias("x"))
+        dots = dots.select("down", "leader", "x.term", "x.weight").join(means, ["leader", "term"])
         cosine = dots.groupBy("down", "leader").agg(F.sum(F.col("weight") * F.col("mean")).alias("dot")).join(length, "leader").select("down", "leader", (F.col("dot") / F.col("length")).alias("cosine"))
         sims = asked.join(cosine, ["down", "leader"], "left").withColumn("similarity", F.greatest(F.coalesce("cosine", F.lit(0.0)), F.coalesce("firm", F.lit(0.0))))
         sims = sims.withColumn("similarity", F.round("similarity", 9))  # sums in another order are the same
-        best = sims.where(F.col("similarity") >= threshold).groupBy("down").agg(F.min(F.struct((-F.col("similarity")).alias("m"), "leader")).alias("best"))
-        made = ready.join(best, "down", "left").where("best is not null or waits = 0")
-        made = made.select(F.col("down").alias("item"), F.coalesce("best.leader", "down").alias("leader"), F.coalesce(-F.col("best.m"), F.lit(1.0)).alias("similarity"))
-        decided = written(decided.unionByName(made), f"decided-{run}-{turn}")
-        waiting = written(waiting.join(decided.select(F.col("item").alias("down")), "down", "left_anti"), f"waiting-{run}-{turn}")
-    return decided.select(F.col("item").alias(item), "leader", "similarity")
+        fits = F.when(F.col("similarity") >= threshold, F.struct((-F.col("similarity")).alias("m"), "leader"))
+        made = sims.groupBy(F.col("down").alias("item")).agg(F.min(fits).alias("best"), F.max("waits").alias("waits")).where("best is not null or waits = 0")
+        made = made.select("item", F.coalesce("best.leader", "item").alias("leader"), F.coalesce(-F.col("best.m"), F.lit(1.0)).alias("similarity"))
+        made = written(made.join(undecided, "item").select(shape.names), f"decided-{run}-{turn}")
+        few = F.broadcast if made.count() <= FEW else lambda df: df
+        paths.append(f"{shared_folder(spark)}/decided-{run}-{turn}")
+        live.append(paths[-1])
+        rest = waiting.join(few(made.select(F.col("item").alias("down"))), "down", "left_anti").join(few(led(made)), "up", "left")
+        waiting = written(rest.select("up", "down", "firm", F.coalesce("leader", "now").alias("leader")), f"waiting-{run}-{turn}")
+        left = waiting.count()
+        if 2 * left <= held:
+            # who waits no more is not read again, nor are topics that nobody can join
+            held = left
+            undecided = written(undecided.join(waiting.select(F.col("down").alias("item")), "item", "left_semi"), f"undecided-{run}-{turn}")
+            written(spark.read.schema(shape).parquet(*live).join(waiting.where("leader is not null").select("leader"), "leader", "left_semi").select(shape.names), f"topics-{run}-{turn}")
+            live = [f"{shared_folder(spark)}/topics-{run}-{turn}"]
+    return spark.read.schema(shape).parquet(*paths).select(F.col("item").alias(item), "leader", "similarity")
 
 
 def led_topics(items: DataFrame, text: str = "title", item: str = "id", score: str = "score", threshold: float = clusters.THRESHOLD) -> DataFrame:
